@@ -25,8 +25,8 @@ def heat_by_expansion(edges: DataFrame, space: DataFrame) -> DataFrame:
 
 def heat_buckets(heat_rows: DataFrame) -> DataFrame:
     """Heat with its 1-5 bucket by ascending count; ties in address order."""
-    ranked = S.global_position(heat_rows, "addr", ["inbound_count"], "_i")
-    return (ranked.withColumn("_n", S.row_total(heat_rows))
+    ranked = S.global_position(cut_lineage(heat_rows), "addr", ["inbound_count"], "_i", "_n")
+    return (ranked
             .withColumn("heat_bucket", S.quintile("_i", F.col("_n"))).drop("_i", "_n"))
 
 
@@ -36,15 +36,16 @@ def with_heat(units: DataFrame, heat_rows: DataFrame) -> DataFrame:
             .withColumn("heat_bucket", F.coalesce("heat_bucket", F.lit(0).cast("bigint"))))
 
 
-def outbound(requests: DataFrame, edges: DataFrame, min_votes: int = 0) -> DataFrame:
-    """Links leaving any address of each requested range."""
-    return S.points_in_ranges(edges.where(F.col("votes") >= min_votes), requests, "src", ("q_start", "q_end"))
+def outbound(requests: DataFrame, edges: DataFrame, min_votes: int = 0, max_width: int | None = None) -> DataFrame:
+    """Links leaving any address of each requested range (``max_width``: bound on the ranges, if known)."""
+    return S.points_in_ranges(edges.where(F.col("votes") >= min_votes), requests, "src", ("q_start", "q_end"),
+                              range_max=max_width)
 
 
-def inbound(requests: DataFrame, edges: DataFrame, min_votes: int = 0) -> DataFrame:
+def inbound(requests: DataFrame, edges: DataFrame, min_votes: int = 0, max_width: int | None = None) -> DataFrame:
     """Links whose target range overlaps each requested range."""
     return S.overlap_join(requests, edges.where(F.col("votes") >= min_votes),
-                          ("q_start", "q_end"), ("dst_start", "dst_end"))
+                          ("q_start", "q_end"), ("dst_start", "dst_end"), left_max=max_width)
 
 
 def strongest(pairs: DataFrame, key: str, limit: int, address: str) -> DataFrame:
@@ -53,16 +54,16 @@ def strongest(pairs: DataFrame, key: str, limit: int, address: str) -> DataFrame
     return pairs.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit)
 
 
-def totals(requests: DataFrame, edges: DataFrame, min_votes: int = 0) -> DataFrame:
+def totals(requests: DataFrame, edges: DataFrame, min_votes: int = 0, max_width: int | None = None) -> DataFrame:
     """Outbound, inbound and unique link counts per request.
 
     A link that leaves the range and also points into it is one link: it is
     recognised on the outbound pair itself, so no pair list is deduplicated.
     """
-    out = outbound(requests, edges, min_votes)
+    out = outbound(requests, edges, min_votes, max_width)
     both = A.overlaps("dst_start", "dst_end", "q_start", "q_end")
     n_out = out.groupBy("req").agg(F.count(F.lit(1)).alias("n_outbound"), F.count_if(both).alias("_both"))
-    n_in = inbound(requests, edges, min_votes).groupBy("req").agg(F.count(F.lit(1)).alias("n_inbound"))
+    n_in = inbound(requests, edges, min_votes, max_width).groupBy("req").agg(F.count(F.lit(1)).alias("n_inbound"))
     zero = F.lit(0).cast("bigint")
     return (requests.select("req").join(n_out, "req", "left").join(n_in, "req", "left")
             .select("req", F.coalesce("n_outbound", zero).alias("n_outbound"),
@@ -111,8 +112,9 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_degree: int
     def node_id(start: str, end: str):
         return F.concat_ws("-", F.col(start), F.col(end))
 
-    nodes = seeds.select("seed", "start", "end", node_id("start", "end").alias("id"),
-                         F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("ord"))
+    nodes = cut_lineage(seeds.select("seed", "start", "end", node_id("start", "end").alias("id"),
+                                     F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("ord")))
+    seeds = nodes.select("seed")
     frontier = nodes
     found_edges: DataFrame | None = None
     stats: DataFrame | None = None
@@ -122,8 +124,9 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_degree: int
         asked = frontier.select("seed", F.col("ord").alias("p_ord"), F.col("id").alias("p_id"),
                                 F.col("start").alias("p_start"), F.col("end").alias("p_end"))
         distinct_ranges = asked.select("p_start", "p_end").distinct()
-        out = S.points_in_ranges(links, distinct_ranges, "src", ("p_start", "p_end"))
-        inn = S.overlap_join(links, distinct_ranges, ("dst_start", "dst_end"), ("p_start", "p_end"))
+        widest = frontier.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 1   # one number
+        out = S.points_in_ranges(links, distinct_ranges, "src", ("p_start", "p_end"), range_max=widest)
+        inn = S.overlap_join(distinct_ranges, links, ("p_start", "p_end"), ("dst_start", "dst_end"), left_max=widest)
         directions = [
             out.select("p_start", "p_end", F.lit(0).alias("dir"), "edge_id", "votes",
                        F.col("dst_start").alias("start"), F.col("dst_end").alias("end")),
@@ -149,6 +152,7 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_degree: int
         fresh = first.where("admitted").select(
             "seed", "start", "end", "id", F.lit(depth + 1).alias("depth"),
             (F.col("_size") + F.col("_k") - 1).cast("bigint").alias("ord"), F.col("seq.p_ord").alias("parent_ord"))
+        fresh = cut_lineage(fresh)
         # A frontier node is visited while the budget is not used up before it.
         before = (asked.select("seed", "p_ord").join(size, "seed")
                   .join(fresh.groupBy("seed", F.col("parent_ord").alias("p_ord")).agg(F.count(F.lit(1)).alias("_new")),
@@ -173,12 +177,12 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_degree: int
                         F.coalesce("degree_capped", F.lit(False)).alias("degree_capped"),
                         F.col("_stopped").alias("stopped"),
                         (F.col("_stopped") | F.coalesce("_full", F.lit(False))).alias("nodes_capped")))
-        step, kept, fresh = cut_lineage(step), cut_lineage(kept), cut_lineage(fresh.drop("parent_ord"))
         found_edges = kept if found_edges is None else found_edges.unionByName(kept)
         stats = step if stats is None else stats.unionByName(step)
-        frontier = fresh
-        nodes = cut_lineage(nodes.unionByName(fresh))
+        frontier = fresh.drop("parent_ord")
+        nodes = nodes.unionByName(frontier)
 
+    found_edges, stats = cut_lineage(found_edges), cut_lineage(stats)
     first_seen = found_edges.groupBy("seed", "source", "target").agg(
         F.min_by("votes", F.struct("depth", "seq")).alias("votes"))
     graph_edges = first_seen.withColumn("tier", A.vote_tier("votes"))

@@ -8,7 +8,7 @@ from . import space as S
 
 
 def in_ranges(units: DataFrame, requests: DataFrame) -> DataFrame:
-    """Units inside each requested range; when a request is one chapter this is an equi-join."""
+    """Units inside each requested range."""
     return S.points_in_ranges(units, requests, "addr", ("q_start", "q_end"))
 
 

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 BLOCK = 1_000_000          # addresses per block (one collection)
 SUPERBLOCK = 1_000         # blocks per superblock
 MAX_SPAN = 400             # fixed value: widest range, in real addresses, that is expanded
@@ -32,20 +34,22 @@ def address_space(df: DataFrame, addr: str = "addr") -> DataFrame:
                     F.expr("addr % 1000").alias("unit")))
 
 
-def global_position(df: DataFrame, key: str, lead: Sequence[str] = (), name: str = "pos") -> DataFrame:
+def global_position(df: DataFrame, key: str, lead: Sequence[str] = (), name: str = "pos",
+                    total: str | None = None) -> DataFrame:
     """0-based position of every row in the order ``(*lead, key)``.
 
     ``key`` must be an integer and unique within ``lead``; it is what bounds a
     block, so no window partition can exceed ``BLOCK`` rows however the rows
     are distributed.  ``lead`` columns may be of any orderable type; the only
     unpartitioned window runs over their distinct values (or, without ``lead``,
-    over the superblocks).
+    over the superblocks).  The block counts, a tiny table, are written once;
+    ``df`` itself is read twice.  ``total`` names a column for the row count.
     """
     lead = list(lead)
     blocked = (df.withColumn("_b1", F.expr(f"`{key}` div {BLOCK}"))
                .withColumn("_b2", F.expr(f"`{key}` div {BLOCK * SUPERBLOCK}")))
-    cells = blocked.groupBy(*lead, "_b2", "_b1").agg(F.count(F.lit(1)).alias("_n"))
-    before = (0, 0)
+    cells = cut_lineage(blocked.groupBy(*lead, "_b2", "_b1").agg(F.count(F.lit(1)).alias("_n")))
+    n_rows = cells.select(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
 
     def exclusive(window):
         return F.coalesce(F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -55,20 +59,16 @@ def global_position(df: DataFrame, key: str, lead: Sequence[str] = (), name: str
     if lead:
         tops = mids.groupBy(*lead).agg(F.sum("_n").alias("_n"))
         tops = tops.withColumn("_t0", exclusive(W.orderBy(*lead))).drop("_n")
-        mids = _null_safe_join(mids, tops, lead, "inner").withColumn("_m0", F.col("_m0") + F.col("_t0")).drop("_t0")
+        mids = mids.join(tops, lead).withColumn("_m0", F.col("_m0") + F.col("_t0")).drop("_t0")
     cells = cells.withColumn("_c0", exclusive(W.partitionBy(*lead, "_b2").orderBy("_b1"))).drop("_n")
-    offsets = _null_safe_join(cells, mids.drop("_n"), [*lead, "_b2"], "inner")
+    offsets = cells.join(mids.drop("_n"), [*lead, "_b2"])
     offsets = offsets.withColumn("_o", F.col("_c0") + F.col("_m0")).drop("_c0", "_m0", "_b2")
     local = blocked.drop("_b2").withColumn(
         "_r", F.row_number().over(W.partitionBy(*lead, "_b1").orderBy(key)))
-    return (_null_safe_join(local, offsets, [*lead, "_b1"], "inner")
-            .withColumn(name, (F.col("_o") + F.col("_r") - 1).cast("bigint"))
-            .drop("_o", "_r", "_b1"))
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join on ``keys``; keys of the operators here are never NULL."""
-    return left.join(right, list(keys), how)
+    out = local.join(offsets, [*lead, "_b1"]).withColumn(name, (F.col("_o") + F.col("_r") - 1).cast("bigint"))
+    if total:
+        out = out.withColumn(total, n_rows)
+    return out.drop("_o", "_r", "_b1")
 
 
 def quintile(pos: str, total: Column, buckets: int = 5) -> Column:
@@ -208,8 +208,16 @@ def _bins(levels: Column, start: str, end: str) -> Column:
     return F.flatten(F.transform(levels, at))
 
 
+def _level_of(width: int | None) -> int:
+    """The level that holds every interval up to ``width``; all levels when it is unknown."""
+    if width is None:
+        return _LEVELS
+    return next((k for k in range(_LEVELS) if width <= 1 << (_RADIX_BITS * k)), _LEVELS)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
-                 right_range: tuple[str, str], salt: int = 1) -> DataFrame:
+                 right_range: tuple[str, str], salt: int = 1, left_max: int | None = None,
+                 right_max: int | None = None) -> DataFrame:
     """All pairs of rows whose closed integer ranges share a value.
 
     Every interval owns one level of a radix tree of bins, the one whose bins
@@ -221,11 +229,12 @@ def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
 
     ``salt`` > 1 splits a hot bin of the right side over that many join keys
     and repeats the (smaller) left side; adaptive skew splitting handles the
-    rest.
+    rest.  ``left_max``/``right_max`` are proven bounds on the widths of a side
+    (1 for points): they only spare bins no interval can own.
     """
     ls, le = left_range
     rs, re_ = right_range
-    top = F.lit(_LEVELS)
+    left_top, right_top = _level_of(left_max), _level_of(right_max)
 
     def keyed(df, s, e, side, levels):
         out = df.withColumn("_lv", _own_level(s, e))
@@ -242,26 +251,29 @@ def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
         return df.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salt)])))
 
     own = F.array(F.col("_lv"))
-    upward = F.sequence(F.col("_lv"), top)
-    above = F.slice(F.sequence(F.col("_lv"), top + 1), 2, _LEVELS + 2)
+    empty = F.array().cast("array<int>")
+    upward = F.when(F.col("_lv") <= right_top, F.sequence(F.col("_lv"), F.lit(right_top))).otherwise(empty)
+    above = F.when(F.col("_lv") < left_top, F.sequence(F.col("_lv") + 1, F.lit(left_top))).otherwise(empty)
     keys = ["_level", "_key"] + (["_salt"] if salt > 1 else [])
     match = F.col("_key") == F.greatest(F.col("_first_l"), F.col("_first_r"))
     meets = (F.col(ls) <= F.col(re_)) & (F.col(le) >= F.col(rs))
 
     wide_right = (salted(keyed(left, ls, le, "l", upward), "l")
                   .join(salted(keyed(right, rs, re_, "r", own), "r"), keys))
+    columns = [*left.columns, *right.columns]
+    pairs = wide_right.where(match & meets).select(*columns)
+    if left_top == 0:
+        return pairs
     wide_left = (salted(keyed(left, ls, le, "l", own), "l")
                  .join(salted(keyed(right, rs, re_, "r", above), "r"), keys))
-    columns = [*left.columns, *right.columns]
-    return (wide_right.where(match & meets).select(*columns)
-            .unionByName(wide_left.where(match & meets).select(*columns)))
+    return pairs.unionByName(wide_left.where(match & meets).select(*columns))
 
 
 def points_in_ranges(points: DataFrame, ranges: DataFrame, point: str,
-                     range_cols: tuple[str, str], salt: int = 1) -> DataFrame:
+                     range_cols: tuple[str, str], salt: int = 1, range_max: int | None = None) -> DataFrame:
     """Pairs (point row, range row) with the point inside the range."""
     p = points.withColumn("_pt", F.col(point))
-    return overlap_join(p, ranges, (point, "_pt"), range_cols, salt).drop("_pt")
+    return overlap_join(p, ranges, (point, "_pt"), range_cols, salt, 1, range_max).drop("_pt")
 
 
 def merge_ranges(ranges: DataFrame, start: str = "start", end: str = "end",

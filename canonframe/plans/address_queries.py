@@ -72,7 +72,7 @@ def text_lengths(t):
     SELECT p.req, count(*) AS n_links, CAST(min(l.start) AS BIGINT) AS first_start
     FROM passages p JOIN links l ON l.start <= p.q_end AND l."end" >= p.q_start GROUP BY p.req""", ("passages", "links"))
 def overlap(t):
-    pairs = S.overlap_join(t.passages, t.links, ("q_start", "q_end"), ("start", "end"))
+    pairs = S.overlap_join(t.passages, t.links, ("q_start", "q_end"), ("start", "end"), left_max=999)
     return pairs.groupBy("req").agg(F.count(F.lit(1)).alias("n_links"), F.min("start").alias("first_start"))
 
 
@@ -136,13 +136,13 @@ def neighbour_lookup(t):
 
 
 @query("wn10_merge_ranges", """
-    WITH r AS (SELECT o_custkey AS user_id, CAST(o_orderkey * 10 AS BIGINT) AS s, CAST(o_orderkey * 10 + o_totalprice / 10 AS BIGINT) AS e FROM orders),
+    WITH r AS (SELECT o_custkey AS user_id, CAST(o_orderkey * 10 AS BIGINT) AS s, o_orderkey * 10 + CAST(floor(o_totalprice / 10) AS BIGINT) AS e FROM orders),
     o AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM r),
     i AS (SELECT *, CAST(sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM o)
     SELECT user_id, min(s) AS "start", max(e) AS "end", count(DISTINCT s) AS n_starts FROM i GROUP BY user_id, island""")
 def merge_ranges(t):
     r = t.orders.select(F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") * 10).alias("start"),
-                        F.round(F.col("o_orderkey") * 10 + F.col("o_totalprice") / 10).cast("bigint").alias("end"))
+                        (F.col("o_orderkey") * 10 + F.floor(F.col("o_totalprice") / 10)).alias("end"))
     return S.merge_ranges(r, "start", "end", ["user_id"])
 
 

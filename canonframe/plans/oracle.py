@@ -15,19 +15,22 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                row_number() OVER (ORDER BY addr) - 1 AS pos
         FROM (SELECT DISTINCT l_orderkey * 1000 + l_linenumber AS addr FROM lineitem)"""),
     "edges": (("space",), """
-        SELECT e.edge_id, e.src, a.addr AS dst_start, b.addr AS dst_end, e.votes
-        FROM (SELECT l_orderkey * 1000 + l_linenumber AS src,
-                     (l_partkey * 37 + l_suppkey) % (SELECT count(*) FROM space) AS r1,
+        SELECT e.edge_id, e.src, a.addr AS dst_start, b.addr AS dst_end, e.votes, e.r1, e.r2
+        FROM (SELECT *, least(r1 + span, n - 1) AS r2
+              FROM (SELECT l_orderkey * 1000 + l_linenumber AS src, n,
+                     (l_partkey * 37 + l_suppkey) % n AS r1,
                      CAST(l_quantity AS BIGINT) % 7 AS span, CAST(l_quantity AS BIGINT) - 5 AS votes,
                      concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT),
                                CAST(round(l_extendedprice * 100) AS BIGINT)) AS edge_id
-              FROM lineitem) e
+                    FROM lineitem, (SELECT count(*) AS n FROM space))) e
         JOIN space a ON a.pos = e.r1
-        JOIN space b ON b.pos = least(e.r1 + e.span, (SELECT count(*) FROM space) - 1)"""),
-    "heat": (("edges",), """
-        SELECT s.addr, count(*) AS inbound_count, CAST(sum(greatest(e.votes, 1)) AS BIGINT) AS weighted_score
-        FROM edges e JOIN space a ON a.addr = e.dst_start JOIN space b ON b.addr = e.dst_end
-        JOIN space s ON s.pos BETWEEN a.pos AND least(b.pos, a.pos + 399) GROUP BY s.addr"""),
+        JOIN space b ON b.pos = e.r2"""),
+    "edge_hits": (("edges",), """
+        SELECT x.edge_id, x.votes, s.addr
+        FROM (SELECT edge_id, votes, unnest(range(r1, least(r2, r1 + 399) + 1)) AS p FROM edges) x JOIN space s ON s.pos = x.p"""),
+    "heat": (("edge_hits",), """
+        SELECT addr, count(*) AS inbound_count, CAST(sum(greatest(votes, 1)) AS BIGINT) AS weighted_score
+        FROM edge_hits GROUP BY addr"""),
     "passages": ((), """
         SELECT o_orderkey AS req, o_orderkey * 1000 + 1 AS q_start, o_orderkey * 1000 + 999 AS q_end FROM orders"""),
     "editions": ((), """
@@ -112,7 +115,7 @@ def complete(sql: str, names: tuple[str, ...]) -> str:
     body = sql.strip()
     if not ordered:
         return body
-    head = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in ordered)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1].strip()})" for n in ordered)
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

@@ -11,6 +11,9 @@ import pandas as pd
 from canonframe.plans.views import TABLES
 
 
+LAST = [0.0]
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -41,7 +44,9 @@ def kinds(types) -> list[str]:
 
 def compare(spark_df, con, sql: str) -> str | None:
     """None when equal, else a short description of the first difference."""
+    t0 = time.time()
     got = spark_df.toPandas()
+    LAST[0] = time.time() - t0
     if not len(got):
         return "no rows: the query tests nothing"
     rel = con.sql(sql)
@@ -91,11 +96,11 @@ if __name__ == "__main__":
             continue
         t0 = time.time()
         try:
+            note = ""
             df = fn(spark, f"/root/testdata/sf{sf}")
             if name in sqls:
                 err = compare(df, con, sqls[name])
-                t_spark = time.time() - t0
-                note = ""
+                note = f"spark {LAST[0]:.1f}s"
             else:
                 err, note = None, f"rows-only {df.count()}"
         except Exception as exc:  # report and go on with the next query
