@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import address_queries, link_queries  # noqa: F401
+from . import address_queries, coverage_queries, link_queries, word_queries  # noqa: F401
 from .registry import REGISTRY, callables, oracles  # noqa: F401

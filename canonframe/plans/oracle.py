@@ -40,7 +40,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT DISTINCT source FROM documents)"""),
     "source_lines": ((), """
         SELECT doc_id, source AS edition, lang, line_no,
-               ((doc_id // 8) // 10 + 1) * 1000000 + ((doc_id // 8) % 10 + 1) * 1000 + line_no AS addr, line
+               ((doc_id // 24) // 4 + 1) * 1000000 + ((doc_id // 24) % 4 + 1) * 1000 + line_no AS addr, line
         FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line,
                      unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)"""),
     "units": (("source_lines",), """
@@ -58,7 +58,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT book, CASE book % 3 WHEN 1 THEN 'OT' WHEN 2 THEN 'NT' ELSE 'DC' END AS testament,
                CASE WHEN book % 3 = 1 THEN 'hebrew' WHEN book % 3 = 2 THEN 'nt' WHEN book % 2 = 0 THEN 'deuterocanon' ELSE 'apostolic' END AS canon,
                'Book ' || book AS name
-        FROM (SELECT DISTINCT (doc_id // 8) // 10 + 1 AS book FROM documents)"""),
+        FROM (SELECT DISTINCT (doc_id // 24) // 4 + 1 AS book FROM documents)"""),
     "words": ((), f"""
         SELECT doc_id * 1000 + line_no AS addr, position, surface,
                lower(strip_accents(surface)) AS search_form, lang AS language, doc_id

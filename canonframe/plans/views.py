@@ -92,14 +92,14 @@ class Tables:
 
     @cached_property
     def source_lines(self) -> DataFrame:
-        """Every line of every document at its address: 8 documents share a chapter, 10 chapters a book."""
-        no = F.expr("doc_id div 8")
+        """Every line of every document at its address: 24 documents share a chapter, 4 chapters a book."""
+        no = F.expr("doc_id div 24")
         lines = self.documents.select(
             "doc_id", "source", "lang", no.alias("_no"),
             F.posexplode(F.split("text", "\n", -1)).alias("_p", "line"))
         return lines.select(
             "doc_id", F.col("source").alias("edition"), "lang", (F.col("_p") + 1).cast("bigint").alias("line_no"),
-            (F.expr("_no div 10 + 1") * 1000000 + F.expr("_no % 10 + 1") * 1000 + F.col("_p") + 1)
+            (F.expr("_no div 4 + 1") * 1000000 + F.expr("_no % 4 + 1") * 1000 + F.col("_p") + 1)
             .cast("bigint").alias("addr"), "line")
 
     @cached_property
@@ -138,7 +138,7 @@ class Tables:
         testament = (F.when(F.col("book") % 3 == 1, "OT").when(F.col("book") % 3 == 2, "NT").otherwise("DC"))
         group = (F.when(F.col("testament") == "OT", "hebrew").when(F.col("testament") == "NT", "nt")
                  .when(F.col("book") % 2 == 0, "deuterocanon").otherwise("apostolic"))
-        return (self.documents.select(F.expr("(doc_id div 8) div 10 + 1").alias("book")).distinct()
+        return (self.documents.select(F.expr("(doc_id div 24) div 4 + 1").alias("book")).distinct()
                 .withColumn("testament", testament).withColumn("canon", group)
                 .withColumn("name", F.concat(F.lit("Book "), F.col("book").cast("string"))))
 
