@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from . import address_queries, coverage_queries, link_queries, word_queries  # noqa: F401
+from . import (  # noqa: F401
+    address_queries, coverage_queries, link_queries, media_queries, search_queries, timeline_queries, word_queries,
+)
 from .registry import REGISTRY, callables, oracles  # noqa: F401
