@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -183,21 +185,24 @@ def lay_out(events: DataFrame, strip: list[str], left: str, right: str, order: l
                         {"island": ("last", "_island")}, strip)
     rows = events.withColumn("_s", F.col(left)).join(carried.select(*strip, "_s", "island"), [*strip, "_s"]).drop("_s")
 
-    def lanes(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        ends: list[int] = []
-        out = []
-        for a, b in zip(pdf[left], pdf[right]):
-            lane = next((i for i, e in enumerate(ends) if e < a), len(ends))
-            if lane == len(ends):
-                ends.append(b)
-            else:
-                ends[lane] = b
-            out.append(lane)
-        return pdf.assign(lane=out)
+    keys = [*strip, "island"]
+
+    def lanes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows arrive sorted by island; only the lane ends of the current island are held.
+        current, ends = None, []
+        for pdf in batches:
+            out = []
+            for key, a, b in zip(zip(*(pdf[k] for k in keys)), pdf[left], pdf[right]):
+                if key != current:
+                    current, ends = key, []
+                lane = next((i for i, e in enumerate(ends) if e < a), len(ends))
+                ends[lane:lane + 1] = [b]
+                out.append(lane)
+            yield pdf.assign(lane=out)
 
     schema = StructType([*rows.schema.fields, StructField("lane", LongType())])
-    return rows.groupBy(*strip, "island").applyInPandas(lanes, schema).drop("island")
+    return (rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+            .mapInPandas(lanes, schema).drop("island"))
 
 
 def limit_rows(bars: DataFrame, max_rows: int) -> DataFrame:
