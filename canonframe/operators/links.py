@@ -15,12 +15,10 @@ def heat(edges: DataFrame, space: DataFrame) -> DataFrame:
             .select("addr", F.col("n_ranges").alias("inbound_count"), F.col("weight").alias("weighted_score")))
 
 
-def heat_by_expansion(edges: DataFrame, space: DataFrame) -> DataFrame:
-    """The same by expanding every range: the independent recomputation a gate compares with."""
-    hits = S.expand_ranges(edges.select("dst_start", "dst_end", "votes"), space, "dst_start", "dst_end")
-    return hits.groupBy("addr").agg(
-        F.count(F.lit(1)).alias("inbound_count"),
-        F.sum(F.greatest(F.col("votes"), F.lit(1))).cast("bigint").alias("weighted_score"))
+def heat_recomputed(edges: DataFrame, space: DataFrame) -> DataFrame:
+    """The same by running sums instead of expansion: the independent recomputation a gate compares with."""
+    return (S.tally_ranges_by_deltas(edges, space, F.greatest(F.col("votes"), F.lit(1)), "dst_start", "dst_end")
+            .select("addr", F.col("n_ranges").alias("inbound_count"), F.col("weight").alias("weighted_score")))
 
 
 def heat_buckets(heat_rows: DataFrame) -> DataFrame:

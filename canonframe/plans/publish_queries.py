@@ -221,7 +221,7 @@ def index_rows(t):
 @query("qg13_heat_two_ways", "SELECT 'heat recomputation' AS gate, CAST(0 AS BIGINT) AS violations")
 def heat_two_ways(t):
     values = ["inbound_count", "weighted_score"]
-    return G.run([("heat recomputation", G.differs(L.heat(t.edges, t.space), L.heat_by_expansion(t.edges, t.space), ["addr"], values))])
+    return G.run([("heat recomputation", G.differs(L.heat(t.edges, t.space), L.heat_recomputed(t.edges, t.space), ["addr"], values))])
 
 
 @query("qg14_scheme_function", _sql([("not a function", "SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)"), ("target not real", "SELECT count(*) FROM links WHERE \"end\" NOT IN (SELECT addr FROM space)"), ("bad type", "SELECT count(*) FROM lineitem WHERE l_returnflag NOT IN ('R', 'A')")]), ("links", "space"))

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import space as S
+from ..session import cut_lineage
 
-KEEP = StorageLevel.MEMORY_AND_DISK
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -25,6 +24,10 @@ def epoch_micros(ts: str) -> Column:
                   f" + CAST(extract(SECOND FROM {ts}) * 1000000 AS BIGINT)")
 
 
+# Tables every query of a session shares, as a corpus build makes them once: (application, folder, name) -> table.
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -37,6 +40,12 @@ class Tables:
             return df
         raise AttributeError(name)
 
+    def built(self, name: str, make) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _BUILT:
+            _BUILT[key] = cut_lineage(make())
+        return _BUILT[key]
+
     # --- address space and links (orders / lineitem) -----------------------------------
 
     @cached_property
@@ -47,16 +56,18 @@ class Tables:
     def space(self) -> DataFrame:
         """addr, book, chapter, unit, pos: sparse, ordered, one row per real address.
 
-        Kept, as the build keeps its address table: equal plans of later
-        queries read the kept blocks, lost ones are recomputed.
+        Written once per session, as the build writes its address table.
         """
-        return S.global_position(S.address_space(self.line_addresses), "addr").persist(KEEP)
+        return self.built("space", lambda: S.global_position(cut_lineage(S.address_space(self.line_addresses)), "addr"))
 
     @cached_property
     def edges(self) -> DataFrame:
-        """Weighted links address -> address range; votes may be zero or negative."""
+        """Weighted links address -> address range; votes may be zero or negative.  Written once per session."""
+        return self.built("edges", self._make_edges)
+
+    def _make_edges(self) -> DataFrame:
         space = self.space
-        n = S.row_total(S.address_space(self.line_addresses))
+        n = S.row_total(space)
         qty = F.col("l_quantity").cast("bigint")
         raw = (self.lineitem.select(
             (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("src"),
@@ -70,7 +81,7 @@ class Tables:
         first = space.select(F.col("pos").alias("_r1"), F.col("addr").alias("dst_start"))
         last = space.select(F.col("pos").alias("_r2"), F.col("addr").alias("dst_end"))
         return (raw.join(first, "_r1").join(last, "_r2")
-                .select("edge_id", "src", "dst_start", "dst_end", "votes")).persist(KEEP)
+                .select("edge_id", "src", "dst_start", "dst_end", "votes"))
 
     @cached_property
     def passages(self) -> DataFrame:
