@@ -89,6 +89,19 @@ def fingerprint(t):
     return Pu.fingerprint(t.orders, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
+@query("snk01_staged_build", """SELECT edition, count(*) AS n FROM texts GROUP BY 1""", ("texts",))
+def staged_build(t):
+    """Write, check, publish, and read back through the pointer."""
+    import uuid
+    from ..session import shared_folder
+    root = f"{shared_folder(t.spark)}/publish-{uuid.uuid4().hex}"
+    build = Pu.StagedBuild(t.spark, root, "b1")
+    texts = build.write("texts", t.texts.select("edition", "addr", "text"), partition_by=["edition"], sort_by=["edition", "addr"])
+    build.promote([("duplicate address", G.repeated(texts, ["edition", "addr"])), ("empty text", G.broken(texts, F.length("text") > 0))])
+    published = build.path("texts", Pu.current_build(t.spark, root))
+    return t.spark.read.schema("addr long, text string, edition string").parquet(published).groupBy("edition").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("snk02_bounded_export", """SELECT o_orderkey || chr(9) || o_orderpriority AS line, (SELECT count(*) FROM orders) AS total, least((SELECT count(*) FROM orders), 5000) AS exported,
     (SELECT count(*) FROM orders) > 5000 AS truncated FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 5000""")
 def bounded_export(t):

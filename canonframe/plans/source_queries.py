@@ -176,6 +176,37 @@ def dictionary_entries(t):
     return Ps.dictionary_entries(docs).select("file", "entry_key", "number", "headword", "gloss", "definition")
 
 
+def _numbered_files(t):
+    e = F.concat(F.lit('<entry id="H'), s("p_partkey"), F.when(F.col("p_size") % 3 == 0, "a").when(F.col("p_size") % 3 == 1, "").otherwise("?"),
+                 F.lit('"><w pos="n-m" pron="p" xlit="x'), s("p_size"), F.lit('" xml:lang="'), F.when(F.col("p_size") % 2 == 0, "arc").otherwise("heb"), F.lit('">'), "p_name",
+                 F.lit('</w><source>from <w src="H1">other</w></source><meaning>so\n <def>'), "p_type", F.lit("</def>, and <def>more</def></meaning><usage>use.</usage></entry>"))
+    return t.part.groupBy(F.col("p_brand").alias("file")).agg(F.concat_ws("\n", F.collect_list(e)).alias("content"))
+
+
+@query("src12_numbered_entries", """SELECT p_brand AS file, 'H' || p_partkey || CASE p_size % 3 WHEN 0 THEN 'a' WHEN 1 THEN '' ELSE '?' END AS entry_key, CASE WHEN p_size % 3 = 2 THEN -1 ELSE p_partkey END AS number,
+    CASE WHEN p_size % 2 = 0 THEN 'arc' ELSE 'hbo' END AS language, p_name AS headword, 'x' || p_size AS xlit, p_type AS gloss, 'so ' || p_type || ', and more' AS meaning, 'from other' AS etymology,
+    CASE WHEN p_size % 3 = 2 THEN 'unrecognised entry id' ELSE '' END AS error FROM part""")
+def numbered_entries(t):
+    d = Ps.numbered_entries(_numbered_files(t))
+    return d.select("file", "entry_key", "number", "language", "headword", "xlit", "gloss", "meaning", "etymology", "error").fillna(-1, ["number"]).fillna("", ["error"])
+
+
+@query("src12_index_entries", """SELECT p_brand AS file, 'H' || p_partkey || CASE WHEN p_size % 2 = 0 THEN 'b' ELSE '' END AS entry_key, CASE WHEN p_size % 2 = 0 THEN 'arc' ELSE 'hbo' END AS language, p_name AS headword, p_type AS gloss, 't' || p_size AS twot
+    FROM part WHERE p_partkey % 5 <> 0""")
+def index_entries(t):
+    e = F.concat(F.lit('<entry id="x"><w xlit="x">'), "p_name", F.lit("</w><pos>N</pos><def>"), "p_type", F.lit('</def><xref bdb="b" twot="t'), s("p_size"), F.lit('"'),
+                 F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit(' strong="'), s("p_partkey"), F.lit('"'))).otherwise(""), F.when(F.col("p_size") % 2 == 0, ' aug="b"').otherwise(""), F.lit("/></entry>"))
+    side = F.col("p_size") % 2 == 0
+    docs = t.part.groupBy(F.col("p_brand").alias("file")).agg(F.concat(
+        F.lit('<part xml:lang="heb">'), F.concat_ws("", F.collect_list(F.when(~side, e))), F.lit('</part><part xml:lang="arc">'), F.concat_ws("", F.collect_list(F.when(side, e))), F.lit("</part>")).alias("content"))
+    return Ps.index_entries(docs).select("file", "entry_key", "language", "headword", "gloss", "twot")
+
+
+@query("wn07_suffixed_keys", """SELECT 'G' || lpad(CAST(p_size AS VARCHAR), 4, '0') || CASE WHEN row_number() OVER w > 1 THEN '.' || row_number() OVER w ELSE '' END AS entry_key, p_brand AS file FROM part WINDOW w AS (PARTITION BY p_size ORDER BY p_brand, p_partkey)""")
+def suffixed_keys(t):
+    return dictionary_entries(t).select("entry_key", "file")
+
+
 def _tab_files(t):
     line = F.concat(F.when(F.col("turn") % 3 == 0, F.concat(F.lit("# book: "), "role", F.lit("\n# a comment\n"))).otherwise(""),
                     F.when(F.col("turn") % 5 == 4, "a line without a tab").otherwise(F.concat(F.lit("u"), s("turn"), F.lit("\t"), F.regexp_replace("text", r"\s+", " "))))
@@ -536,3 +567,28 @@ def notes_for_ids(t):
     order = W.partitionBy("conv_id").orderBy("turn")
     return (t.conversations.join(ids, "conv_id", "left_semi")
             .select("conv_id", "turn", "role", F.row_number().over(order).cast("bigint").alias("note_order")))
+
+
+# --- function surface ---------------------------------------------------------------------------------------
+
+@query("ud01_unicode_functions", "SELECT DISTINCT surface, nfc_normalize(surface) AS composed, lower(strip_accents(surface)) AS folded FROM words", ("words",))
+def unicode_functions(t):
+    """The Arrow functions run once per distinct word."""
+    return t.words.select("surface").distinct().select("surface", T.nfc("surface").alias("composed"), T.nfd_fold("surface").alias("folded"))
+
+
+@query("ud02_reference_table_function", """SELECT p_partkey, CAST(i AS BIGINT) AS item, p_name AS book_name, CAST(p_size AS BIGINT) AS chapter, CAST(v AS BIGINT) AS first_unit, CAST(w AS BIGINT) AS last_unit FROM part,
+    (SELECT unnest([0, 1, 2]) AS i, unnest([16, 18, 20]) AS v, unnest([16, 18, 22]) AS w)""")
+def reference_table_function(t):
+    from ..functions import udtf
+    udtf.register(t.spark)
+    t.part.select("p_partkey", F.concat("p_name", F.lit(" "), s("p_size"), F.lit(":16, 18;20-22")).alias("refs")).createOrReplaceTempView("canonframe_refs")
+    return t.spark.sql("SELECT p_partkey, r.item, r.book_name, r.chapter, r.first_unit, r.last_unit FROM canonframe_refs, LATERAL split_references(refs) r")
+
+
+@query("ud04_transform_chain", """SELECT edition, count(*) AS n_units, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (SELECT edition, addr, string_agg(trim(line), ' ' ORDER BY doc_id, trim(line)) AS text FROM source_lines GROUP BY 1, 2) GROUP BY 1""", ("source_lines",))
+def transform_chain(t):
+    """Every operator is DataFrame -> DataFrame, so a job is a chain of ``transform`` calls."""
+    return (t.source_lines.withColumn("line", F.trim("line"))
+            .transform(Pl.assemble, ["edition", "addr"], ["doc_id"], "line")
+            .transform(lambda d: d.groupBy("edition").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.length("line")).alias("n_chars"))))
