@@ -1,7 +1,7 @@
 """Text normalisation, folding, tokenising and stemming.
 
 Everything on the hot path is a JVM expression.  Python runs only for Unicode
-normal forms, numeric entities and the stemmer, and there as Arrow batches.
+normal forms and the stemmer, and there as Arrow batches.
 """
 
 from __future__ import annotations
@@ -128,13 +128,17 @@ def normalize_unit(text: Column | str, welds: dict[str, str] | None = None, comp
 ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
 
 
-@F.pandas_udf(StringType())
-def _numeric_entities(text: pd.Series) -> pd.Series:
-    pat = re.compile(r"&#(?:x([0-9a-fA-F]+)|(\d+));")
+def _numeric_entities(text: Column) -> Column:
+    """``&#8220;`` and ``&#x201D;`` by code point, inside the JVM; texts without any are passed through."""
+    pattern = r"&#(x[0-9a-fA-F]+|[0-9]+);"
 
-    def one(m: re.Match) -> str:
-        return chr(int(m[1], 16) if m[1] else int(m[2]))
-    return text.map(lambda s: None if s is None else (pat.sub(one, s) if "&#" in s else s))
+    def character(code: Column) -> Column:
+        digits = F.when(F.startswith(code, F.lit("x")), F.regexp_replace(code, "^x", "")).otherwise(F.hex(F.regexp_replace(code, "^x.*", "0").cast("bigint")))
+        return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+    chars = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), character)
+    pieces = F.split(text, pattern, -1)
+    joined = F.array_join(F.zip_with(pieces, chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
 
 
 def decode_entities(text: Column | str, numeric: bool = True) -> Column:

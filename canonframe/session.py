@@ -55,6 +55,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     It survives lost executors, is computed once (``checkpoint()`` computes its
     input twice unless it is cached too) and gives the planner real sizes.
     """
-    path = f"{shared_folder(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/canonframe-{spark.sparkContext.applicationId}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

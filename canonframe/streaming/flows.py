@@ -27,7 +27,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", combine: Callable[[Dat
     the batches, with their ``batch_id``, into the final table.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/canonframe-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
