@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import morphology as Mo, references as R, text as T
 from ..operators import coverage as C, space as S
+from ..session import spread
 from ..sources import parsers as Ps, placement as Pl
 from .registry import query
 
@@ -310,7 +311,7 @@ def licence_evidence(t):
 
 @query("fn01_normalize_text", rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '(?s)/f\s*\+.*?/f\*', '', 'g'), '([a-z])([.,;:!?])([A-Za-z])', '\1\2 \3', 'g'), '{_WS}', ' ', 'g')) AS text FROM documents""")
 def normalize_text(t):
-    return t.documents.select("doc_id", T.normalize_unit("text").alias("text"))
+    return t.scanned_documents.select("doc_id", T.normalize_unit("text").alias("text"))
 
 
 @query("fn02_text_artifacts", r"""WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations)),
@@ -415,7 +416,8 @@ def _reference_strings(t):
     raw = (F.when(form == 0, F.upper(name)).when(form == 1, F.concat(name, F.lit(" "), q)).when(form == 2, F.concat(F.lit(" "), name, F.lit(". "), q, F.lit(" : "), vs))
            .when(form == 3, F.concat_ws(".", camel, q, vs)).when(form == 4, F.concat(name, F.lit(" "), q, F.lit(":"), vs, F.lit("-"), (v + 2).cast("string")))
            .when(form == 5, F.concat(name, F.lit(" "), q, F.lit(":"), vs, F.lit("–"), F.lit("40:2"))).otherwise(F.concat(name, F.lit(" "), q, F.lit(":"), vs, F.lit(" - "), name, F.lit(" "), q, F.lit(":"), (v + 1).cast("string"))))
-    return t.lineitem.join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select(
+    lines = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity"))
+    return lines.join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), raw.alias("raw"))
 
 

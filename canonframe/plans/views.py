@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import space as S
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -101,11 +101,15 @@ class Tables:
                         F.when(n % 4 == 1, "OT").when(n % 4 == 2, "NT").otherwise("all").alias("scope"),
                         (n % 5 != 4).alias("licensed")))
 
+    @cached_property
+    def scanned_documents(self) -> DataFrame:
+        return spread(self.documents.select("doc_id", "text", "lang", "source"))
+
     @cached_property
     def source_lines(self) -> DataFrame:
         """Every line of every document at its address: 24 documents share a chapter, 4 chapters a book."""
         no = F.expr("doc_id div 24")
-        lines = self.documents.select(
+        lines = self.scanned_documents.select(
             "doc_id", "source", "lang", no.alias("_no"),
             F.posexplode(F.split("text", "\n", -1)).alias("_p", "line"))
         return lines.select(
@@ -158,7 +162,7 @@ class Tables:
     @cached_property
     def words(self) -> DataFrame:
         """Running words: addr = doc_id * 1000 + line_no, gapless position per address."""
-        lines = self.documents.select(
+        lines = self.scanned_documents.select(
             "doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("_p", "line"))
         toks = lines.select("doc_id", "lang", (F.col("doc_id") * 1000 + F.col("_p") + 1).alias("addr"),
                             F.posexplode(T.tokens("line")).alias("_w", "surface"))

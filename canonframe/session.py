@@ -59,3 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/canonframe-{spark.sparkContext.applicationId}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a scan with fewer splits than cores (a file of one row group) among all cores.
+
+    For work that is bound by the processor, such as tokenising.  A scan that
+    already has enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
