@@ -32,3 +32,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from .pieces import digests
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_token_output")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from .huffman import read_tokens, write_tokens
+    path = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path, digest_only=True)
