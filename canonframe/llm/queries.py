@@ -40,3 +40,42 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .huffman import read_tokens, write_tokens
     path = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_tokens(spark, path, digest_only=True)
+
+
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def _url_rules_sql() -> str:
+    """The rules as SQL: longest first."""
+    def fits(rule):
+        host, path = rule.split("/", 1)
+        return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}'))"
+    ranked = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    rule = " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in ranked)
+    verdict = " ".join(f"WHEN {fits(t)} THEN '{v}'" for v, t in ranked)
+    return f"""
+WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS r
+              FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 CASE WHEN instr(r, '/') > 0 THEN substr(r, instr(r, '/')) ELSE '' END AS path FROM rest)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM parts"""
+
+
+@query("op6_url_rules", _url_rules_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrules import Rule, judge
+    return judge(table(spark, sf_dir, "pages"), [Rule(v, t) for v, t in URL_RULES])
+
+
+# fixed values of the contract: one query in a hundred, ten answers
+@query("op10_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import integer_vectors, search
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return search(vectors, vectors.where("vec_id % 100 = 0"), 10)
