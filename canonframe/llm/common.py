@@ -79,3 +79,28 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+# ASCII characters that are neither letters, digits nor apostrophes part words.
+_PARTING = bytes(32 if b < 128 and not (chr(b).isalnum() or b == 39) else b for b in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Words of a whole text in UTF-8: ASCII lower case, parted by ASCII punctuation and white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_PARTING).split()
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, where: str = "true") -> DataFrame:
+    """(doc_id, text, y): a bounded sample of labelled rows, at most ``most`` of each class.
+
+    The rows with the smallest hash of doc_id are taken, so the sample is the same in every run.  It is chosen on the
+    labels alone, before any text is read.  Ids with contradicting labels are left out.
+    """
+    y = F.col(label).cast("int")
+    known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), y.alias("y")).where("doc_id is not null and y in (0, 1)")
+             .where(where).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z"))
+    taken = None
+    for value in (0, 1):
+        part = known.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        taken = part if taken is None else taken.unionByName(part)
+    return texts(docs).join(taken, "doc_id")

@@ -79,3 +79,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import integer_vectors, search
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
     return search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
