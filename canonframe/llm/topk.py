@@ -22,6 +22,7 @@ from .common import cut_lineage
 BLOCK_ROWS = 4096            # queries in one broadcast block
 HEAD_ROWS = 8192             # longest vectors searched first
 CHUNK = 2048                 # candidates bounded together
+QUERY_SLICE, PAIR_SLICE = 256, 32_768      # queries and pairs that are held at once
 LEADS = (8, 24)              # leading components after which pairs are pruned
 
 
@@ -86,31 +87,39 @@ class _Block:
         live = np.flatnonzero(self.norms * norms.max(initial=0) + slack >= self.bounds)
         if not len(live):
             return
-        rows = cols = None
-        for n, q_rest in zip(LEADS, self.rest):
-            c_rest = np.sqrt((rotated[:, n:] ** 2).sum(axis=1))
-            if rows is None:
-                top = self.rotated[live, :n] @ rotated[:, :n].T + q_rest[live, None] * c_rest
-                rows, cols = np.nonzero(top + slack >= self.bounds[live, None])
-                rows = live[rows]
-            elif len(rows):
-                top = np.einsum("ij,ij->i", self.rotated[rows, :n], rotated[cols, :n]) + q_rest[rows] * c_rest[cols]
-                keep = top + slack >= self.bounds[rows]
-                rows, cols = rows[keep], cols[keep]
-        keep = self.ids[rows] != ids[cols]
-        rows, cols = rows[keep], cols[keep]
-        if not len(rows):
-            return
-        scores = np.einsum("ij,ij->i", self.vectors[rows], vectors[cols])
-        keep = scores >= self.bounds[rows]
-        rows, cols, scores = rows[keep], cols[keep], scores[keep]
-        order = np.lexsort((ids[cols], -scores, rows))
-        rows, cols, scores = rows[order], cols[order], scores[order]
+        c_rests = [np.sqrt((rotated[:, n:] ** 2).sum(axis=1)) for n in LEADS]
+        for at in range(0, len(live), QUERY_SLICE):
+            part = live[at:at + QUERY_SLICE]
+            n = LEADS[0]
+            top = self.rotated[part, :n] @ rotated[:, :n].T + self.rest[0][part, None] * c_rests[0]
+            able = top + slack >= self.bounds[part, None]
+            able &= self.ids[part, None] != ids
+            if able.mean() > 0.25:                       # bounds say little yet: score the slice whole
+                scores = self.vectors[part] @ vectors.T
+                able &= scores >= self.bounds[part, None]
+                rows, cols = np.nonzero(able)
+                self._take(part[rows], ids[cols], scores[rows, cols], k)
+                continue
+            rows, cols = np.nonzero(able)
+            for s in range(0, len(rows), PAIR_SLICE):
+                r, c = part[rows[s:s + PAIR_SLICE]], cols[s:s + PAIR_SLICE]
+                for n, q_rest, c_rest in list(zip(LEADS, self.rest, c_rests))[1:]:
+                    top = np.einsum("ij,ij->i", self.rotated[r, :n], rotated[c, :n]) + q_rest[r] * c_rest[c]
+                    keep = top + slack >= self.bounds[r]
+                    r, c = r[keep], c[keep]
+                scores = np.einsum("ij,ij->i", self.vectors[r], vectors[c])
+                keep = scores >= self.bounds[r]
+                self._take(r[keep], ids[c[keep]], scores[keep], k)
+
+    def _take(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
+        """Merge scored pairs into the best of their queries."""
+        order = np.lexsort((ids, -scores, rows))
+        rows, ids, scores = rows[order], ids[order], scores[order]
         starts = np.flatnonzero(np.diff(rows, prepend=-1))
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
             q = int(rows[s])
             e = min(e, s + k)
-            merged = sorted(self.best[q] + list(zip((-scores[s:e]).tolist(), ids[cols[s:e]].tolist())))[:k]
+            merged = sorted(self.best[q] + list(zip((-scores[s:e]).tolist(), ids[s:e].tolist())))[:k]
             self.best[q] = merged
             if len(merged) == k:
                 self.bounds[q] = max(self.bounds[q], -merged[-1][0])
