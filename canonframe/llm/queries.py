@@ -99,3 +99,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_licences")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a source tree: thousand / hundred / ten / file; every tenth file is its directory's LICENSE."""
+    from pyspark.sql import functions as F
+    from .licences import scan
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.expr("cast(doc_id div 1000 as string)"), F.expr("cast(doc_id div 100 as string)"),
+                       F.expr("cast(doc_id div 10 as string)"), name)
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return scan(files).withColumnRenamed("file_id", "doc_id")
