@@ -111,3 +111,59 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.expr("cast(doc_id div 10 as string)"), name)
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
     return scan(files).withColumnRenamed("file_id", "doc_id")
+
+
+TOOLS = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 60}},
+               "required": ["query", "limit"], "additionalProperties": False},
+    "fetch": {"properties": {"id": {"type": "integer"}, "fresh": {"type": "boolean"}}, "required": ["id", "fresh"]},
+    "convert": {"properties": {"unit": {"type": "string", "enum": ["km", "mi"]}, "value": {"type": "number"}}, "required": ["unit"]},
+}
+
+
+# Assistant turns are calls, the turns after them results; which tool and arguments follow from the text's words.
+_TOOL_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, len(string_split(text, ' ')) AS n, string_split(text, ' ')[1] AS w FROM conversations),
+raw AS (SELECT conv_id, concat('c', conv_id, '-', turn) AS call_id, turn, n, w, CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'fetch' ELSE 'convert' END AS name,
+        CASE WHEN turn >= 2 THEN concat('c', conv_id, '-', turn - 2) END AS ref FROM t WHERE role = 'assistant'),
+args AS (SELECT *, n % 17 = 0 AS broken,
+  CASE name WHEN 'search' THEN concat('{"limit":', n, ',"query":', to_json(w), '}') WHEN 'fetch' THEN concat('{"fresh":', CASE WHEN n % 2 = 0 THEN 'true' ELSE 'null' END, ',"id":', conv_id, '}')
+       ELSE concat('{"unit":"', CASE n % 4 WHEN 0 THEN 'km' WHEN 1 THEN 'mi' ELSE 'ft' END, '","value":', n, '.5}') END AS canonical FROM raw),
+lev AS (SELECT a.conv_id, a.call_id, 0 AS level FROM args a LEFT JOIN args b ON a.conv_id = b.conv_id AND a.ref = b.call_id WHERE b.call_id IS NULL
+        UNION ALL SELECT a.conv_id, a.call_id, l.level + 1 FROM args a JOIN lev l ON a.conv_id = l.conv_id AND a.ref = l.call_id),
+calls AS (SELECT a.conv_id, a.call_id, a.turn AS call_turn, lev.level, concat_ws('; ',
+    CASE WHEN a.broken THEN 'arguments are not an object' WHEN a.name = 'search' AND a.n > 60 THEN 'limit is beyond its maximum'
+         WHEN a.name = 'fetch' AND a.n % 2 = 1 THEN 'fresh is not boolean' WHEN a.name = 'convert' AND a.n % 4 > 1 THEN 'unit is not allowed' END,
+    CASE WHEN a.ref IS NOT NULL AND b.call_id IS NULL THEN concat('refers to unknown ', a.ref) END) AS problems,
+    concat('{"arguments":', CASE WHEN a.broken THEN 'null' ELSE a.canonical END, ',"id":"', a.call_id, '","name":"', a.name, '"}') AS call_json
+  FROM args a JOIN lev ON a.call_id = lev.call_id AND a.conv_id = lev.conv_id LEFT JOIN args b ON a.conv_id = b.conv_id AND a.ref = b.call_id),
+results AS (SELECT conv_id, concat('c', conv_id, '-', turn - 1) AS call_id, turn AS result_turn,
+  concat('{"content":', to_json(text), ',"id":"c', conv_id, '-', turn - 1, '"}') AS result_json FROM t WHERE role = 'user' AND turn > 0)
+SELECT r.conv_id, r.call_id, call_turn, level, result_turn, CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'answered' END AS status, problems, call_json, result_json
+FROM results r LEFT JOIN calls c ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+UNION ALL SELECT conv_id, call_id, call_turn, level, NULL, 'unanswered', problems, call_json, NULL FROM calls c
+WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.conv_id = c.conv_id AND r.call_id = c.call_id)"""
+
+
+@query("op7_tool_calls", _TOOL_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations as tool use: assistant turns call, the user turn after each answers."""
+    from pyspark.sql import functions as F
+    from .toolcalls import link
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.size(F.split("text", " ")).alias("n"),
+                                                         F.element_at(F.split("text", " "), 1).alias("w"))
+    number = F.col("n").cast("string")
+    conv = F.col("conv_id").cast("string")
+    query_json = F.regexp_replace(F.to_json(F.struct(F.col("w").alias("query"))), r"\}$", "")
+    arguments = (F.when(F.expr("n % 3 = 0"), F.concat(query_json, F.lit(', "limit" : '), number, F.lit(" }")))
+                 .when(F.expr("n % 3 = 1"), F.concat(F.lit('{ "id": '), conv, F.lit(', "fresh": '), F.when(F.expr("n % 2 = 0"), "true").otherwise("null"), F.lit("}")))
+                 .otherwise(F.concat(F.lit('{"value": '), number, F.lit('.50, "unit": "'),
+                                     F.when(F.expr("n % 4 = 0"), "km").when(F.expr("n % 4 = 1"), "mi").otherwise("ft"), F.lit('"}'))))
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id", F.concat(F.lit("c"), conv, F.lit("-"), F.col("turn").cast("string")).alias("call_id"), "turn",
+        F.when(F.expr("n % 3 = 0"), "search").when(F.expr("n % 3 = 1"), "fetch").otherwise("convert").alias("name"),
+        F.when(F.expr("n % 17 = 0"), F.regexp_replace(arguments, r"\}$", "")).otherwise(arguments).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(F.concat(F.lit("c"), conv, F.lit("-"), (F.col("turn") - 2).cast("string")))).alias("after"))
+    results = turns.where("role = 'user' and turn > 0").select(
+        "conv_id", F.concat(F.lit("c"), conv, F.lit("-"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
+    return link(calls, results, TOOLS)
