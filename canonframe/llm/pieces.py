@@ -313,17 +313,25 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def digests(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode every text in one pass, keeping only digests."""
+def digests(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): encode every text and decode its ids again, in one pass."""
     def run(batches: Iterator[pa.RecordBatch]):
         table = pieces(model)
         for b in slices(batches):
-            counts, coded, plain = [], [], []
+            counts, coded, plain, kept = [], [], [], []
             for t in b.column("text").to_pylist():
                 data = table.encode(t or "")
-                counts.append(len(data) // 4)
+                ids = np.frombuffer(data, "<u4")
+                counts.append(len(ids))
                 coded.append(hashlib.sha256(data).hexdigest())
-                plain.append(hashlib.sha256(table.decode(np.frombuffer(data, "<u4").tolist()).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded, pa.string()),
-                                              pa.array(plain, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                plain.append(hashlib.sha256(table.decode(ids.tolist()).encode("utf-8")).hexdigest())
+                if keep_ids:
+                    kept.append(ids.astype(np.int32))
+            columns = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                columns.append(pa.array(kept, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return texts(docs).mapInArrow(run, schema + (", ids array<int>" if keep_ids else ""))
