@@ -10,7 +10,8 @@ so every linked pair shares a shard.  A shard above ``shard_rows`` fingerprints
 bits, which is exact for the same reason; three deals leave at most 19 free bits, 2**19 fingerprints, in any shard.
 
 ``near_classes`` serves similarities far beyond two bits: texts become 256-bit sketches of five-word shingles, shards are
-40 samples of 18 bits, and a pair links when the similarity estimated from its Hamming distance is 0.8 or more.
+56 samples of 18 bits (a pair of similarity 0.8 shares one with probability 0.95, of 0.85 with 0.99), and a pair links
+when the similarity estimated from its Hamming distance is 0.8 less one standard error (0.03) or more.
 """
 
 from __future__ import annotations
@@ -186,11 +187,11 @@ class Pigeonhole:
 
 
 class Samples:
-    """Deal by fixed samples of bits: 40 at first, four further ones for each row of a shard that is too large."""
+    """Deal by fixed samples of bits: 56 at first, four further ones for each row of a shard that is too large."""
 
     levels = 4
 
-    def __init__(self, words: int = 4, tables: int = 40, bits: int = 18, again: int = 4):
+    def __init__(self, words: int = 4, tables: int = 56, bits: int = 18, again: int = 4):
         self.words, self.tables, self.bits, self.again = words, tables, bits, again
 
     def masks(self, level: int, path: int) -> list[tuple[int, np.ndarray]]:
@@ -299,7 +300,7 @@ def _similar(threshold: float, bits: int) -> Callable[[int, int, int], bool]:
     return accept
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_rows: int = SHARD_ROWS, margin: float = 0.03) -> DataFrame:
     """(text_key, least, root) per distinct text: its class under similarity of its sets of five-word shingles.
 
     ``least`` is the smallest doc_id with that text.  Texts that are equal are one node whatever their words are; texts
@@ -322,8 +323,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_
     nodes = cut_lineage(sketched.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("value").alias("value"),
                                                          F.first("size").alias("size"))
                         .withColumn("id", F.monotonically_increasing_id()))
-    radius = max(d for d in range(64 * words) if _similar(threshold, 64 * words)(d, 1, 1))
-    links = similar_links(nodes.where("size > 0"), Samples(words), radius, _similar(threshold, 64 * words), shard_rows)
+    similar = _similar(threshold - margin, 64 * words)
+    radius = max(d for d in range(64 * words) if similar(d, 1, 1))
+    links = similar_links(nodes.where("size > 0"), Samples(words), radius, similar, shard_rows)
     roots = components(links)
     return (nodes.select("text_key", "least", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
             .select("text_key", "least", F.coalesce("root", "id").alias("root")))
