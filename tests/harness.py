@@ -24,7 +24,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _frame(df: pd.DataFrame) -> pd.DataFrame:
     out = df[sorted(df.columns)].copy()
     for c in out.columns:
-        out[c] = out[c].map(lambda v: "NULL" if v is None or (isinstance(v, float) and v != v) or v is pd.NaT
+        out[c] = out[c].astype(object).map(lambda v: "NULL" if v is None or (isinstance(v, float) and v != v) or v is pd.NaT or v is pd.NA
                             else (repr(round(v, 9)) if isinstance(v, float) else str(v)))
     return out.sort_values(list(out.columns)).reset_index(drop=True)
 
