@@ -95,7 +95,13 @@ def test_odd_rows(spark):
     assert S.linked_classes(no_docs(spark)).count() == 0
 
 
+def similarity(a, b):
+    a, b = ({tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
 def test_keep_one_of_each_group(spark):
+    """Copies with one word in 200 changed: any two share at least 0.9 of their shingles."""
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]
     rows, i = [], 0
@@ -103,16 +109,34 @@ def test_keep_one_of_each_group(spark):
         words = [rng.choice(vocabulary) for _ in range(200)]
         for _ in range(6):
             copy = list(words)
-            for p in rng.sample(range(200), rng.choice((0, 1, 2, 3))):
-                copy[p] = "edit"
+            copy[rng.randrange(200)] = rng.choice(("edit", words[0]))
             rows.append((i, " ".join(copy)))
             i += 1
     rows.append(rows[0])
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = [r["doc_id"] for r in S.keep_one(docs).collect()]
-    assert len(kept) == len(set(kept)) and len(kept) <= 32             # 30 groups; a borderline pair may stay
-    assert set(range(0, 180, 6)) <= set(kept)
-    assert len([r for r in S.keep_one(docs, shard_rows=3).collect()]) <= 40
+    assert sorted(r["doc_id"] for r in S.keep_one(docs).collect()) == list(range(0, 180, 6))
+    assert sorted(r["doc_id"] for r in S.keep_one(docs, shard_rows=3).collect()) == list(range(0, 180, 6))
+
+
+def test_near_copies_are_found_and_others_stay(spark):
+    """Recall against brute force over pairs of a wide range of similarities."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    pairs = []
+    for n in (40, 100, 300, 1000):
+        for share in (0.005, 0.01, 0.02, 0.05, 0.1):
+            for _ in range(12):
+                a = [rng.choice(vocabulary) for _ in range(n)]
+                b = list(a)
+                for p in rng.sample(range(n), max(1, int(share * n))):
+                    b[p] = f"edit{rng.randrange(99)}"
+                pairs.append((" ".join(a), " ".join(b)))
+    docs = spark.createDataFrame([(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)], "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in S.keep_one(docs).collect()}
+    gone = [(similarity(*pair), 2 * i + 1 not in kept) for i, pair in enumerate(pairs)]
+    near, far = [g for j, g in gone if j >= 0.85], [g for j, g in gone if j < 0.65]
+    assert sum(near) >= 0.9 * len(near) and not any(far)
+    assert set(range(0, 2 * len(pairs), 2)) <= kept
 
 
 def test_keep_one_of_odd_rows(spark):
