@@ -9,9 +9,9 @@ the trees from the driver would take every fingerprint through the driver.
 so every linked pair shares a shard.  A shard above ``shard_rows`` fingerprints is dealt again by blocks of its remaining
 bits, which is exact for the same reason; three deals leave at most 19 free bits, 2**19 fingerprints, in any shard.
 
-``near_classes`` serves similarities far beyond two bits: texts become 256-bit sketches of five-word shingles, shards are
+``near_classes`` serves similarities far beyond two bits: texts become 512-bit sketches of five-word shingles, shards are
 56 samples of 18 bits (a pair of similarity 0.8 shares one with probability 0.95, of 0.85 with 0.99), and a pair links
-when the similarity estimated from its Hamming distance is 0.8 less one standard error (0.03) or more.
+when the similarity estimated from its Hamming distance is 0.8 less one standard error (0.02) or more.
 """
 
 from __future__ import annotations
@@ -191,7 +191,7 @@ class Samples:
 
     levels = 4
 
-    def __init__(self, words: int = 4, tables: int = 56, bits: int = 18, again: int = 4):
+    def __init__(self, words: int = 8, tables: int = 56, bits: int = 18, again: int = 4):
         self.words, self.tables, self.bits, self.again = words, tables, bits, again
 
     def masks(self, level: int, path: int) -> list[tuple[int, np.ndarray]]:
@@ -201,7 +201,7 @@ class Samples:
                 for j in range(n)]
 
 
-_ROWS = "id bigint, value binary, size bigint, path bigint, shard bigint"
+_DEALT = "id bigint, path bigint, shard bigint"
 
 
 def _deal(rows: DataFrame, plan, level: int) -> DataFrame:
@@ -214,16 +214,14 @@ def _deal(rows: DataFrame, plan, level: int) -> DataFrame:
             shard = b.column("shard").to_numpy().view(np.uint64)
             for p in np.unique(path):
                 at = np.flatnonzero(path == p)
-                part = b.take(pa.array(at))
+                ident = b.column("id").take(pa.array(at))
                 for new_path, mask in plan.masks(level, int(p)):
                     key = mix64(shard[at], level + 1)
                     for w in range(plan.words):
                         key = mix64(key ^ (value[at, w] & mask[w]), (new_path % 1_000_003) + 7 * w + 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("id"), part.column("value"), part.column("size"),
-                         pa.array(np.full(len(at), new_path, np.int64)), pa.array(key.view(np.int64))],
-                        ["id", "value", "size", "path", "shard"])
-    return rows.mapInArrow(run, _ROWS)
+                    yield pa.RecordBatch.from_arrays([ident, pa.array(np.full(len(at), new_path, np.int64)), pa.array(key.view(np.int64))],
+                                                     ["id", "path", "shard"])
+    return rows.mapInArrow(run, _DEALT)
 
 
 def _search(rows: DataFrame, radius: int, accept) -> DataFrame:
@@ -247,27 +245,30 @@ def _search(rows: DataFrame, radius: int, accept) -> DataFrame:
         if len(members) > 1:
             links += shard_links(members, radius, accept)
         yield batch()
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a bigint, b bigint")
+    return (rows.select("shard", "id", "value", "size").repartition("shard").sortWithinPartitions("shard")
+            .mapInArrow(run, "a bigint, b bigint"))
 
 
 def similar_links(nodes: DataFrame, plan, radius: int, accept, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (a, b) that connect all nodes (id, value, size) which share a shard and are accepted.
 
-    Shards of one row are dropped by an aggregate before any row is moved; shards of more than ``shard_rows`` rows are
-    dealt again up to ``plan.levels`` times.
+    What is dealt is ids alone.  Shards of one row are dropped by an aggregate, and only the rest fetch their values.
+    Shards of more than ``shard_rows`` rows are dealt again up to ``plan.levels`` times.
     """
-    rows = nodes.select("id", "value", "size", F.lit(0).cast("bigint").alias("path"), F.lit(0).cast("bigint").alias("shard"))
+    nodes = nodes.select("id", "value", "size")
+    rows = nodes.withColumn("path", F.lit(0).cast("bigint")).withColumn("shard", F.lit(0).cast("bigint"))
     found = None
     for level in range(plan.levels):
-        rows = cut_lineage(_deal(rows, plan, level))
-        counts = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = rows.join(counts, "shard")
+        dealt = cut_lineage(_deal(rows, plan, level))
+        counts = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         last = level == plan.levels - 1
-        links = cut_lineage(_search(sized.where("true" if last else f"n <= {shard_rows}").select(rows.columns), radius, accept))
+        small = counts if last else counts.where(f"n <= {shard_rows}")
+        links = cut_lineage(_search(dealt.join(small.drop("n"), "shard").join(nodes, "id"), radius, accept))
         found = links if found is None else found.unionByName(links)
-        if last or counts.where(f"n > {shard_rows}").isEmpty():
+        large = counts.where(f"n > {shard_rows}").drop("n")
+        if last or large.isEmpty():
             break
-        rows = sized.where(f"n > {shard_rows}").select(rows.columns)
+        rows = dealt.join(large, "shard").join(nodes, "id")
     return found
 
 
@@ -300,13 +301,13 @@ def _similar(threshold: float, bits: int) -> Callable[[int, int, int], bool]:
     return accept
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_rows: int = SHARD_ROWS, margin: float = 0.03) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_rows: int = SHARD_ROWS, margin: float = 0.02) -> DataFrame:
     """(text_key, least, root) per distinct text: its class under similarity of its sets of five-word shingles.
 
     ``least`` is the smallest doc_id with that text.  Texts that are equal are one node whatever their words are; texts
     without words only match each other.
     """
-    words = 4
+    words = 8
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches):
