@@ -78,7 +78,7 @@ def fan_out(changes: DataFrame, space: DataFrame) -> DataFrame:
     chapter crossings cost what they hold.  Ranges are not capped.
     """
     one = changes.where("start_addr = end_addr").withColumn("addr", F.col("start_addr"))
-    many = S.expand_ranges(changes.where("start_addr < end_addr"), space, "start_addr", "end_addr", max_span=None)
+    many = S.expand_ranges(changes.where("start_addr < end_addr"), space, "start_addr", "end_addr")
     return one.unionByName(many)
 
 

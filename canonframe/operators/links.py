@@ -11,13 +11,13 @@ from . import space as S
 
 def heat(edges: DataFrame, space: DataFrame) -> DataFrame:
     """addr, inbound_count, weighted_score (a link weighs at least 1)."""
-    return (S.tally_ranges(edges, space, F.greatest(F.col("votes"), F.lit(1)), "dst_start", "dst_end")
+    return (S.tally_ranges(edges, space, F.greatest(F.col("votes"), F.lit(1)), "dst_start", "dst_end", S.LINK_SPAN)
             .select("addr", F.col("n_ranges").alias("inbound_count"), F.col("weight").alias("weighted_score")))
 
 
 def heat_recomputed(edges: DataFrame, space: DataFrame) -> DataFrame:
     """The same by running sums instead of expansion: the independent recomputation a gate compares with."""
-    return (S.tally_ranges_by_deltas(edges, space, F.greatest(F.col("votes"), F.lit(1)), "dst_start", "dst_end")
+    return (S.tally_ranges_by_deltas(edges, space, F.greatest(F.col("votes"), F.lit(1)), "dst_start", "dst_end", S.LINK_SPAN)
             .select("addr", F.col("n_ranges").alias("inbound_count"), F.col("weight").alias("weighted_score")))
 
 
@@ -34,16 +34,15 @@ def with_heat(units: DataFrame, heat_rows: DataFrame) -> DataFrame:
             .withColumn("heat_bucket", F.coalesce("heat_bucket", F.lit(0).cast("bigint"))))
 
 
-def outbound(requests: DataFrame, edges: DataFrame, min_votes: int = 0, max_width: int | None = None) -> DataFrame:
-    """Links leaving any address of each requested range (``max_width``: bound on the ranges, if known)."""
-    return S.points_in_ranges(edges.where(F.col("votes") >= min_votes), requests, "src", ("q_start", "q_end"),
-                              range_max=max_width)
+def outbound(requests: DataFrame, edges: DataFrame, min_votes: int = 0) -> DataFrame:
+    """Links leaving any address of each requested range."""
+    return S.points_in_ranges(edges.where(F.col("votes") >= min_votes), requests, "src", ("q_start", "q_end"))
 
 
-def inbound(requests: DataFrame, edges: DataFrame, min_votes: int = 0, max_width: int | None = None) -> DataFrame:
+def inbound(requests: DataFrame, edges: DataFrame, min_votes: int = 0) -> DataFrame:
     """Links whose target range overlaps each requested range."""
     return S.overlap_join(requests, edges.where(F.col("votes") >= min_votes),
-                          ("q_start", "q_end"), ("dst_start", "dst_end"), left_max=max_width)
+                          ("q_start", "q_end"), ("dst_start", "dst_end"))
 
 
 def strongest(pairs: DataFrame, key: str, limit: int, address: str) -> DataFrame:
@@ -52,16 +51,16 @@ def strongest(pairs: DataFrame, key: str, limit: int, address: str) -> DataFrame
     return pairs.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit)
 
 
-def totals(requests: DataFrame, edges: DataFrame, min_votes: int = 0, max_width: int | None = None) -> DataFrame:
+def totals(requests: DataFrame, edges: DataFrame, min_votes: int = 0) -> DataFrame:
     """Outbound, inbound and unique link counts per request.
 
     A link that leaves the range and also points into it is one link: it is
     recognised on the outbound pair itself, so no pair list is deduplicated.
     """
-    out = outbound(requests, edges, min_votes, max_width)
+    out = outbound(requests, edges, min_votes)
     both = A.overlaps("dst_start", "dst_end", "q_start", "q_end")
     n_out = out.groupBy("req").agg(F.count(F.lit(1)).alias("n_outbound"), F.count_if(both).alias("_both"))
-    n_in = inbound(requests, edges, min_votes, max_width).groupBy("req").agg(F.count(F.lit(1)).alias("n_inbound"))
+    n_in = inbound(requests, edges, min_votes).groupBy("req").agg(F.count(F.lit(1)).alias("n_inbound"))
     zero = F.lit(0).cast("bigint")
     return (requests.select("req").join(n_out, "req", "left").join(n_in, "req", "left")
             .select("req", F.coalesce("n_outbound", zero).alias("n_outbound"),
@@ -122,9 +121,8 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_degree: int
         asked = frontier.select("seed", F.col("ord").alias("p_ord"), F.col("id").alias("p_id"),
                                 F.col("start").alias("p_start"), F.col("end").alias("p_end"))
         distinct_ranges = asked.select("p_start", "p_end").distinct()
-        widest = frontier.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 1   # one number
-        out = S.points_in_ranges(links, distinct_ranges, "src", ("p_start", "p_end"), range_max=widest)
-        inn = S.overlap_join(distinct_ranges, links, ("p_start", "p_end"), ("dst_start", "dst_end"), left_max=widest)
+        out = S.points_in_ranges(links, distinct_ranges, "src", ("p_start", "p_end"))
+        inn = S.overlap_join(distinct_ranges, links, ("p_start", "p_end"), ("dst_start", "dst_end"))
         directions = [
             out.select("p_start", "p_end", F.lit(0).alias("dir"), "edge_id", "votes",
                        F.col("dst_start").alias("start"), F.col("dst_end").alias("end")),

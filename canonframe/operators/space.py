@@ -22,7 +22,7 @@ from ..session import cut_lineage
 
 BLOCK = 1_000_000          # addresses per block (one collection)
 SUPERBLOCK = 1_000         # blocks per superblock
-MAX_SPAN = 400             # fixed value: widest range, in real addresses, that is expanded
+LINK_SPAN = 400            # fixed value: widest link target, in real addresses, that heat and link expansion walk
 
 
 def address_space(df: DataFrame, addr: str = "addr") -> DataFrame:
@@ -101,20 +101,35 @@ def unresolved_ranges(ranges: DataFrame, space: DataFrame, start: str = "start",
     addrs = space.select(F.col("addr").alias("_a"))
     bad_start = ranges.join(addrs, F.col(start) == F.col("_a"), "left_anti")
     bad_end = (ranges.join(addrs, F.col(start) == F.col("_a"), "left_semi")
-               .join(addrs, F.col(end) == F.col("_a"), "left_anti"))
+               .join(addrs, F.greatest(F.col(start), F.col(end)) == F.col("_a"), "left_anti"))
     return bad_start.withColumn("bad", F.lit("start")).unionByName(bad_end.withColumn("bad", F.lit("end")))
 
 
+def _last_position(max_span: int | None) -> Column:
+    return F.col("p_end") if max_span is None else F.least(F.col("p_end"), F.col("p_start") + (max_span - 1))
+
+
+def range_report(ranges: DataFrame, space: DataFrame, start: str = "start", end: str = "end",
+                 max_span: int | None = None) -> DataFrame:
+    """What an expansion leaves out: ranges with an unreal ``start`` or ``end``, and those ``truncated`` at ``max_span``.
+
+    ``ranges`` columns plus ``bad`` and ``lost``, the number of real addresses left out (null for unreal ends).
+    """
+    missing = unresolved_ranges(ranges, space, start, end).withColumn("lost", F.lit(None).cast("bigint"))
+    cut = (to_positions(ranges, space, start, end).withColumn("lost", F.col("p_end") - _last_position(max_span)).where("lost > 0")
+           .withColumn("bad", F.lit("truncated")).select(*ranges.columns, "bad", "lost"))
+    return missing.select(*ranges.columns, "bad", "lost").unionByName(cut)
+
+
 def expand_ranges(ranges: DataFrame, space: DataFrame, start: str = "start", end: str = "end",
-                  max_span: int | None = MAX_SPAN) -> DataFrame:
+                  max_span: int | None = None) -> DataFrame:
     """One row per real address inside each range: ``ranges`` columns plus ``addr``.
 
-    ``max_span`` is the reference semantics of a link target; pass ``None`` for
-    ranges that must be expanded whole.
+    Ranges are walked whole unless ``max_span`` says where to stop;
+    ``range_report`` gives the ranges that this cuts and those with unreal ends.
     """
     located = to_positions(ranges, space, start, end)
-    last = F.col("p_end") if max_span is None else F.least(F.col("p_end"), F.col("p_start") + (max_span - 1))
-    steps = located.withColumn("_pos", F.explode(F.sequence(F.col("p_start"), last))).drop("p_start", "p_end")
+    steps = located.withColumn("_pos", F.explode(F.sequence(F.col("p_start"), _last_position(max_span)))).drop("p_start", "p_end")
     return steps.join(space.select(F.col("pos").alias("_pos"), "addr"), "_pos").drop("_pos")
 
 
@@ -160,7 +175,7 @@ def running(df: DataFrame, order: str, block: Column, aggs: dict[str, tuple[str,
 
 
 def tally_ranges(ranges: DataFrame, space: DataFrame, weight: Column, start: str = "start",
-                 end: str = "end", max_span: int = MAX_SPAN) -> DataFrame:
+                 end: str = "end", max_span: int | None = None) -> DataFrame:
     """Per address: how many ranges cover it and their summed weight.
 
     Equal ranges are pre-aggregated, the rest is expanded to positions and
@@ -171,14 +186,13 @@ def tally_ranges(ranges: DataFrame, space: DataFrame, weight: Column, start: str
     distinct = (ranges.groupBy(F.col(start).alias("_rs"), F.col(end).alias("_re"))
                 .agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).cast("bigint").alias("_w")))
     located = to_positions(distinct, space, "_rs", "_re")
-    last = F.least(F.col("p_end"), F.col("p_start") + (max_span - 1))
-    cells = (located.select(F.explode(F.sequence("p_start", last)).alias("pos"), "_n", "_w")
+    cells = (located.select(F.explode(F.sequence("p_start", _last_position(max_span))).alias("pos"), "_n", "_w")
              .groupBy("pos").agg(F.sum("_n").alias("n_ranges"), F.sum("_w").alias("weight")))
     return cells.join(space.select("pos", "addr"), "pos").select("addr", "n_ranges", "weight")
 
 
 def tally_ranges_by_deltas(ranges: DataFrame, space: DataFrame, weight: Column, start: str = "start",
-                           end: str = "end", max_span: int = MAX_SPAN) -> DataFrame:
+                           end: str = "end", max_span: int | None = None) -> DataFrame:
     """The same without expanding: cheaper for wide ranges, and the second method a gate compares with.
 
     Every distinct range leaves a +value at its first and a -value after its
@@ -188,7 +202,7 @@ def tally_ranges_by_deltas(ranges: DataFrame, space: DataFrame, weight: Column,
     distinct = (ranges.groupBy(F.col(start).alias("_rs"), F.col(end).alias("_re"))
                 .agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).cast("bigint").alias("_w")))
     located = to_positions(distinct, space, "_rs", "_re")
-    stop = F.least(F.col("p_end"), F.col("p_start") + (max_span - 1)) + 1
+    stop = _last_position(max_span) + 1
     marks = located.select(F.explode(F.array(
         F.struct(F.col("p_start").alias("pos"), F.col("_n").alias("dn"), F.col("_w").alias("dw")),
         F.struct(stop.alias("pos"), (-F.col("_n")).alias("dn"), (-F.col("_w")).alias("dw")))).alias("m"))
@@ -216,7 +230,6 @@ def _own_level(start: str, end: str) -> Column:
 def _bins(levels: Column, start: str, end: str) -> Column:
     """Array of (level, bin, first) for the given array of levels: at most two bins per level."""
     def at(level):
-        lo = F.shiftright(F.col(start), 0)  # keeps BIGINT
         w = F.expr(f"CAST({_RADIX_BITS} AS INT)") * level
         first = F.call_function("shiftright", F.col(start), w)
         last = F.call_function("shiftright", F.col(end), w)
@@ -225,39 +238,48 @@ def _bins(levels: Column, start: str, end: str) -> Column:
     return F.flatten(F.transform(levels, at))
 
 
-def _level_of(width: int | None) -> int:
-    """The level that holds every interval up to ``width``; all levels when it is unknown."""
-    if width is None:
-        return _LEVELS
-    return next((k for k in range(_LEVELS) if width <= 1 << (_RADIX_BITS * k)), _LEVELS)
+def _occupied(df: DataFrame, start: str, end: str) -> Column:
+    """The levels a side's intervals own, as a scalar subquery: at most ``_LEVELS + 1`` numbers whatever the size."""
+    return df.select(F.coalesce(F.collect_set(_own_level(start, end)), F.array().cast("array<int>"))).scalar()
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
-                 right_range: tuple[str, str], salt: int = 1, left_max: int | None = None,
-                 right_max: int | None = None) -> DataFrame:
+                 right_range: tuple[str, str], salt: int = 1) -> DataFrame:
     """All pairs of rows whose closed integer ranges share a value.
 
     Every interval owns one level of a radix tree of bins, the one whose bins
     are as wide as itself, and touches at most two bins there.  A pair meets
     in the bin of the wider interval: one equi-join finds the pairs whose right
-    interval is the wider, a second one the rest, so nothing is emitted twice
-    and a long range costs no more rows than a short one.  The pair is kept in
-    the first bin both touch, which makes a final ``distinct`` unnecessary.
+    interval is the wider, a second one the rest, so nothing is emitted twice.
+    A row is copied only to the levels that the other side occupies, which are
+    read from the data, so no width has to be promised: a few very long ranges
+    add one or two copies per row, and without them there are none.  The pair is
+    kept in the first bin both touch, which makes a final ``distinct`` unnecessary.
 
     ``salt`` > 1 splits a hot bin of the right side over that many join keys
     and repeats the (smaller) left side; adaptive skew splitting handles the
-    rest.  ``left_max``/``right_max`` are proven bounds on the widths of a side
-    (1 for points): they only spare bins no interval can own.
+    rest.
     """
     ls, le = left_range
+    # A side whose two bounds are one column holds points: nothing is narrower.
+    points = ls == le
+    left_levels = None if points else _occupied(left, ls, le)
+    return _overlap(left, right, left_range, right_range, salt, left_levels, _occupied(right, *right_range))
+
+
+def _overlap(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str],
+             salt: int, left_levels: Column | None, right_levels: Column) -> DataFrame:
+    ls, le = left_range
     rs, re_ = right_range
-    left_top, right_top = _level_of(left_max), _level_of(right_max)
 
-    def keyed(df, s, e, side, levels):
-        out = df.withColumn("_lv", _own_level(s, e))
-        out = out.withColumn("_bin", F.explode(_bins(levels, s, e)))
+    def keyed(df, s, e, side, there, wanted):
+        out = df.withColumn("_lv", _own_level(s, e)).withColumn("_there", there if there is not None else F.array("_lv"))
+        out = out.withColumn("_bin", F.explode(_bins(F.filter("_there", wanted), s, e)))
         return (out.withColumn("_level", F.col("_bin.level")).withColumn("_key", F.col("_bin.bin"))
-                .withColumn(f"_first_{side}", F.col("_bin.first")).drop("_bin", "_lv"))
+                .withColumn(f"_first_{side}", F.col("_bin.first")).drop("_bin", "_lv", "_there"))
+
+    def every(v):
+        return F.lit(True)
 
     def salted(df, side):
         if salt <= 1:
@@ -267,30 +289,25 @@ def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
                                                  F.lit(salt)).cast("int"))
         return df.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salt)])))
 
-    own = F.array(F.col("_lv"))
-    empty = F.array().cast("array<int>")
-    upward = F.when(F.col("_lv") <= right_top, F.sequence(F.col("_lv"), F.lit(right_top))).otherwise(empty)
-    above = F.when(F.col("_lv") < left_top, F.sequence(F.col("_lv") + 1, F.lit(left_top))).otherwise(empty)
     keys = ["_level", "_key"] + (["_salt"] if salt > 1 else [])
     match = F.col("_key") == F.greatest(F.col("_first_l"), F.col("_first_r"))
     meets = (F.col(ls) <= F.col(re_)) & (F.col(le) >= F.col(rs))
-
-    wide_right = (salted(keyed(left, ls, le, "l", upward), "l")
-                  .join(salted(keyed(right, rs, re_, "r", own), "r"), keys))
     columns = [*left.columns, *right.columns]
+
+    wide_right = (salted(keyed(left, ls, le, "l", right_levels, lambda v: v >= F.col("_lv")), "l")
+                  .join(salted(keyed(right, rs, re_, "r", None, every), "r"), keys))
     pairs = wide_right.where(match & meets).select(*columns)
-    if left_top == 0:
+    if left_levels is None:
         return pairs
-    wide_left = (salted(keyed(left, ls, le, "l", own), "l")
-                 .join(salted(keyed(right, rs, re_, "r", above), "r"), keys))
+    wide_left = (salted(keyed(left, ls, le, "l", None, every), "l")
+                 .join(salted(keyed(right, rs, re_, "r", left_levels, lambda v: v > F.col("_lv")), "r"), keys))
     return pairs.unionByName(wide_left.where(match & meets).select(*columns))
 
 
 def points_in_ranges(points: DataFrame, ranges: DataFrame, point: str,
-                     range_cols: tuple[str, str], salt: int = 1, range_max: int | None = None) -> DataFrame:
+                     range_cols: tuple[str, str], salt: int = 1) -> DataFrame:
     """Pairs (point row, range row) with the point inside the range."""
-    p = points.withColumn("_pt", F.col(point))
-    return overlap_join(p, ranges, (point, "_pt"), range_cols, salt, 1, range_max).drop("_pt")
+    return overlap_join(points, ranges, (point, point), range_cols, salt)
 
 
 def merge_ranges(ranges: DataFrame, start: str = "start", end: str = "end",

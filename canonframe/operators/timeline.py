@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..session import cut_lineage
 from . import space as S
 
 # Orders of the enumerations.
@@ -104,16 +105,16 @@ def range_label(a: Column | str, b: Column | str) -> Column:
 
 # --- passages ------------------------------------------------------------------------------------
 
-def links_in(requests: DataFrame, links: DataFrame, request_max: int | None = None) -> DataFrame:
+def links_in(requests: DataFrame, links: DataFrame) -> DataFrame:
     """Typed links overlapping each request, with their anchor inside it."""
-    hit = S.overlap_join(requests, links, ("q_start", "q_end"), ("start", "end"), left_max=request_max)
+    hit = S.overlap_join(requests, links, ("q_start", "q_end"), ("start", "end"))
     return (hit.withColumn("anchor", F.greatest("start", "q_start"))
             .withColumn("clamped_end", F.least("end", "q_end")))
 
 
-def entities(requests: DataFrame, links: DataFrame, positions: DataFrame, request_max: int | None = None) -> DataFrame:
+def entities(requests: DataFrame, links: DataFrame, positions: DataFrame) -> DataFrame:
     """(req, kind, subject) a passage touches; an argument's link counts for its event."""
-    hit = links_in(requests, links, request_max).select("req", "subject_kind", "subject_id").distinct()
+    hit = links_in(requests, links).select("req", "subject_kind", "subject_id").distinct()
     argued = (hit.where("subject_kind = 'argument'").join(
         positions.select(F.col("event_id").alias("subject_id")).distinct(), "subject_id", "left_semi")
         .withColumn("subject_kind", F.lit("event")))
@@ -137,11 +138,10 @@ def strongest_relations(hits: DataFrame, relations: DataFrame) -> DataFrame:
             .agg(F.min_by("relation", rank_in("relation", RELATION_ORDER)).alias("relation")))
 
 
-def margin_notes(requests: DataFrame, links: DataFrame, attestations: DataFrame, events: DataFrame,
-                 request_max: int | None = None) -> DataFrame:
+def margin_notes(requests: DataFrame, links: DataFrame, attestations: DataFrame, events: DataFrame) -> DataFrame:
     """One note per subject and anchor; artifacts carry their strongest relation and are dropped
     where a canon event they attest already covers the anchor."""
-    hits = links_in(requests, links.where("link_type <> 'names'"), request_max)
+    hits = cut_lineage(links_in(requests, links.where("link_type <> 'names'")))   # read by five branches
     attested = attestations.join(events.select("event_id", "axis"), "event_id")
     relations = attested.where("axis <> 'canon'").select(
         "artifact_id", F.lit("event").alias("rel_kind"), F.col("event_id").alias("rel_id"), "relation")

@@ -19,7 +19,7 @@ def reference_heat(t):
 
 @query("jn05_range_expansion", "SELECT edge_id, addr FROM edge_hits", ("edge_hits",))
 def range_expansion(t):
-    return S.expand_ranges(t.edges, t.space, "dst_start", "dst_end").select("edge_id", "addr")
+    return S.expand_ranges(t.edges, t.space, "dst_start", "dst_end", S.LINK_SPAN).select("edge_id", "addr")
 
 
 @query("wn02_heat_quintile", f"WITH {_BUCKETS} SELECT addr, inbound_count, weighted_score, heat_bucket FROM hb", ("heat",))
@@ -36,7 +36,7 @@ def most_referenced(t):
 @query("jn06_overlap_join", """
     SELECT p.req, e.edge_id FROM passages p JOIN edges e ON e.dst_start <= p.q_end AND e.dst_end >= p.q_start""", ("edges", "passages"))
 def overlap_join(t):
-    return L.inbound(t.passages, t.edges, -10**6, 999).select("req", "edge_id")
+    return L.inbound(t.passages, t.edges, -10**6).select("req", "edge_id")
 
 
 @query("jn07_first_unit_preview", """
@@ -78,7 +78,7 @@ def node_degree(t):
         UNION SELECT req, edge_id FROM passages JOIN edges ON dst_start <= q_end AND dst_end >= q_start WHERE votes >= 0) GROUP BY req) u USING (req)""",
        ("edges", "passages"))
 def reference_totals(t):
-    return L.totals(t.passages, t.edges, max_width=999)
+    return L.totals(t.passages, t.edges)
 
 
 @query("ag23_by_target_book", """
@@ -89,7 +89,7 @@ def reference_totals(t):
       row_number() OVER (PARTITION BY p.req, p.book ORDER BY p.votes DESC, p.dst_start, p.dst_end, p.edge_id) AS item_rank
       FROM p JOIN r ON r.req = p.req AND r.book = p.book) WHERE item_rank <= 50""", ("edges", "passages"))
 def by_target_book(t):
-    rows = L.by_target_book(L.outbound(t.passages, t.edges, max_width=999), 50)
+    rows = L.by_target_book(L.outbound(t.passages, t.edges), 50)
     return rows.select("req", "book", "group_rank", "top_votes", "n_items", "edge_id", "votes", "item_rank")
 
 
@@ -123,8 +123,8 @@ def directed_edges(t):
                FROM passages JOIN edges ON dst_start <= q_end AND dst_end >= q_start WHERE votes >= 5)
     SELECT * FROM o WHERE rank <= 10 UNION ALL SELECT * FROM i WHERE rank <= 10""", ("edges", "passages"))
 def reference_lists(t):
-    out = L.strongest(L.outbound(t.passages, t.edges, 5, 999), "req", 10, "dst_start")
-    inn = L.strongest(L.inbound(t.passages, t.edges, 5, 999), "req", 10, "src")
+    out = L.strongest(L.outbound(t.passages, t.edges, 5), "req", 10, "dst_start")
+    inn = L.strongest(L.inbound(t.passages, t.edges, 5), "req", 10, "src")
     cols = ["edge_id", "votes", "rank"]
     return (out.select("req", F.lit("outbound").alias("direction"), *cols)
             .unionByName(inn.select("req", F.lit("inbound").alias("direction"), *cols)))

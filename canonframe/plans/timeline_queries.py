@@ -105,19 +105,19 @@ _REL = """rel AS MATERIALIZED (SELECT a.req, a.subject_id AS artifact_id, a.star
 
 @query("gr06_clamped_anchor", f"WITH {_HITS} SELECT req, subject_kind, subject_id, start, \"end\", link_type, anchor, hi AS clamped_end FROM hits", ("links", "passages"))
 def clamped_anchor(t):
-    return Tl.links_in(t.passages, t.links, 999).select("req", "subject_kind", "subject_id", "start", "end", "link_type", "anchor", "clamped_end")
+    return Tl.links_in(t.passages, t.links).select("req", "subject_kind", "subject_id", "start", "end", "link_type", "anchor", "clamped_end")
 
 
 @query("gr08_passage_entities", f"""WITH {_HITS} SELECT DISTINCT req, CASE subject_kind WHEN 'argument' THEN 'event' ELSE subject_kind END AS subject_kind, subject_id FROM hits
     WHERE subject_kind <> 'argument' OR subject_id IN (SELECT event_id FROM positions)""", ("links", "passages", "positions"))
 def passage_entities(t):
-    return Tl.entities(t.passages, t.links, t.positions, 999)
+    return Tl.entities(t.passages, t.links, t.positions)
 
 
 @query("jn21_relation_strength", f"WITH {_HITS}, nn AS (SELECT * FROM hits WHERE link_type <> 'names'), {_REL} SELECT req, artifact_id, start AS a_start, \"end\" AS a_end, relation FROM rel",
        ("links", "passages", "attestations", "timeline_events"))
 def relation_strength(t):
-    hits = Tl.links_in(t.passages, t.links.where("link_type <> 'names'"), 999)
+    hits = Tl.links_in(t.passages, t.links.where("link_type <> 'names'"))
     rel = (t.attestations.join(t.timeline_events.where("axis <> 'canon'").select("event_id"), "event_id")
            .select("artifact_id", F.lit("event").alias("rel_kind"), F.col("event_id").alias("rel_id"), "relation"))
     return Tl.strongest_relations(hits, rel)
@@ -135,21 +135,21 @@ _NOTES = f"""WITH {_HITS}, nn AS (SELECT * FROM hits WHERE link_type <> 'names')
     SELECT ff.*, coalesce(r.relation, '') AS relation FROM ff LEFT JOIN rel r ON ff.subject_kind = 'artifact' AND r.req = ff.req AND r.artifact_id = ff.subject_id AND r.start = ff.start AND r."end" = ff."end" """,
        ("links", "passages", "attestations", "timeline_events"))
 def margin_notes(t):
-    return Tl.margin_notes(t.passages, t.links, t.attestations, t.timeline_events, 999).fillna("", ["relation"])
+    return Tl.margin_notes(t.passages, t.links, t.attestations, t.timeline_events).fillna("", ["relation"])
 
 
 @query("jn22_redundant_notes", f"{_NOTES} SELECT req, subject_id, anchor FROM nn WHERE subject_kind = 'artifact' EXCEPT SELECT req, subject_id, anchor FROM first WHERE subject_kind = 'artifact'",
        ("links", "passages", "attestations", "timeline_events"))
 def redundant_notes(t):
     named = t.links.where("link_type <> 'names'")
-    every = Tl.links_in(t.passages, named, 999).where("subject_kind = 'artifact'").select("req", "subject_id", "anchor")
-    kept = Tl.margin_notes(t.passages, t.links, t.attestations, t.timeline_events, 999).where("subject_kind = 'artifact'")
+    every = Tl.links_in(t.passages, named).where("subject_kind = 'artifact'").select("req", "subject_id", "anchor")
+    kept = Tl.margin_notes(t.passages, t.links, t.attestations, t.timeline_events).where("subject_kind = 'artifact'")
     return every.distinct().join(kept.select("req", "subject_id", "anchor"), ["req", "subject_id", "anchor"], "left_anti")
 
 
 @query("wn15_anchor_dedupe", f"WITH {_HITS} SELECT req, subject_kind, subject_id, anchor, count(*) AS n_links, min(start) AS first_start FROM hits GROUP BY 1, 2, 3, 4", ("links", "passages"))
 def anchor_dedupe(t):
-    return (Tl.links_in(t.passages, t.links, 999).groupBy("req", "subject_kind", "subject_id", "anchor")
+    return (Tl.links_in(t.passages, t.links).groupBy("req", "subject_kind", "subject_id", "anchor")
             .agg(F.count(F.lit(1)).alias("n_links"), F.min("start").alias("first_start")))
 
 
@@ -158,7 +158,7 @@ def anchor_dedupe(t):
     WHERE l.subject_kind = 'issue' AND l.link_type <> 'names' AND l.start < 12000000""", ("links", "passages"))
 def range_notes(t):
     own = t.links.where("subject_kind = 'issue' AND link_type <> 'names' AND start < 12000000")
-    return Tl.links_in(t.passages, own, 999).select("req", "subject_id", "anchor", "link_type")
+    return Tl.links_in(t.passages, own).select("req", "subject_id", "anchor", "link_type")
 
 
 @query("gr10_entity_details", f"""WITH {_ENV},
@@ -192,7 +192,7 @@ def entity_details(t):
 def investigations_for_addresses(t):
     inv = t.timeline_events.where("axis = 'composition'").select("event_id", (F.col("event_id") * 1000 + 1).alias("s"), (F.col("event_id") * 1000 + 2005).alias("t"))
     addrs = t.edges.select(F.col("dst_start").alias("addr")).distinct()
-    return S.points_in_ranges(addrs, inv, "addr", ("s", "t"), range_max=2005).select("addr", "event_id")
+    return S.points_in_ranges(addrs, inv, "addr", ("s", "t")).select("addr", "event_id")
 
 
 @query("ag31_entity_summaries", """

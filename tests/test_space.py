@@ -33,8 +33,28 @@ def test_overlap_join_is_exact(spark, salt):
     got = [tuple(r) for r in S.overlap_join(a, b, ("s", "e"), ("s2", "e2"), salt).select("ia", "ib").collect()]
     want = {(x[0], y[0]) for x in left for y in right if x[1] <= y[2] and x[2] >= y[1]}
     assert len(got) == len(want) and set(got) == want
-    bounded = S.overlap_join(b, a, ("s2", "e2"), ("s", "e"), 1, left_max=10**6 + 1).count()
-    assert bounded == len(want)
+    assert S.overlap_join(b, a, ("s2", "e2"), ("s", "e")).count() == len(want)
+
+
+def test_overlap_join_of_one_very_wide_range(spark):
+    """No width is promised: a range wider than all others keeps its pairs, and few copies are emitted."""
+    left = spark.createDataFrame([(1, 1000, 9000), (2, 1000, 1003), (3, 0, 2**50)], "ia long, s long, e long")
+    right = spark.createDataFrame([(1, 8500, 8500), (2, 1001, 1002), (3, 10**9, 10**9 + 3)], "ib long, s2 long, e2 long")
+    got = {tuple(r) for r in S.overlap_join(left, right, ("s", "e"), ("s2", "e2")).select("ia", "ib").collect()}
+    assert got == {(1, 1), (1, 2), (2, 2), (3, 1), (3, 2), (3, 3)}
+    narrow = spark.range(1000).select(F.col("id").alias("ia"), (F.col("id") * 50).alias("s"), (F.col("id") * 50 + 3).alias("e"))
+    points = spark.range(1000).select(F.col("id").alias("ib"), (F.col("id") * 50 + 1).alias("s2"))
+    joined = S.overlap_join(points, narrow, ("s2", "s2"), ("s", "e"))
+    assert joined.count() == 1000
+    levels = points.withColumn("there", S._occupied(narrow, "s", "e"))
+    assert levels.select(F.explode(S._bins(F.col("there"), "s2", "s2"))).count() == 1000   # one occupied level, one bin per point
+
+
+def test_empty_sides_of_an_overlap_join(spark):
+    a = spark.createDataFrame([(1, 2, 3)], "ia long, s long, e long")
+    b = a.select(F.col("ia").alias("ib"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    for x, y in ((a.limit(0), b), (a, b.limit(0))):
+        assert S.overlap_join(x, y, ("s", "e"), ("s2", "e2")).count() == 0
 
 
 def test_hot_overlap_key(spark):
@@ -70,10 +90,15 @@ def test_expansion_cap_and_both_tallies(spark):
     space = make_space(spark, [b * 1000000 + 1000 + u for b in (1, 2) for u in range(1, 301)])
     ranges = spark.createDataFrame([(1001001, 2001300, -5), (1001001, 2001300, 7), (1001010, 1001012, 3), (2001299, 2001300, 0)], "start long, end long, votes long")
     w = F.greatest(F.col("votes"), F.lit(1))
-    a = {tuple(r) for r in S.tally_ranges(ranges, space, w).collect()}
-    b = {tuple(r) for r in S.tally_ranges_by_deltas(ranges, space, w).collect()}
+    a = {tuple(r) for r in S.tally_ranges(ranges, space, w, max_span=S.LINK_SPAN).collect()}
+    b = {tuple(r) for r in S.tally_ranges_by_deltas(ranges, space, w, max_span=S.LINK_SPAN).collect()}
     assert a == b and len(a) == 402            # 400 of the wide ranges, and two beyond the cap
     assert (1001010, 3, 11) in a and (2001300, 1, 1) in a and (2001101, 1, 1) not in a
+    whole = {tuple(r) for r in S.tally_ranges(ranges, space, w).collect()}
+    assert len(whole) == 600 and whole == {tuple(r) for r in S.tally_ranges_by_deltas(ranges, space, w).collect()}
+    assert S.expand_ranges(ranges, space).count() == 600 * 2 + 3 + 2   # nothing is cut by default
+    report = S.range_report(ranges, space, max_span=S.LINK_SPAN).select("bad", "lost").collect()
+    assert sorted(tuple(r) for r in report) == [("truncated", 200), ("truncated", 200)]
 
 
 def test_merge_ranges(spark):
