@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import cut_lineage, shared_folder, slices, texts
@@ -36,10 +37,6 @@ MEMO_CHARS = 64
 
 # --- tokenising ------------------------------------------------------------------------------------
 
-class _Unsafe(Exception):
-    """White space meets white space: the text cannot be cut at single spaces."""
-
-
 class ByteLevel:
     """Ids of whole texts by the tokenizers library's model, each distinct chunk once.
 
@@ -81,42 +78,93 @@ class ByteLevel:
             ids.extend([t.id for t in self.model.tokenize(part.encode("utf-8").decode("latin-1").translate(self.letters))])
         return ids.tobytes()
 
-    def _chunk(self, chunk: str, after_space: bool) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Unsafe
-        if not after_space:
-            ids = self._pretokens(chunk)
-            if len(self.bare) >= MEMO // 4:
-                self.bare.clear()
-            if len(chunk) <= MEMO_CHARS:
-                self.bare[chunk] = ids
-            return ids
+    def _spaced(self, chunk: str) -> bytes:
+        """Ids of a space and ``chunk``."""
         ids = self.old.get(chunk)
         if ids is None:
-            ids = self._pretokens(" " + chunk)
+            if chunk.isascii() and chunk.isalpha():          # one pre-token, written as it is
+                ids = array(self.kind, [t.id for t in self.model.tokenize(self.letters[32] + chunk)]).tobytes()
+            elif chunk[-1] in ",." and chunk[:-1].isalpha():  # letters and a mark are two pre-tokens
+                ids = (self.memo.get(chunk[:-1]) or self._spaced(chunk[:-1])) + (self.bare.get(chunk[-1]) or self._bare(chunk[-1]))
+            else:
+                ids = self._pretokens(" " + chunk)
         if len(chunk) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.old, self.memo = self.memo, {}
             self.memo[chunk] = ids
         return ids
 
-    def _plain(self, text: str) -> bytes:
-        out = []
-        try:
-            for line in text.split("\n"):
-                words = line.split(" ")
-                first = self.bare.get(words[0])
-                out.append(self._chunk(words[0], False) if first is None else first)
-                del words[0]
-                ids = list(map(self.memo.get, words))
-                if None in ids:
-                    ids = [self._chunk(w, True) if i is None else i for w, i in zip(words, ids)]
-                out += ids
-                out.append(self.newline)
-            out.pop()
-            return b"".join(out)
-        except _Unsafe:
-            return self._pretokens(text)
+    def _bare(self, chunk: str) -> bytes:
+        ids = self._pretokens(chunk)
+        if len(self.bare) >= MEMO // 4:
+            self.bare.clear()
+        if len(chunk) <= MEMO_CHARS:
+            self.bare[chunk] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids and the end id of any text, as machine-order numbers of type ``kind``."""
+        if not text:
+            return self.end
+        parts = self.cut.split(text) if self.cut else [text]
+        return b"".join(array(self.kind, [self.added[p]]).tobytes() if p in self.added else self._pretokens(p) for p in parts if p) + self.end
+
+    def encode_all(self, column: pa.Array) -> list[bytes]:
+        """``encode`` of every text of a column.
+
+        Chunks are numbered by Arrow, each distinct one is looked up once, and the ids are gathered by number.  Texts with
+        added tokens or longer runs of white space are left to ``encode``.
+        """
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        plain = np.ones(len(column), bool)
+        for token in self.added:
+            plain &= ~pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        by_line = pc.split_pattern(column, "\n")
+        by_word = pc.split_pattern(by_line.flatten(), " ")
+        coded = by_word.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        trimmed = pc.utf8_trim_whitespace(coded.dictionary)
+        unsafe = pc.or_(pc.not_equal(trimmed, coded.dictionary), pc.equal(trimmed, "")).to_numpy(zero_copy_only=False)
+        distinct = coded.dictionary.to_pylist()
+        words_end, lines_end = by_word.offsets.to_numpy()[1:], by_line.offsets.to_numpy()[1:]
+        first = by_word.offsets.to_numpy()[:-1]                          # the first chunk of a line follows no space
+        if unsafe.any():
+            line_of = np.searchsorted(words_end, np.flatnonzero(unsafe[code]), "right")
+            plain[np.searchsorted(lines_end, line_of, "right")] = False
+        alone = np.zeros(len(distinct), bool)
+        alone[code[first]] = True
+        alone &= ~unsafe
+        after_space = np.ones(len(code), bool)
+        after_space[first] = False
+        spaced = np.zeros(len(distinct), bool)
+        spaced[code[after_space]] = True
+        spaced &= ~unsafe
+        entries, bare = list(map(self.memo.get, distinct)), self.bare.get
+        for i in [i for i, known in enumerate(entries) if known is None]:
+            entries[i] = self._spaced(distinct[i]) if spaced[i] else b""
+        numbers = np.flatnonzero(alone)
+        entries += [bare(distinct[i]) or self._bare(distinct[i]) for i in numbers.tolist()] + [self.newline, self.end]
+        bare_number = np.zeros(len(distinct), np.int64)
+        bare_number[numbers] = len(distinct) + np.arange(len(numbers))
+        code[first] = np.where(alone[code[first]], bare_number[code[first]], code[first])
+        # One more entry at the end of each line: a line break, or the end id after a text's last line.
+        n_lines = len(words_end)
+        sequence = np.full(len(code) + n_lines, len(entries) - 2)
+        sequence[words_end[lines_end - 1] + lines_end - 1] = len(entries) - 1
+        sequence[np.arange(len(code)) + np.repeat(np.arange(n_lines), words_end - first)] = code
+        flat = np.frombuffer(b"".join(entries), np.uint16 if self.kind == "H" else np.uint32)
+        width = flat.itemsize
+        length = np.fromiter(map(len, entries), np.int64, len(entries)) // width
+        begin = np.cumsum(length) - length
+        steps = length[sequence]
+        ends = np.cumsum(steps)
+        ids = flat[np.repeat(begin[sequence] - ends + steps, steps) + np.arange(ends[-1] if len(ends) else 0)]
+        text_end = ends[words_end[lines_end - 1] + lines_end - 1].tolist()
+        data = ids.tobytes()
+        out = [data[a * width:b * width] for a, b in zip([0, *text_end], text_end)]
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self.encode(column[i].as_py())
+        return out
 
     @property
     def newline(self) -> bytes:
@@ -124,15 +172,6 @@ class ByteLevel:
             self._newline = self._pretokens("\n")
         return self._newline
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids and the end id as machine-order numbers of type ``kind``."""
-        if not text:
-            return self.end
-        if self.cut and self.cut.search(text):
-            return b"".join(array(self.kind, [self.added[p]]).tobytes() if p in self.added else self._plain(p)
-                            for p in self.cut.split(text) if p) + self.end
-        return self._plain(text) + self.end
-
 
 @lru_cache(maxsize=2)
 def byte_level(path: str) -> ByteLevel:
@@ -144,8 +183,8 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         t = byte_level(path)
         width = array(t.kind).itemsize
-        for b in slices(batches):
-            data = [t.encode(x) for x in b.column("text").to_pylist()]
+        for b in slices(batches, most=8 << 20):
+            data = t.encode_all(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(d) // width for d in data], pa.int64()),
                                               pa.array([width] * len(data), pa.int32()), pa.array(data, pa.binary())],
                                              ["doc_id", "n", "width", "ids"])
