@@ -4,26 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-MAX_EDITIONS = 10_000
-
-
-def bounded_values(df: DataFrame, column: str, limit: int = MAX_EDITIONS) -> list:
-    """The distinct values of a reviewed dimension; refuses one that is not small."""
-    rows = df.select(column).distinct().orderBy(column).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values: not a dimension")
-    return [r[0] for r in rows]
+def grid(books: DataFrame, editions: DataFrame) -> DataFrame:
+    """Every collection with every edition: the two dimension tables, not the texts.
 
+    The editions come as one scalar subquery and are exploded over the collections; nothing goes through the driver.
+    """
+    names = editions.select(F.array_sort(F.collect_set("edition"))).scalar()
+    return books.withColumn("_editions", names).withColumn("edition", F.explode("_editions")).drop("_editions")
 
-def coverage_matrix(texts: DataFrame, editions: list, books: DataFrame) -> DataFrame:
-    """Every edition x every collection -> printed / out_of_scope.
 
-    The editions are a reviewed list of checked size, so the matrix is an
-    ``explode`` of a literal array over the collections.
-    """
-    grid = books.select("book", F.explode(F.array(*[F.lit(e) for e in editions])).alias("edition"))
+def coverage_matrix(texts: DataFrame, editions: DataFrame, books: DataFrame) -> DataFrame:
+    """Every edition x every collection -> printed / out_of_scope."""
     printed = texts.select("edition", "book").distinct().withColumn("_hit", F.lit(True))
-    return (grid.join(printed, ["edition", "book"], "left")
+    return (grid(books.select("book"), editions).join(printed, ["edition", "book"], "left")
             .select("edition", "book", F.when(F.col("_hit"), "printed").otherwise("out_of_scope").alias("status")))
 
 

@@ -31,7 +31,7 @@ def parallel_editions(t):
     FROM editions e CROSS JOIN books b LEFT JOIN (SELECT DISTINCT edition, book FROM texts) p ON p.edition = e.edition AND p.book = b.book""",
        ("editions", "books", "texts"))
 def coverage_matrix(t):
-    return C.coverage_matrix(t.texts, C.bounded_values(t.editions, "edition"), t.books)
+    return C.coverage_matrix(t.texts, t.editions, t.books)
 
 
 @query("jn10_unexplained_gaps", """
@@ -142,12 +142,12 @@ def edition_lists(t):
 
 
 @query("ag17_canon_census", """
-    SELECT b.canon, count(DISTINCT b.book) AS books, count(t.addr) AS units FROM books b
-    LEFT JOIN (SELECT * FROM texts WHERE edition = 'src3') t ON t.book = b.book GROUP BY b.canon""", ("books", "texts"))
+    SELECT e.edition, b.canon, count(DISTINCT b.book) AS books, count(t.addr) AS units FROM books b CROSS JOIN editions e
+    LEFT JOIN texts t ON t.book = b.book AND t.edition = e.edition GROUP BY ALL""", ("books", "texts", "editions"))
 def canon_census(t):
     """Collections without a unit are kept."""
-    per_book = t.texts.where(F.col("edition") == "src3").groupBy("book").agg(F.count(F.lit(1)).alias("n"))
-    return (t.books.join(per_book, "book", "left").groupBy("canon")
+    per_book = t.texts.groupBy("edition", "book").agg(F.count(F.lit(1)).alias("n"))
+    return (C.grid(t.books, t.editions).join(per_book, ["edition", "book"], "left").groupBy("edition", "canon")
             .agg(F.countDistinct("book").alias("books"), F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("units")))
 
 
@@ -182,9 +182,7 @@ def two_way_difference(t):
     FROM books b, editions e""", ("texts", "omissions", "books", "editions"))
 def any_content(t):
     hits = t.texts.select("edition", "book").union(t.omissions.select("edition", "book")).distinct().withColumn("_hit", F.lit(True))
-    editions = C.bounded_values(t.editions, "edition")
-    grid = t.books.select("book", F.explode(F.array(*[F.lit(e) for e in editions])).alias("edition"))
-    return grid.join(hits, ["edition", "book"], "left").select("book", "edition", F.coalesce("_hit", F.lit(False)).alias("has_content"))
+    return C.grid(t.books.select("book"), t.editions).join(hits, ["edition", "book"], "left").select("book", "edition", F.coalesce("_hit", F.lit(False)).alias("has_content"))
 
 
 _SPACE_SQL = """

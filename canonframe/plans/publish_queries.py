@@ -9,6 +9,7 @@ from ..sinks import publish as Pu
 from ..sources import placement as Pl
 from ..functions import text as T
 from .registry import query
+from .views import epoch_micros
 
 
 def s(c):
@@ -82,11 +83,12 @@ def segments(t):
 
 # --- fingerprint and exports -----------------------------------------------------------------------------
 
-@query("ag27_fingerprint", """WITH d AS (SELECT sha256(array_to_string([length(CAST(x AS VARCHAR)) || ':' || x || ';' FOR x IN [CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority]], '')) AS d FROM orders),
+@query("ag27_fingerprint", """WITH d AS (SELECT sha256(array_to_string([length(CAST(x AS VARCHAR)) || ':' || x || ';' FOR x IN [CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR), CAST(epoch_us(o_orderdate) AS VARCHAR), o_orderpriority]], '')) AS d FROM orders),
     g AS (SELECT d, count(*) AS n FROM d GROUP BY d), l AS (SELECT substr(d, 1, 2) AS k, sha256(string_agg(d || '*' || n, ',' ORDER BY d || '*' || n)) AS v, sum(n) AS n FROM g GROUP BY 1)
     SELECT CAST(sum(n) AS BIGINT) AS n_rows, substr(sha256(string_agg(k || '=' || v, ',' ORDER BY k || '=' || v)), 1, 16) AS fingerprint FROM l""")
 def fingerprint(t):
-    return Pu.fingerprint(t.orders, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    rows = t.orders.withColumn("o_totalprice", F.round(F.col("o_totalprice") * 100).cast("bigint")).withColumn("o_orderdate", epoch_micros("o_orderdate"))
+    return Pu.fingerprint(rows, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
 
 
 @query("snk01_staged_build", """SELECT edition, count(*) AS n FROM texts GROUP BY 1""", ("texts",))
@@ -117,11 +119,12 @@ def url_lists(t):
     return Pu.url_list(C.available(t.texts, t.omissions))
 
 
-@query("st05_url_coverage", f"""WITH {_URLS}, e AS (SELECT DISTINCT edition, '/read/' || addr // 1000000 AS url FROM texts), a AS (SELECT edition, url FROM ur WHERE url NOT LIKE '%.%' AND edition <> 'src0')
+@query("st05_url_coverage", f"""WITH {_URLS}, e AS (SELECT DISTINCT edition, unnest(['/read/' || addr // 1000000, '/read/' || addr // 1000000 || '.' || (addr // 1000) % 1000, '/read/' || addr // 1000000 || '.' || (addr // 1000) % 1000 || '.' || addr % 1000]) AS url FROM texts), a AS (SELECT edition, url FROM ur)
     SELECT edition, url, 'missing' AS side FROM (SELECT * FROM e EXCEPT SELECT * FROM a) UNION ALL SELECT edition, url, 'unexpected' FROM (SELECT * FROM a EXCEPT SELECT * FROM e)""", ("texts", "omissions"))
 def url_coverage(t):
-    urls = Pu.url_list(C.available(t.texts, t.omissions)).where(~F.contains("url", F.lit(".")) & (F.col("edition") != "src0"))
-    expected = t.texts.select("edition", F.concat(F.lit("/read/"), s("book")).alias("url"))
+    """Collection, chapter and unit pages of every edition: those published against those with a printed text."""
+    urls = Pu.url_list(C.available(t.texts, t.omissions))
+    expected = Pu.url_list(t.texts.select("edition", "addr"))
     return C.two_way_difference(urls, expected, ["edition", "url"])
 
 
@@ -337,7 +340,7 @@ def excerpts_and_checks(t):
                   ("foreign key", G.orphans(t.customer, "c_nationkey", t.nation.where("n_regionkey <> 0"), "n_nationkey"))])
 
 
-@query("qg30_published_urls", f"""WITH {_URLS}, e AS (SELECT DISTINCT edition, '/read/' || addr // 1000000 AS url FROM texts), a AS (SELECT edition, url FROM ur WHERE url NOT LIKE '%.%' AND edition <> 'src0')
+@query("qg30_published_urls", f"""WITH {_URLS}, e AS (SELECT DISTINCT edition, unnest(['/read/' || addr // 1000000, '/read/' || addr // 1000000 || '.' || (addr // 1000) % 1000, '/read/' || addr // 1000000 || '.' || (addr // 1000) % 1000 || '.' || addr % 1000]) AS url FROM texts), a AS (SELECT edition, url FROM ur)
     SELECT 'urls' AS gate, (SELECT count(*) FROM (SELECT * FROM e EXCEPT SELECT * FROM a)) + (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM e)) AS violations""", ("texts", "omissions"))
 def published_urls(t):
     return G.run([("urls", url_coverage(t))])

@@ -289,11 +289,11 @@ def titled_files(t):
     return Ps.titled_files(titles, names, t.orders.select(F.lit(0).cast("bigint").alias("book_id"), F.lit(0).cast("bigint").alias("chapter")).limit(0))
 
 
-@query("src19_unit_texts", """SELECT 'f' || (addr // 1000) AS file, addr, text FROM texts WHERE edition = 'src0' AND NOT (chapter % 2 = 0 AND unit BETWEEN 2 AND 4)""", ("texts",))
+@query("src19_unit_texts", """SELECT 'f' || (addr // 1000) AS file, edition, addr, text FROM texts WHERE NOT (chapter % 2 = 0 AND unit BETWEEN 2 AND 4)""", ("texts",))
 def unit_texts(t):
     chapters = t.canon.select(F.col("book").alias("book_id"), "chapter").distinct().withColumn("file", F.concat(F.lit("f"), (F.col("book_id") * 1000 + F.col("chapter")).cast("string")))
     ex = chapters.where("chapter % 2 = 0").select((F.col("book_id") * 1000000 + F.col("chapter") * 1000 + 2).alias("ex_start"), (F.col("book_id") * 1000000 + F.col("chapter") * 1000 + 4).alias("ex_end"))
-    return Ps.unit_texts(chapters, t.texts.where("edition = 'src0'").select("addr", "text"), ex)
+    return Ps.unit_texts(chapters, t.texts.select("edition", "addr", "text"), ex)
 
 
 @query("src20_manifest", "SELECT page_id, sha256(html) AS sha256, page_id % 2 = 0 AS pin_ok FROM pages")

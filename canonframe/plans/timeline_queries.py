@@ -155,9 +155,9 @@ def anchor_dedupe(t):
 
 @query("jn27_range_notes", """
     SELECT p.req, l.subject_id, greatest(l.start, p.q_start) AS anchor, l.link_type FROM passages p JOIN links l ON l.start <= p.q_end AND l."end" >= p.q_start
-    WHERE l.subject_kind = 'issue' AND l.link_type <> 'names' AND l.start < 12000000""", ("links", "passages"))
+    WHERE l.subject_kind = 'issue' AND l.link_type <> 'names'""", ("links", "passages"))
 def range_notes(t):
-    own = t.links.where("subject_kind = 'issue' AND link_type <> 'names' AND start < 12000000")
+    own = t.links.where("subject_kind = 'issue' AND link_type <> 'names'")
     return Tl.links_in(t.passages, own).select("req", "subject_id", "anchor", "link_type")
 
 

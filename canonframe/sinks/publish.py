@@ -19,13 +19,20 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.concat(*[field(c) for c in columns]), 256)
 
 
-def fingerprint(df: DataFrame, columns: list[str], fan_out: int = 2) -> DataFrame:
+LEAF_ROWS = 4096       # rows of a leaf, on average, before the tree grows by a level
+
+
+def fingerprint(df: DataFrame, columns: list[str], leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """One row (n_rows, fingerprint): depends on the content only, not on order or partitioning.
 
     Equal rows are counted first, so they cannot pile up; digests are then
-    folded as a tree over their own leading digits.  ``fan_out`` digits name a
-    leaf; give one more digit per factor 16 of rows to keep leaves small.
+    folded as a tree over their own leading digits, two per level.  The number
+    of leaves follows the number of rows, so no task gathers more than a leaf or
+    256 folded digests.
     """
+    fan_out, n = 2, df.count()
+    while n > leaf_rows * 16 ** fan_out:
+        fan_out += 2
     rows = df.select(row_digest(columns).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
     level = rows.select(F.substring("d", 1, fan_out).alias("k"), F.concat("d", F.lit("*"), F.col("n").cast("string")).alias("v"), "n")
 
