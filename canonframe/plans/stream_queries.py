@@ -39,8 +39,7 @@ def _changes(e):
 @query("sm01_latest_state", f"WITH {_FINAL}")
 def latest_state(t):
     changes = Fl.deduplicated(_changes(_events(t)), "seq", "ts").drop("ts")
-    return Fl.run_to_table(Fl.apply_changes(changes, ["user_id", "item"]), "update",
-                           lambda w: Fl.latest_per_key(w, ["user_id", "item"]))
+    return Fl.merge_changes(changes, ["user_id", "item"])
 
 
 @query("sm01_batch_twin", f"WITH {_FINAL}")
@@ -69,12 +68,14 @@ def change_fan_out(t):
     return Fl.run_to_table(Fl.fan_out_changes(ch, space).select("event_id", "message", "addr"))
 
 
-@query("sm03_id_reconcile", """SELECT o.user_id, o.event_id AS temp_id, c.event_id AS server_id FROM events o JOIN events c ON c.user_id = o.user_id AND c.event_type = 'purchase'
+@query("sm03_id_reconcile", """SELECT o.user_id, o.event_id AS temp_id, c.event_id AS server_id FROM events o LEFT JOIN events c ON c.user_id = o.user_id AND c.event_type = 'purchase'
     AND c.ts >= o.ts AND c.ts <= o.ts + INTERVAL 2 HOUR WHERE o.event_type = 'view'""")
 def id_reconcile(t):
     o = _events(t).where("event_type = 'view'").select("user_id", F.col("event_id").alias("temp_id"), F.col("ts").alias("o_ts"))
     c = _events(t).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("server_id"), F.col("ts").alias("c_ts"))
-    return Fl.run_to_table(Fl.reconcile(o, c, ["user_id"], "2 HOURS"))
+    settled = Fl.run_to_table(Fl.reconcile(o, c, ["user_id"], "2 HOURS"))
+    asked = t.events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("temp_id"))
+    return Fl.with_pending(settled, asked, ["user_id"])
 
 
 @query("sm05_reading_progress", """WITH e AS (SELECT user_id, epoch_us(ts) AS us, value, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),

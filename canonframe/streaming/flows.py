@@ -7,11 +7,9 @@ windows; duplicates of a change are removed within it.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import annotations as An
 from ..session import shared_folder
@@ -56,45 +54,40 @@ def deduplicated(changes: DataFrame, change_id: str, ts: str) -> DataFrame:
     return changes.withWatermark(ts, LATENESS).dropDuplicatesWithinWatermark([change_id])
 
 
-_STATE = "alive boolean, created long, body string, updated long"
+def compact(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The changes that can still matter: of each key the last create and everything after it, before any create nothing is lost."""
+    last = log.where("op = 'create'").groupBy(*keys).agg(F.max("seq").alias("_last"))
+    kept = log.join(last, keys, "left").where(F.col("_last").isNull() | (F.col("seq") >= F.col("_last"))).drop("_last")
+    return kept.dropDuplicates([*keys, "seq", "op"])
 
 
-def apply_changes(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Create / patch / soft delete per key, kept as state; emits the row's state after each batch.
+def merge_changes(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Create / patch / soft delete per key: the latest states after all available input.
 
     ``changes``: keys, op, body, seq (the change order).  A patch or delete of
     a row that is not there or already deleted does nothing; a create starts
-    the row again.  Batches of a key are folded as they arrive, so only one
-    small state row per key is held.
+    the row again.  Every micro-batch is merged with the compacted log of the
+    batch before and written under its own number, so changes may arrive in any
+    order and any number of files, a repeated batch overwrites itself, and
+    nothing but the shared folder holds state.
     """
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changes.schema.fields if f.name in keys)
-    out = f"{key_schema}, alive boolean, body string, created long, updated long"
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alive, created, body, updated = state.get if state.exists else (False, None, None, None)
-        for pdf in batches:
-            for op, text, seq in pdf.sort_values("seq")[["op", "body", "seq"]].itertuples(index=False):
-                if op == "create":
-                    alive, created, body, updated = True, seq, text, seq
-                elif alive and op == "patch":
-                    body, updated = text, seq
-                elif alive and op == "delete":
-                    alive, updated = False, seq
-        state.update((alive, created, body, updated))
-        if created is not None:
-            row = dict(zip(keys, key))
-            yield pd.DataFrame([{**row, "alive": alive, "body": body, "created": int(created), "updated": int(updated)}])
-    return changes.groupBy(*keys).applyInPandasWithState(fold, out, _STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def latest_per_key(written: DataFrame, keys: list[str]) -> DataFrame:
-    rest = [c for c in written.columns if c not in (*keys, "batch_id")]
-    best = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_b"))
-    return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
+    spark = changes.sparkSession
+    root = f"{shared_folder(spark)}/canonframe-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        log = batch if batch_id == 0 else batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{root}/log/{batch_id - 1}"))
+        compact(log, keys).write.mode("overwrite").parquet(f"{root}/log/{batch_id}")
+        done.append(batch_id)
+    query = (changes.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).start())
+    query.awaitTermination()
+    if not done:
+        return final_states(spark.createDataFrame([], changes.schema), keys)
+    return final_states(spark.read.schema(changes.schema).parquet(f"{root}/log/{max(done)}"), keys)
 
 
 def final_states(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Batch twin of ``apply_changes`` by three aggregates: last create, first delete after it, last patch between."""
+    """Latest states of a change log by three aggregates: last create, first delete after it, last patch between."""
     created = changes.where("op = 'create'").groupBy(*keys).agg(F.max_by(F.struct("seq", "body"), "seq").alias("_c"))
     after = changes.join(created, keys).where(F.col("seq") > F.col("_c.seq"))
     deleted = after.where("op = 'delete'").groupBy(*keys).agg(F.min("seq").alias("_d"))
@@ -112,9 +105,10 @@ def fan_out_changes(changes: DataFrame, space: DataFrame) -> DataFrame:
 
 
 def reconcile(optimistic: DataFrame, confirmed: DataFrame, keys: list[str], within: str) -> DataFrame:
-    """Temporary id -> server id: the confirmation of the same key within the time limit.
+    """Temporary id -> server id: the confirmations of the same key within the time limit.
 
-    Both sides carry a watermark, so unconfirmed rows leave the state.
+    Both sides carry a watermark, so rows leave the state; an unconfirmed one does with a null server id once no
+    confirmation can come any more.  ``with_pending`` adds those that still wait when the input ends.
     """
     o = optimistic.withWatermark("o_ts", LATENESS)
     c = confirmed.withWatermark("c_ts", LATENESS)
@@ -123,7 +117,13 @@ def reconcile(optimistic: DataFrame, confirmed: DataFrame, keys: list[str], with
     cond = window
     for s in same:
         cond = cond & s
-    return o.join(c, cond, "inner").select(*[o[k] for k in keys], "temp_id", "server_id")
+    return o.join(c, cond, "leftOuter").select(*[o[k] for k in keys], "temp_id", "server_id")
+
+
+def with_pending(settled: DataFrame, optimistic: DataFrame, keys: list[str]) -> DataFrame:
+    """Every temporary id: the settled ones, and the rest with a null server id."""
+    rest = optimistic.select(*keys, "temp_id").join(settled.select("temp_id"), "temp_id", "left_anti")
+    return settled.unionByName(rest.withColumn("server_id", F.lit(None).cast("bigint")))
 
 
 def reading_sessions(events: DataFrame, keys: list[str], gap: str = "30 minutes", cap_seconds: int = 60) -> DataFrame:
