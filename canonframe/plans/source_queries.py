@@ -365,7 +365,7 @@ def edition_sets(t):
 
 
 def _maps(names):
-    return {n: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in Mo.table(getattr(Mo, n)).items()) + "}" for n in names}
+    return {n: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in getattr(Mo, n).items()) + "}" for n in names}
 
 
 _M = _maps(["NOUN_TYPE", "GENDER", "NUMBER", "STATE", "HEBREW_STEM", "ARAMAIC_STEM", "ASPECT", "PERSON"])

@@ -48,6 +48,16 @@ def test_reference_parsing(spark, books):
     assert got == CASES
 
 
+def test_aliases_and_beginnings(spark, books):
+    keys = {r["key"]: r.osis_id for r in R.alias_table(books).collect()}
+    assert [keys.get(k) for k in ("gn", "genes", "jn", "joh", "ecclesiasticus", "sirac", "1jn", "shepherd")] == [
+        "Gen", "Gen", "John", "John", "Sir", "Sir", "1John", "Herm"]
+    assert "jo" not in keys or keys["jo"] == "John"            # a shared beginning belongs to nobody
+    forms = ["II. Peter", "2nd Peter", "second Peter", "2 Pet.", "2PETER"]
+    got = spark.createDataFrame([(f,) for f in forms], "n string").select(R.book_key(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["2peter", "2peter", "2peter", "2pet", "2peter"]
+
+
 def test_reference_list_inherits_context(spark, books):
     df = spark.createDataFrame([(1, "John 3:16, 18-20; Rom 8; Jn 1:1"), (2, "18, John 3:1")], "k int, t string")
     got = [(r.k, r["raw"], r.ref_start, r.ref_end, r.ref_error) for r in R.parse_reference_lists(df, "k", "t", books).orderBy("k", "item").collect()]
