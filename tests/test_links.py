@@ -1,6 +1,4 @@
-"""Heat buckets, totals and walks against a sequential walk."""
-
-import random
+"""Heat buckets, totals and walks."""
 
 import pytest
 
@@ -8,63 +6,42 @@ from canonframe.operators import links as L
 from .test_space import make_space
 
 
-def sequential_walk(seed, edges, depth, degree, most, votes):
-    nodes, out_edges, order = {seed: 0}, {}, [seed]
-    capped = dict(depth=False, nodes=False, degree=False)
-    candidates, frontier, stop = 0, [(seed, 0)], False
-    while frontier and not stop:
-        nxt = []
-        for node, d in frontier:
-            if d >= depth:
-                capped["depth"] = True
-                continue
-            if len(nodes) >= most:
-                capped["nodes"], stop = True, True
-                break
-            out = sorted((e for e in edges if node[0] <= e[1] <= node[1]), key=lambda e: (-e[4], e[2], e[3], e[0]))[:degree]
-            inn = sorted((e for e in edges if e[2] <= node[1] and e[3] >= node[0]), key=lambda e: (-e[4], e[1], e[1], e[0]))[:degree]
-            capped["degree"] |= len(out) >= degree or len(inn) >= degree
-            for is_out, rows in ((True, out), (False, inn)):
-                for e in rows:
-                    candidates += 1
-                    if e[4] < votes:
-                        continue
-                    other = (e[2], e[3]) if is_out else (e[1], e[1])
-                    if len(nodes) >= most and other not in nodes:
-                        capped["nodes"] = True
-                        continue
-                    pair = (node, other) if is_out else (other, node)
-                    out_edges.setdefault(pair, e[4])
-                    if other not in nodes:
-                        nodes[other] = d + 1
-                        nxt.append((other, d + 1))
-        frontier = nxt
-    return nodes, out_edges, capped, candidates
+# A small graph with every case: a strong, a weak and an unpopular target, a link back to the seed, a range target.
+WALK_EDGES = [
+    ("a", 1001001, 1001005, 1001005, 9), ("b", 1001001, 1001007, 1001008, 4), ("c", 1001005, 1001009, 1001009, 7),
+    ("d", 1001003, 1001001, 1001002, 6), ("e", 1001001, 1001004, 1001004, 0), ("f", 1001009, 1001010, 1001010, 3)]
+SEED, FIVE, SEVEN, THREE = "1001001-1001001", "1001005-1001005", "1001007-1001008", "1001003-1001003"
+NINE, BACK = "1001009-1001009", "1001001-1001002"
+
+# (depth, degree, nodes, votes) -> nodes with depth and degree, edges with votes, flags; worked out by hand.
+WALKS = {
+    (2, 12, 60, 1): (
+        {SEED: (0, 3), FIVE: (1, 2), SEVEN: (1, 1), THREE: (1, 2), NINE: (2, 1), BACK: (2, 1)},
+        {(SEED, FIVE): 9, (SEED, SEVEN): 4, (THREE, SEED): 6, (FIVE, NINE): 7, (THREE, BACK): 6},
+        dict(candidates=8, shown=5, depth_capped=True, nodes_capped=False, degree_capped=False, votes_capped=True)),
+    (1, 1, 60, 1): (                                       # only the strongest link in each direction
+        {SEED: (0, 2), FIVE: (1, 1), THREE: (1, 1)},
+        {(SEED, FIVE): 9, (THREE, SEED): 6},
+        dict(candidates=2, shown=2, depth_capped=True, nodes_capped=False, degree_capped=True, votes_capped=False)),
+    (1, 12, 2, 1): (                                       # room for one node beside the seed
+        {SEED: (0, 1), FIVE: (1, 1)},
+        {(SEED, FIVE): 9},
+        dict(candidates=4, shown=1, depth_capped=True, nodes_capped=True, degree_capped=False, votes_capped=True)),
+}
 
 
-@pytest.mark.parametrize("caps", [(2, 12, 60, 1), (3, 4, 25, 2), (1, 3, 5, 0), (2, 5, 8, 1)])
-def test_walk_matches_sequential(spark, caps):
-    rnd = random.Random(sum(caps))
-    addrs = [1001000 + v for v in range(1, 40)]
-    edges = [(f"e{i:03d}", rnd.choice(addrs), s, min(s + rnd.choice([0, 0, 1, 3]), 1001039), rnd.randrange(-2, 12))
-             for i in range(140) for s in [rnd.choice(addrs)]]
-    e = spark.createDataFrame(edges, "edge_id string, src long, dst_start long, dst_end long, votes long")
-    seeds = [(1, 1001005, 1001005), (2, 1001010, 1001012), (3, 1009001, 1009001)]
-    nodes, out, flags = L.walk(spark.createDataFrame(seeds, "seed long, start long, end long"), e, *caps)
-    nodes, out, flags = nodes.collect(), out.collect(), {r.seed: r for r in flags.collect()}
-    for seed, s, t in seeds:
-        want_nodes, want_edges, capped, candidates = sequential_walk((s, t), edges, *caps)
-        assert {((r.start, r.end), r.depth) for r in nodes if r.seed == seed} == set(want_nodes.items())
-        got = {(r.source, r.target): r.votes for r in out if r.seed == seed}
-        assert got == {(f"{a[0]}-{a[1]}", f"{b[0]}-{b[1]}"): v for (a, b), v in want_edges.items()}
-        f = flags[seed]
-        assert (f.depth_capped, f.nodes_capped, f.degree_capped) == (capped["depth"], capped["nodes"], capped["degree"])
-        assert (f.candidates, f.shown, f.votes_capped) == (candidates, len(want_edges), len(want_edges) < candidates)
-        degree = {}
-        for a, b in want_edges:
-            degree[a] = degree.get(a, 0) + 1
-            degree[b] = degree.get(b, 0) + 1
-        assert {(r.start, r.end): r.degree for r in nodes if r.seed == seed} == {n: degree.get(n, 0) for n in want_nodes}
+@pytest.mark.parametrize("caps", WALKS)
+def test_walk(spark, caps):
+    edges = spark.createDataFrame(WALK_EDGES, "edge_id string, src long, dst_start long, dst_end long, votes long")
+    seeds = spark.createDataFrame([(1, 1001001, 1001001), (2, 1009001, 1009001)], "seed long, start long, end long")
+    nodes, out, flags = L.walk(seeds, edges, *caps)
+    want_nodes, want_edges, want_flags = WALKS[caps]
+    nodes, flags = nodes.collect(), {r.seed: r.asDict() for r in flags.collect()}
+    assert {r.id: (r.depth, r.degree) for r in nodes if r.seed == 1} == want_nodes
+    assert {(r.source, r.target): r.votes for r in out.collect()} == want_edges
+    assert {k: flags[1][k] for k in want_flags} == want_flags
+    assert [(r.id, r.depth, r.degree) for r in nodes if r.seed == 2] == [("1009001-1009001", 0, 0)]      # a seed nobody links
+    assert flags[2]["candidates"] == 0 and not any(v for k, v in flags[2].items() if k.endswith("capped"))
 
 
 def test_bucket_formula_when_not_a_multiple_of_five(spark):
