@@ -207,12 +207,27 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 2, max_degree: int
     return graph_nodes, graph_edges, flags
 
 
+def two_hops(edges: DataFrame) -> DataFrame:
+    """(src, dst_start, dst_end, n_paths): targets two links away, over every address of the first target range.
+
+    Parallel links are folded first on both sides; the ranges meet the sources in bins of their own size.
+    """
+    first = edges.groupBy("src", "dst_start", "dst_end").agg(F.count(F.lit(1)).alias("_n1")).select(
+        F.col("src").alias("_from"), F.col("dst_start").alias("_s"), F.col("dst_end").alias("_e"), "_n1")
+    second = edges.groupBy("src", "dst_start", "dst_end").agg(F.count(F.lit(1)).alias("_n2"))
+    met = S.points_in_ranges(second, first, "src", ("_s", "_e"))
+    return (met.groupBy(F.col("_from").alias("src"), "dst_start", "dst_end")
+            .agg(F.sum(F.col("_n1") * F.col("_n2")).cast("bigint").alias("n_paths")))
+
+
 def page_rank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping: float = 0.85,
-              checkpoint_every: int = 3) -> DataFrame:
+              tolerance: float | None = None) -> DataFrame:
     """Iterative rank over (src, dst) edges; the mass of sinks is spread evenly.
 
     Parallel edges are folded into one weighted edge once, so a hub costs one
-    row per neighbour, and contributions are summed map-side.
+    row per neighbour, and contributions are summed map-side.  Each step is
+    written, as the next one reads it twice.  With ``tolerance`` the iteration
+    ends as soon as the ranks' total change (one number) is below it.
     """
     weighted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     out = weighted.groupBy("src").agg(F.sum("w").alias("out_w"))
@@ -222,7 +237,8 @@ def page_rank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping:
     base = cut_lineage(base.select("node", F.coalesce("_has_out", F.lit(False)).alias("has_out")))
     n = S.row_total(base)
     ranks = base.withColumn("_n", n).select("node", "has_out", (1.0 / F.col("_n")).alias("rank"))
-    for step in range(iterations):
+    last = ranks
+    for _ in range(iterations):
         sent = (shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src")
                 .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("_in")))
         lost = ranks.where(~F.col("has_out")).select(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
@@ -230,6 +246,11 @@ def page_rank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping:
                  .select("node", "has_out",
                          ((1 - damping) / F.col("_n")
                           + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / F.col("_n"))).alias("rank")))
-        if (step + 1) % checkpoint_every == 0:
-            ranks = cut_lineage(ranks)
+        new = cut_lineage(ranks)
+        if tolerance is not None:
+            old = last.select("node", F.col("rank").alias("_old"))
+            moved = new.join(old, "node").agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
+            if moved is None or moved < tolerance:
+                return new.select("node", "rank")
+        ranks = last = new
     return ranks.select("node", "rank")

@@ -26,6 +26,18 @@ def opening(units: DataFrame, key: list[str], limit: int) -> DataFrame:
             .where(F.col("rank") <= limit))
 
 
+def pages(positioned: DataFrame, requests: DataFrame, most: int) -> DataFrame:
+    """(req, addr): the rows of each asked page; ``requests`` is req, offset, limit.
+
+    Offsets start at 0 and limits lie between 1 and ``most``, whatever is asked.  Rows are found by their position, so a
+    late page costs no more than the first.
+    """
+    start = F.greatest(F.col("offset"), F.lit(0).cast("bigint"))
+    size = F.least(F.greatest(F.col("limit"), F.lit(1).cast("bigint")), F.lit(most).cast("bigint"))
+    wanted = requests.select("req", F.explode(F.sequence(start, start + size - 1)).alias("pos"))
+    return wanted.join(positioned.select("pos", "addr"), "pos").select("req", "addr")
+
+
 def with_chapter_headings(items: DataFrame, partition: list[str], chapter: str, order: list[str]) -> DataFrame:
     """Flag the first item of every run of one chapter."""
     prev = F.lag(chapter).over(W.partitionBy(*partition).orderBy(*order))

@@ -183,6 +183,15 @@ def opening_units(t):
     return P.opening(P.in_chapters(S.address_space(t.line_addresses), t.passages), ["req"], 3).select("req", "addr", "rank")
 
 
+@query("tk03_request_pages", """
+    WITH q AS (SELECT s_suppkey AS req, greatest(s_suppkey * 37 - 50, 0) AS off, least(greatest(s_suppkey % 300 - 20, 1), 100) AS lim FROM supplier)
+    SELECT q.req, s.addr, n.total FROM q JOIN space s ON s.pos >= q.off AND s.pos < q.off + q.lim CROSS JOIN (SELECT count(*) AS total FROM space) n""", ("space",))
+def request_pages(t):
+    """Pages for a table of requests: offsets below zero and limits outside 1 to 100 are clamped."""
+    asked = t.supplier.select(F.col("s_suppkey").alias("req"), (F.col("s_suppkey") * 37 - 50).alias("offset"), (F.col("s_suppkey") % 300 - 20).alias("limit"))
+    return P.pages(t.space, asked, 100).withColumn("total", S.row_total(t.space))
+
+
 @query("tk03_page", """
     SELECT addr, total FROM (SELECT addr, row_number() OVER (ORDER BY addr) AS rn, count(*) OVER () AS total FROM space) WHERE rn > 100 AND rn <= 120""", ("space",))
 def page(t):

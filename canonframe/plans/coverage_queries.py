@@ -256,6 +256,31 @@ def dimension_lists(t):
     return t.editions.where("licensed").select("edition", "edition_no", "scope")
 
 
+@query("prj18_collections", "SELECT book, name, testament, canon FROM books", ("books",))
+def collections(t):
+    return t.books.select("book", "name", "testament", "canon")
+
+
+@query("prj18_dictionaries", "SELECT 'first' AS dictionary, count(*) AS n_entries FROM lexicon UNION ALL SELECT 'second', count(*) FROM lexicon2", ("lexicon", "lexicon2"))
+def dictionaries(t):
+    def sized(name, entries):
+        return entries.agg(F.count(F.lit(1)).alias("n_entries")).select(F.lit(name).alias("dictionary"), "n_entries")
+    return sized("first", t.lexicon).unionByName(sized("second", t.lexicon2))
+
+
+@query("prj18_original_texts", "SELECT DISTINCT e.edition, d.lang FROM editions e JOIN documents d ON d.source = e.edition WHERE e.licensed AND e.scope <> 'all'", ("editions",))
+def original_texts(t):
+    langs = t.documents.select(F.col("source").alias("edition"), "lang").distinct()
+    return t.editions.where("licensed AND scope <> 'all'").join(langs, "edition").select("edition", "lang")
+
+
+@query("prj18_edition_by_code", "SELECT s_suppkey AS req, e.edition, e.scope FROM supplier LEFT JOIN editions e ON e.edition = 'src' || s_suppkey % 30", ("editions",))
+def edition_by_code(t):
+    """Editions for a table of codes; unknown codes keep their row."""
+    asked = t.supplier.select(F.col("s_suppkey").alias("req"), F.concat(F.lit("src"), (F.col("s_suppkey") % 30).cast("string")).alias("edition"))
+    return asked.join(t.editions.select(F.col("edition").alias("_e"), "scope"), F.col("edition") == F.col("_e"), "left").select("req", F.col("_e").alias("edition"), "scope")
+
+
 @query("jn28_cross_checks", """
     SELECT 'customer names unknown nation' AS problem, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 4)
     UNION ALL SELECT 'nation never cited by a supplier', count(*) FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)

@@ -22,6 +22,17 @@ def range_expansion(t):
     return S.expand_ranges(t.edges, t.space, "dst_start", "dst_end", S.LINK_SPAN).select("edge_id", "addr")
 
 
+@query("jn05_range_report", """
+    WITH p AS (SELECT l.*, a.pos AS ps, b.pos AS pe FROM links l LEFT JOIN space a ON a.addr = l.start LEFT JOIN space b ON b.addr = greatest(l.start, l."end"))
+    SELECT bad, count(*) AS n, CAST(coalesce(sum(lost), 0) AS BIGINT) AS lost FROM (
+      SELECT 'start' AS bad, NULL AS lost FROM p WHERE ps IS NULL UNION ALL SELECT 'end', NULL FROM p WHERE ps IS NOT NULL AND pe IS NULL
+      UNION ALL SELECT 'truncated', pe - ps - 1 FROM p WHERE pe - ps > 1) GROUP BY bad""", ("links", "space"))
+def range_report(t):
+    """What an expansion to two addresses leaves out: unreal ends, and the addresses behind the cut."""
+    return S.range_report(t.links, t.space, max_span=2).groupBy("bad").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("lost"), F.lit(0).cast("bigint")).alias("lost"))
+
+
 @query("wn02_heat_quintile", f"WITH {_BUCKETS} SELECT addr, inbound_count, weighted_score, heat_bucket FROM hb", ("heat",))
 def heat_quintile(t):
     return L.heat_buckets(L.heat(t.edges, t.space))
@@ -148,18 +159,16 @@ def walk_flags(t):
 
 
 @query("jn19_two_hops", """
-    SELECT a.src, count(*) AS n_paths, count(DISTINCT b.dst_start) AS n_targets
-    FROM edges a JOIN edges b ON b.src = a.dst_start GROUP BY a.src""", ("edges",))
+    SELECT a.src, count(*) AS n_paths, count(DISTINCT (b.dst_start, b.dst_end)) AS n_targets
+    FROM edges a JOIN edges b ON b.src BETWEEN a.dst_start AND a.dst_end GROUP BY a.src""", ("edges",))
 def two_hops(t):
-    """Edge self-join: the second hop starts where the first one points; both sides are folded first."""
-    hop1 = t.edges.groupBy("src", F.col("dst_start").alias("mid")).agg(F.count(F.lit(1)).alias("n1"))
-    hop2 = t.edges.groupBy(F.col("src").alias("mid"), F.col("dst_start").alias("target")).agg(F.count(F.lit(1)).alias("n2"))
-    return (hop1.join(hop2, "mid").groupBy("src")
-            .agg(F.sum(F.col("n1") * F.col("n2")).alias("n_paths"), F.countDistinct("target").alias("n_targets")))
+    """The second hop starts at any address of the first one's target range."""
+    hops = L.two_hops(t.edges)
+    return hops.groupBy("src").agg(F.sum("n_paths").alias("n_paths"), F.count(F.lit(1)).alias("n_targets"))
 
 
 def _rank_sql(iterations: int) -> str:
-    parts = ["""n AS (SELECT count(*) AS n FROM space), w AS (SELECT src, dst_start AS dst, count(*) AS w FROM edges GROUP BY 1, 2),
+    parts = ["""n AS (SELECT count(*) AS n FROM space), w AS (SELECT e.src, h.addr AS dst, count(*) AS w FROM edges e JOIN edge_hits h ON h.edge_id = e.edge_id GROUP BY 1, 2),
     sh AS (SELECT w.src, dst, w.w / o.o AS share FROM w JOIN (SELECT src, sum(w) AS o FROM w GROUP BY src) o ON o.src = w.src),
     b AS (SELECT addr AS node, addr IN (SELECT src FROM sh) AS has_out FROM space),
     r0 AS (SELECT node, has_out, 1.0::DOUBLE / (SELECT n FROM n) AS rank FROM b)"""]
@@ -170,8 +179,9 @@ def _rank_sql(iterations: int) -> str:
     return "WITH " + ",\n".join(parts) + f" SELECT node, round(rank * 1e6, 4) AS rank_ppm FROM r{iterations}"
 
 
-@query("gr04_page_rank", _rank_sql(4), ("edges",))
+@query("gr04_page_rank", _rank_sql(4), ("edges", "edge_hits", "space"))
 def page_rank(t):
-    e = t.edges.select("src", F.col("dst_start").alias("dst"))
+    """A link points at every address of its target range."""
+    e = S.expand_ranges(t.edges, t.space, "dst_start", "dst_end", S.LINK_SPAN).select("src", F.col("addr").alias("dst"))
     ranks = L.page_rank(e, t.space.select(F.col("addr").alias("node")), iterations=4)
     return ranks.select("node", F.round(F.col("rank") * 1e6, 4).alias("rank_ppm"))

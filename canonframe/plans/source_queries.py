@@ -277,6 +277,21 @@ def chapter_files(t):
     return Ps.chapter_files(t.part.select(name.alias("file")), r"^(\d+)_[^_]+?(?:_(\d+))?\.mp3$")
 
 
+@query("src18_book_files", """WITH f AS (SELECT DISTINCT printf('%03d.mp3', p_size) AS file, CAST(p_size AS BIGINT) AS book_id FROM part), c AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS book_id, p_partkey % 9 AS chapter FROM part)
+    SELECT file, f.book_id, chapter FROM f JOIN c ON c.book_id = f.book_id WHERE NOT (f.book_id % 2 = 0 AND chapter = 3)""")
+def book_files(t):
+    """One file per book: every chapter there is but the excluded ones."""
+    listing = t.part.select(F.concat(F.lpad(s("p_size"), 3, "0"), F.lit(".mp3")).alias("file")).distinct()
+    chapters = t.part.select(F.col("p_size").cast("bigint").alias("book_id"), (F.col("p_partkey") % 9).alias("chapter")).distinct()
+    return Ps.book_files(listing, r"^(\d+)\.mp3$", chapters, chapters.where("book_id % 2 = 0 AND chapter = 3"))
+
+
+@query("fn18_spoken_keys", """SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_partkey % 3 WHEN 0 THEN 'weadonay' WHEN 1 THEN 'weelohim' ELSE 'wename' || l_suppkey END AS spoken FROM lineitem""")
+def spoken_keys(t):
+    key = F.concat(F.lit("H306"), (F.col("l_partkey") % 3 + 8).cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise(""))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", T.spoken_key(F.concat(F.lit("we/name"), s("l_suppkey")), key).alias("spoken"))
+
+
 @query("src18_titled_files", """WITH c AS (SELECT o_custkey % 30 AS a, o_orderkey AS seq, o_custkey % 4 AS w, o_custkey % 5 AS seg FROM orders),
     x AS (SELECT seq, seg, unnest(range(a + 1, a + 1 + w + 1)) AS chapter FROM c)
     SELECT CAST(seg + 1 AS BIGINT) AS book_id, chapter, 'f' || min(seq) AS file, count(*) AS n_claims FROM x GROUP BY 1, 2""")

@@ -187,26 +187,32 @@ def entity_details(t):
 
 
 @query("gr11_investigations_for_addresses", """
-    SELECT DISTINCT e.dst_start AS addr, i.event_id FROM edges e JOIN (SELECT event_id, event_id * 1000 + 1 AS s, event_id * 1000 + 2005 AS t FROM timeline_events WHERE axis = 'composition') i
-    ON e.dst_start BETWEEN i.s AND i.t""", ("edges", "timeline_events"))
+    SELECT DISTINCT e.addr, i.event_id FROM edge_hits e JOIN (SELECT event_id, event_id * 1000 + 1 AS s, event_id * 1000 + 2005 AS t FROM timeline_events WHERE axis = 'composition') i
+    ON e.addr BETWEEN i.s AND i.t""", ("edge_hits", "timeline_events"))
 def investigations_for_addresses(t):
     inv = t.timeline_events.where("axis = 'composition'").select("event_id", (F.col("event_id") * 1000 + 1).alias("s"), (F.col("event_id") * 1000 + 2005).alias("t"))
-    addrs = t.edges.select(F.col("dst_start").alias("addr")).distinct()
+    targets = t.edges.select("dst_start", "dst_end").distinct()
+    addrs = S.expand_ranges(targets, t.space, "dst_start", "dst_end", S.LINK_SPAN).select("addr").distinct()
     return S.points_in_ranges(addrs, inv, "addr", ("s", "t")).select("addr", "event_id")
 
 
 @query("ag31_entity_summaries", """
     SELECT e.event_id, coalesce((SELECT min(start) FROM links l WHERE l.subject_kind = 'event' AND l.subject_id = e.event_id), -1) AS first_verse,
-           (SELECT count(*) FROM positions p WHERE p.event_id = e.event_id) AS n_positions, (SELECT count(*) FROM attestations a WHERE a.event_id = e.event_id) AS n_attestations
+           (SELECT count(*) FROM positions p WHERE p.event_id = e.event_id) AS n_positions, (SELECT count(*) FROM attestations a WHERE a.event_id = e.event_id) AS n_attestations,
+           coalesce((SELECT min(earliest) FROM positions p WHERE p.event_id = e.event_id), 0) AS first_year,
+           coalesce((SELECT string_agg(DISTINCT CAST(start // 1000000 AS VARCHAR), ',' ORDER BY CAST(start // 1000000 AS VARCHAR)) FROM links l WHERE l.subject_kind = 'event' AND l.subject_id = e.event_id), '') AS books,
+           (SELECT count(DISTINCT source_id) FROM positions p WHERE p.event_id = e.event_id) AS n_witnesses,
+           (SELECT count(*) FROM attestations a WHERE a.event_id = e.event_id AND a.relation IN ('in-tension', 'silent')) AS n_differences
     FROM timeline_events e""", ("timeline_events", "links", "positions", "attestations"))
 def entity_summaries(t):
-    first = t.links.where("subject_kind = 'event'").groupBy(F.col("subject_id").alias("event_id")).agg(F.min("start").alias("first_verse"))
-    n_p = t.positions.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_positions"))
-    n_a = t.attestations.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_attestations"))
+    books = F.array_join(F.array_sort(F.collect_set(F.expr("CAST(start div 1000000 AS STRING)"))), ",")
+    first = t.links.where("subject_kind = 'event'").groupBy(F.col("subject_id").alias("event_id")).agg(F.min("start").alias("first_verse"), books.alias("books"))
+    n_p = t.positions.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_positions"), F.min("earliest").alias("first_year"), F.countDistinct("source_id").alias("n_witnesses"))
+    n_a = t.attestations.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_attestations"), F.count_if(F.col("relation").isin("in-tension", "silent")).alias("n_differences"))
     out = t.timeline_events.select("event_id")
     for part in (first, n_p, n_a):
         out = out.join(part, "event_id", "left")
-    return out.fillna(-1, ["first_verse"]).fillna(0, ["n_positions", "n_attestations"])
+    return out.fillna(-1, ["first_verse"]).fillna("", ["books"]).fillna(0, ["n_positions", "n_attestations", "first_year", "n_witnesses", "n_differences"])
 
 
 @query("prj13_unchecked_entities", """
@@ -244,14 +250,28 @@ def lane_packing(t):
 
 
 @query("wn14_diversity_gate", """
-    WITH s AS (SELECT c_nationkey % 5 AS series, CAST(o_orderdate AS DATE) AS day, arg_min(o_orderpriority, o_orderkey) AS genre, arg_min(o_orderstatus, o_orderkey) AS kind
-               FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
-    w AS (SELECT series, day, count(*) OVER x AS k, len(list_distinct(list(genre) OVER x)) AS n_genre, len(list_distinct(list(kind) OVER x)) AS n_kind FROM s
+    WITH s AS (SELECT c_nationkey % 5 AS series, CAST(o_orderdate AS DATE) AS day, arg_min(o_orderpriority, o_orderkey) AS genre, arg_min(o_orderstatus, o_orderkey) AS kind,
+               arg_min(o_custkey % 7, o_orderkey) AS book FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+    w AS (SELECT series, day, count(*) OVER x AS k, len(list_distinct(list(genre) OVER x)) AS n_genre, len(list_distinct(list(kind) OVER x)) AS n_kind, len(list_distinct(list(book) OVER x)) AS n_book FROM s
           WINDOW x AS (PARTITION BY series ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
-    SELECT series, strftime(day, '%Y-%m-%d') AS day, n_genre, n_kind, n_genre < 5 OR n_kind < 3 AS fails FROM w WHERE k = 30""")
+    SELECT series, strftime(day, '%Y-%m-%d') AS day, n_book, n_genre, n_kind, n_book < 7 OR n_genre < 5 OR n_kind < 3 AS fails FROM w WHERE k = 30""")
 def diversity_gate(t):
     s = (t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
          .groupBy((F.col("c_nationkey") % 5).alias("series"), F.col("o_orderdate").cast("date").alias("day"))
-         .agg(F.min_by("o_orderpriority", "o_orderkey").alias("genre"), F.min_by("o_orderstatus", "o_orderkey").alias("kind")))
-    out = Tl.diversity_gate(s, ["series"], "day", {"genre": 5, "kind": 3})
-    return out.select("series", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_genre", "n_kind", "fails")
+         .agg(F.min_by("o_orderpriority", "o_orderkey").alias("genre"), F.min_by("o_orderstatus", "o_orderkey").alias("kind"),
+              F.min_by(F.col("o_custkey") % 7, "o_orderkey").alias("book")))
+    out = Tl.diversity_gate(s, ["series"], "day", {"book": 7, "genre": 5, "kind": 3})
+    return out.select("series", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_book", "n_genre", "n_kind", "fails")
+
+
+@query("wn14_consecutive_days", """
+    WITH d AS (SELECT DISTINCT c_nationkey AS series, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS day FROM orders JOIN customer ON c_custkey = o_custkey),
+    i AS (SELECT series, day, day - row_number() OVER (PARTITION BY series ORDER BY day) AS island FROM d)
+    SELECT series, min(day) AS first_day, max(day) AS last_day, count(*) AS n_days, count(*) >= 60 AS long_enough FROM i GROUP BY series, island""")
+def consecutive_days(t):
+    """Runs of days without a gap per series, and whether a run has the 60 days asked for."""
+    days = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(
+        F.col("c_nationkey").alias("series"), F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint").alias("start")).distinct()
+    runs = S.merge_ranges(days.withColumn("end", F.col("start")), partition=["series"])
+    n = F.col("end") - F.col("start") + 1
+    return runs.select("series", F.col("start").alias("first_day"), F.col("end").alias("last_day"), n.alias("n_days"), (n >= 60).alias("long_enough"))
