@@ -274,18 +274,31 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits of ``ids``, padded to whole bytes, and the bit offset of every ``BLOCK``-th id."""
+        return self.encode_all(ids, np.array([len(ids)]))[0]
+
+    def encode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+        """``encode`` of consecutive documents of ``counts`` ids each (one at least), in one pass."""
         codes, lengths = self.code_of[ids], self.length_of[ids]
         ends = np.cumsum(lengths)
-        starts = ends - lengths
-        word, room = starts >> 6, 64 - (starts & 63) - lengths          # room < 0: the code runs into the next word
-        over = room < 0
-        high = np.where(over, codes >> np.where(over, -room, 0).astype(np.uint64), codes << np.where(over, 0, room).astype(np.uint64))
-        out = np.zeros(int(ends[-1] + 63 >> 6), np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))               # every word but perhaps the last has a start
+        last = np.cumsum(counts) - 1
+        sizes = np.diff(ends[last], prepend=0)
+        begin = np.cumsum(-(-sizes // 64)) * 64 - -(-sizes // 64) * 64      # documents begin on whole words
+        starts = ends - lengths + np.repeat(begin - (ends[last] - sizes), counts)
+        word = starts >> 6
+        room = 64 - (starts & 63) - lengths                             # below 0: the code runs into the next word
+        over = np.flatnonzero(room < 0)
+        high = codes << np.maximum(room, 0).astype(np.uint64)
+        high[over] = codes[over] >> (-room[over]).astype(np.uint64)
+        out = np.zeros(int(begin[-1] + sizes[-1] + 63 >> 6), np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))               # every word but perhaps a document's last has a start
         out[word[first]] = np.bitwise_or.reduceat(high, first)
-        spill = np.flatnonzero(over)
-        out[word[spill] + 1] |= codes[spill] << (64 + room[spill]).astype(np.uint64)
-        return out.astype(">u8").tobytes()[:int(ends[-1] + 7 >> 3)], starts[::BLOCK]
+        out[word[over] + 1] |= codes[over] << (64 + room[over]).astype(np.uint64)
+        data = out.astype(">u8").tobytes()
+        found, at = [], 0
+        for n, bit, size in zip(counts.tolist(), begin.tolist(), sizes.tolist()):
+            found.append((data[bit >> 3:(bit >> 3) + (size + 7 >> 3)], starts[at:at + n:BLOCK] - bit))
+            at += n
+        return found
 
     def decode(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Ids of all blocks: block k has ``counts[k]`` ids from bit ``offsets[k]``.  One look-up serves a step of all blocks."""
@@ -369,11 +382,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None) -> st
         ids, lengths, bounds = shared.value
         code = Code(ids, lengths)
         for b in slices(batches, "ids"):
-            marks, bits = [], []
-            for data, width in zip(b.column("ids").to_pylist(), b.column("width").to_pylist()):
-                coded, starts = code.encode(_numbers(data, width))
-                bits.append(coded)
-                marks.append(starts.astype("<u8").tobytes())
+            widths = b.column("width").to_numpy()
+            every = _numbers(b"".join(b.column("ids").to_pylist()), int(widths[0]))      # one vocabulary, one width
+            coded = code.encode_all(every, b.column("n").to_numpy())
+            bits = [c for c, _ in coded]
+            marks = [starts.astype("<u8").tobytes() for _, starts in coded]
             doc_id = b.column("doc_id")
             file = np.searchsorted(bounds, doc_id.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")
             yield pa.RecordBatch.from_arrays([pa.array(file, pa.int64()), doc_id, b.column("n"), pa.array(marks, pa.binary()),

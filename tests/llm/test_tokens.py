@@ -86,6 +86,18 @@ def test_codes_round_trip_and_are_complete(n):
     assert (code.decode(np.frombuffer(data, np.uint8), marks[k:k + 1], blocks[k:k + 1]) == ids[k * H.BLOCK:(k + 1) * H.BLOCK]).all()
 
 
+def test_documents_coded_together_are_coded_alone():
+    rng = np.random.default_rng(3)
+    code = H.Code(np.arange(300), H.code_lengths(rng.integers(1, 10_000, 300)))
+    counts = rng.integers(1, 4000, 50)
+    ids = rng.integers(0, 300, counts.sum())
+    at = 0
+    for n, (data, marks) in zip(counts.tolist(), code.encode_all(ids, counts)):
+        alone, alone_marks = code.encode(ids[at:at + n])
+        assert data == alone and (marks == alone_marks).all()
+        at += n
+
+
 def test_code_lengths_are_optimal_without_a_limit():
     import heapq
     counts = np.random.default_rng(7).integers(1, 1000, 60)
