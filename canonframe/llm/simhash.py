@@ -10,7 +10,7 @@ so every linked pair shares a shard.  A shard above ``shard_rows`` fingerprints
 bits, which is exact for the same reason; three deals leave at most 19 free bits, 2**19 fingerprints, in any shard.
 
 ``near_classes`` serves similarities far beyond two bits: texts become 512-bit sketches of five-word shingles, shards are
-56 samples of 18 bits (a pair of similarity 0.8 shares one with probability 0.95, of 0.85 with 0.99), and a pair links
+120 samples of 24 bits (a pair of similarity 0.8 shares one with probability 0.9, of 0.85 with 0.99), and a pair links
 when the similarity estimated from its Hamming distance is 0.8 less one standard error (0.02) or more.
 """
 
@@ -187,17 +187,17 @@ class Pigeonhole:
 
 
 class Samples:
-    """Deal by fixed samples of bits: 56 at first, four further ones for each row of a shard that is too large."""
+    """Deal by fixed samples of bits: 120 at first, four further ones for each row of a shard that is too large."""
 
     levels = 4
 
-    def __init__(self, words: int = 8, tables: int = 56, bits: int = 18, again: int = 4):
+    def __init__(self, words: int = 8, tables: int = 120, bits: int = 24, again: int = 4):
         self.words, self.tables, self.bits, self.again = words, tables, bits, again
 
     def masks(self, level: int, path: int) -> list[tuple[int, np.ndarray]]:
         rng = np.random.default_rng([11, level, path if level else 0])
         n = self.tables if not level else self.again
-        return [((path * 64 + j) % (1 << 62), _mask(sorted(rng.choice(64 * self.words, self.bits, replace=False)), self.words))
+        return [((path * 128 + j) % (1 << 62), _mask(sorted(rng.choice(64 * self.words, self.bits, replace=False)), self.words))
                 for j in range(n)]
 
 
