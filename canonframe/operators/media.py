@@ -42,14 +42,18 @@ def before_drift(chapters: DataFrame, file_keys: list[str], seq: str, score: str
             .where(F.col("_drift").isNull() | (F.col(seq) < F.col("_drift"))).drop("_drift"))
 
 
+HORIZON = 200
+
+
 def alignment_state(chapters: DataFrame, edition: str, file_no: str, seq: str, initial_rate: float,
                     low: float = 0.5, good: float = 0.7, min_score: float = 0.5,
                     min_rate: float = 3.0, max_rate: float = 40.0) -> DataFrame:
     """Resumable state per file: speaking rate in and out, chapters done, skipped and carried over.
 
     The rate is a moving average (0.6 old, 0.4 new) over sane chapters.  It is
-    a linear recurrence, so each file is first reduced to ``rate -> a * rate +
-    b`` in parallel, and only those two numbers per file are chained.
+    a linear recurrence, so each file is reduced to what it adds and how many
+    chapters it ages the rest; a file sums the additions of the last
+    ``HORIZON`` chapters, before which a chapter weighs less than 1e-40.
     Input columns: score, rate, ran_out (the audio ended before the chapter).
     """
     nxt = F.lead("score").over(W.partitionBy(edition, file_no).orderBy(seq))
@@ -65,10 +69,13 @@ def alignment_state(chapters: DataFrame, edition: str, file_no: str, seq: str, i
     files = rows.groupBy(edition, file_no).agg(
         steps.alias("_s"), F.count_if(~F.col("ran_out") & ~F.col("skipped")).alias("done"),
         F.count_if("skipped").alias("missing"), F.count_if("ran_out").alias("carried_out"))
-    files = files.withColumn("_f", F.aggregate("_s", start, step)).drop("_s")
+    files = files.withColumn("_b", F.aggregate("_s", start, step)["b"]).withColumn("_n", F.size("_s").cast("bigint")).drop("_s")
+    # After n sane chapters the first rate weighs 0.6**n, and what a file added weighs 0.6 to the number of chapters since.
     order = W.partitionBy(edition).orderBy(file_no)
-    past = F.collect_list("_f").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rate_in = F.aggregate(past, F.lit(initial_rate), lambda r, f: f["a"] * r + f["b"])
-    return (files.withColumn("rate_in", rate_in)
-            .withColumn("rate_out", F.col("_f.a") * F.col("rate_in") + F.col("_f.b"))
-            .withColumn("carried_in", F.coalesce(F.lag("carried_out").over(order), F.lit(0).cast("bigint"))).drop("_f"))
+    files = files.withColumn("_to", F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    recent = W.partitionBy(edition).orderBy("_to").rangeBetween(-HORIZON, 0)
+    added = F.collect_list(F.when(F.col("_n") > 0, F.struct("_to", "_b"))).over(recent)     # one per sane chapter at most
+    rate_out = F.aggregate(added, F.pow(F.lit(0.6), F.col("_to")) * initial_rate, lambda r, f: r + f["_b"] * F.pow(F.lit(0.6), F.col("_to") - f["_to"]))
+    files = files.withColumn("rate_out", rate_out)
+    return (files.withColumn("rate_in", F.coalesce(F.lag("rate_out").over(order), F.lit(initial_rate)))
+            .withColumn("carried_in", F.coalesce(F.lag("carried_out").over(order), F.lit(0).cast("bigint"))).drop("_b", "_n", "_to"))

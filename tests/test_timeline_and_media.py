@@ -92,7 +92,7 @@ def test_unexplained_gaps(spark):
     om = spark.createDataFrame([("a", 1001003)], "edition string, addr long")
     got = sorted((r.edition, r.addr) for r in C.unexplained_gaps(canon, texts, om, ed, books).collect())
     assert got == [("b", 1001002), ("b", 1001003)]
-    m = {(r.edition, r.book): r.status for r in C.coverage_matrix(texts, ["a", "b"], books).collect()}
+    m = {(r.edition, r.book): r.status for r in C.coverage_matrix(texts, ed, books).collect()}
     assert m == {("a", 1): "printed", ("a", 2): "out_of_scope", ("b", 1): "printed", ("b", 2): "printed"}
 
 
@@ -113,7 +113,12 @@ def test_nearest_is_exact(spark):
     rnd = random.Random(5)
     vecs = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(200)]
     queries = {7: [rnd.uniform(-1, 1) for _ in range(8)], 9: vecs[3][1]}
-    got = Se.nearest(spark.createDataFrame(vecs, "i long, v array<float>").repartition(5), "i", "v", queries, 4).collect()
+    given = spark.createDataFrame(vecs, "i long, v array<float>").repartition(5)
+    asked = spark.createDataFrame(list(queries.items()), "query_id long, vector array<double>")
+    got = Se.nearest(given, "i", "v", asked, 4).collect()
+    alone = Se.nearest(given, "i", "v", asked, 4, block_rows=1).collect()                  # block by block
+    assert {(r.query_id, r.i, r.rank) for r in alone} == {(r.query_id, r.i, r.rank) for r in got}
+    assert Se.nearest(given, "i", "v", asked.limit(0), 4).count() == 0
 
     def cos(a, b):
         return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** .5
