@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import slices, texts
 
 SPACE = "▁"
-MEMO = 400_000               # pairs a task remembers, and segments in each of two generations
+MEMO = 200_000               # pairs a task remembers, and segments in each of two generations
 _NEVER = float("inf")
 MEMO_CHARS = 64              # longer segments are not remembered
 

@@ -9,9 +9,9 @@ the trees from the driver would take every fingerprint through the driver.
 so every linked pair shares a shard.  A shard above ``shard_rows`` fingerprints is dealt again by blocks of its remaining
 bits, which is exact for the same reason; three deals leave at most 19 free bits, 2**19 fingerprints, in any shard.
 
-``near_classes`` serves similarities far beyond two bits: texts become 512-bit sketches of five-word shingles, shards are
+``near_classes`` serves similarities far beyond two bits: texts become 1024-bit sketches of five-word shingles, shards are
 120 samples of 24 bits (a pair of similarity 0.8 shares one with probability 0.9, of 0.85 with 0.99), and a pair links
-when the similarity estimated from its Hamming distance is 0.8 less one standard error (0.02) or more.
+when the similarity estimated from its Hamming distance is 0.8 less two standard errors (0.03) or more.
 """
 
 from __future__ import annotations
@@ -191,13 +191,13 @@ class Samples:
 
     levels = 4
 
-    def __init__(self, words: int = 8, tables: int = 120, bits: int = 24, again: int = 4):
+    def __init__(self, words: int = 16, tables: int = 120, bits: int = 24, again: int = 4):
         self.words, self.tables, self.bits, self.again = words, tables, bits, again
 
     def masks(self, level: int, path: int) -> list[tuple[int, np.ndarray]]:
         rng = np.random.default_rng([11, level, path if level else 0])
         n = self.tables if not level else self.again
-        return [((path * 128 + j) % (1 << 62), _mask(sorted(rng.choice(64 * self.words, self.bits, replace=False)), self.words))
+        return [((path * 256 + j) % (1 << 62), _mask(sorted(rng.choice(64 * self.words, self.bits, replace=False)), self.words))
                 for j in range(n)]
 
 
@@ -301,13 +301,13 @@ def _similar(threshold: float, bits: int) -> Callable[[int, int, int], bool]:
     return accept
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_rows: int = SHARD_ROWS, margin: float = 0.02) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_rows: int = SHARD_ROWS, margin: float = 0.03) -> DataFrame:
     """(text_key, least, root) per distinct text: its class under similarity of its sets of five-word shingles.
 
     ``least`` is the smallest doc_id with that text.  Texts that are equal are one node whatever their words are; texts
     without words only match each other.
     """
-    words = 8
+    words = 16
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches):
