@@ -9,9 +9,10 @@ the trees from the driver would take every fingerprint through the driver.
 so every linked pair shares a shard.  A shard above ``shard_rows`` fingerprints is dealt again by blocks of its remaining
 bits, which is exact for the same reason; three deals leave at most 19 free bits, 2**19 fingerprints, in any shard.
 
-``near_classes`` serves similarities far beyond two bits: texts become 1024-bit sketches of five-word shingles, shards are
-120 samples of 24 bits (a pair of similarity 0.8 shares one with probability 0.9, of 0.85 with 0.99), and a pair links
-when the similarity estimated from its Hamming distance is 0.8 less two standard errors (0.03) or more.
+``near_classes`` serves Jaccard similarity of five-word shingle sets, and is exact whatever the sizes.  Shingles have one
+global order, common ones last; a pair of similarity ``t`` shares one of the first ``n - ceil(t n) + 1`` shingles of both
+sets, so these are its shards.  Inside a shard a lower bound of the sets' difference proposes pairs, and every proposed pair
+is checked on the whole sets before it links.  A shard above ``shard_rows`` is searched block against block.
 """
 
 from __future__ import annotations
@@ -186,21 +187,6 @@ class Pigeonhole:
         return [(path + j * self.parts ** level, _mask(bits, self.words)) for j, bits in enumerate(_blocks(free, self.parts))]
 
 
-class Samples:
-    """Deal by fixed samples of bits: 120 at first, four further ones for each row of a shard that is too large."""
-
-    levels = 4
-
-    def __init__(self, words: int = 16, tables: int = 120, bits: int = 24, again: int = 4):
-        self.words, self.tables, self.bits, self.again = words, tables, bits, again
-
-    def masks(self, level: int, path: int) -> list[tuple[int, np.ndarray]]:
-        rng = np.random.default_rng([11, level, path if level else 0])
-        n = self.tables if not level else self.again
-        return [((path * 256 + j) % (1 << 62), _mask(sorted(rng.choice(64 * self.words, self.bits, replace=False)), self.words))
-                for j in range(n)]
-
-
 _DEALT = "id bigint, path bigint, shard bigint"
 
 
@@ -293,40 +279,182 @@ def linked_classes(docs: DataFrame, radius: int = 2, width: int = 3, shard_rows:
     return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def _similar(threshold: float, bits: int) -> Callable[[int, int, int], bool]:
-    """Whether two sets of ``a`` and ``b`` shingles whose sketches differ in ``d`` bits have that Jaccard similarity."""
-    def accept(d: int, a: int, b: int) -> bool:
-        both = math.cos(math.pi * d / bits) * math.sqrt(a * b)
-        return both >= threshold * (a + b - both)
-    return accept
+def _grams(docs: DataFrame, width: int, keep: str) -> DataFrame:
+    """``keep`` (a bigint or string column) and ``grams``, the sorted set of the text's shingles."""
+    kind = dict(docs.dtypes)[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches):
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(sets, pa.list_(pa.int64()))], [keep, "grams"])
+    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, grams array<bigint>")
+
+
+def common_grams(docs: DataFrame, width: int, sample: int = 8192, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three or more texts of a bounded sample hold, sorted, and how many do.
+
+    They only order the shingles: any order finds all pairs, one with common shingles last finds few others.
+    """
+    rate = max(1, docs.count() // sample)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0).select("text").distinct().withColumn("key", F.lit(0))
+    rows = (_grams(some, width, "key").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+            .where("n > 2").orderBy(F.desc("n"), "gram").limit(most).collect())
+    found = np.array([r["gram"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
+def prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """The first shingles in global order, of which any set of similarity ``threshold`` has one among its own first."""
+    n = len(grams)
+    if not n:
+        return grams
+    names, counts = common
+    times = np.zeros(n, np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+        times = np.where(names[at] == grams, counts[at], 0)
+    return grams[np.lexsort((mix64(grams, 9), times))[:n - math.ceil(threshold * n - 1e-9) + 1]]
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_rows: int = SHARD_ROWS, margin: float = 0.03) -> DataFrame:
-    """(text_key, least, root) per distinct text: its class under similarity of its sets of five-word shingles.
+def _plausible(x: int, others: np.ndarray, values: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of ``others`` that may be similar to ``x``; similar ones are never left out.
 
-    ``least`` is the smallest doc_id with that text.  Texts that are equal are one node whatever their words are; texts
-    without words only match each other.
+    Sets differ in at least as many shingles as their histograms do, and similar sets differ in at most
+    ``(1 - t) / (1 + t)`` of their sizes' sum.
     """
-    words = 16
+    size = sizes[x]
+    others = others[np.minimum(sizes[others], size) >= threshold * np.maximum(sizes[others], size) - 1e-9]
+    apart = np.empty(len(others), np.int64)
+    for s in range(0, len(others), 4096):
+        apart[s:s + 4096] = np.abs(values[others[s:s + 4096]] - values[x]).sum(axis=1, dtype=np.int64)
+    return others[apart <= (1 - threshold) / (1 + threshold) * (sizes[others] + size) + 1e-9]
+
+
+def shard_forest(values: np.ndarray, sizes: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the plausible pairs (positions); a dense shard costs far less than its pairs."""
+    fresh, links = np.ones(len(sizes), bool), []
+    for start in range(len(sizes)):
+        if not fresh[start]:
+            continue
+        fresh[start] = False
+        ahead = [start]
+        while ahead:
+            x = ahead.pop()
+            near = _plausible(x, np.flatnonzero(fresh), values, sizes, threshold)
+            fresh[near] = False
+            links += [(x, y) for y in near.tolist()]
+            ahead += near.tolist()
+    return links
+
+
+def shard_crossings(values: np.ndarray, sizes: np.ndarray, roots: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """All plausible pairs (positions) of members with different roots."""
+    names, counts = np.unique(roots, return_counts=True)
+    widest = roots == names[counts.argmax()]
+    place, links = np.arange(len(sizes)), []
+    for x in np.flatnonzero(~widest).tolist():
+        others = np.flatnonzero((roots != roots[x]) & (widest | (place > x)))
+        links += [(x, y) for y in _plausible(x, others, values, sizes, threshold).tolist()]
+    return links
 
+
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(id, shard, n): the members of shards of several, and how many these are."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches):
-            values, sizes = [], []
-            for t in b.column("text").to_pylist():
-                h = np.unique(shingle_hashes(t, width))
-                values.append(majority(h, words))
-                sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays([b.column("text_key"), b.column("doc_id"), pa.array(values, pa.binary()),
-                                              pa.array(sizes, pa.int64())], ["text_key", "doc_id", "value", "size"])
+        shards, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def several(shards, ids):
+            _, at, n = np.unique(shards, return_inverse=True, return_counts=True)
+            n = n[at] if len(at) else np.empty(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids[n > 1]), pa.array(shards[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["id", "shard", "n"])
+        for b in batches:
+            shards, ids = np.append(shards, b.column("shard").to_numpy()), np.append(ids, b.column("id").to_numpy())
+            if len(shards):
+                end = np.searchsorted(shards, shards[-1])       # the last shard may go on in the next batch
+                if end:
+                    yield several(shards[:end], ids[:end])
+                    shards, ids = shards[end:], ids[end:]
+        yield several(shards, ids)
+    return (nodes.select("id", F.explode("prefix").alias("shard")).repartition("shard").sortWithinPartitions("shard")
+            .mapInArrow(run, "id bigint, shard bigint, n bigint"))
+
+
+def _proposals(members: DataFrame, nodes: DataFrame, threshold: float, shard_rows: int) -> DataFrame:
+    """Distinct plausible pairs (a < b) of ``members`` (id, shard, n and, after a first search, root)."""
+    again = "root" in members.columns
+    names = ["shard", "part", "id", "size", "value"] + ["root"] * again
+
+    def pairs(rows):
+        ids, sizes = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
+        values = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1).astype(np.int16)
+        found = shard_crossings(values, sizes, np.array([r[5] for r in rows], np.int64), threshold) if again else shard_forest(values, sizes, threshold)
+        return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found]
+
+    def batch(links):
+        return pa.RecordBatch.from_arrays([pa.array([l[k] for l in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        current, rows, links = None, [], []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in names)):
+                if row[:2] != current:
+                    links += pairs(rows) if len(rows) > 1 else []
+                    current, rows = row[:2], []
+                    if len(links) > 50_000:
+                        yield batch(links)
+                        links = []
+                rows.append(row)
+        yield batch(links + (pairs(rows) if len(rows) > 1 else []))
+
+    # A shard of g blocks has a part for each two blocks, so any two of its members meet.
+    blocks = members.withColumn("g", F.ceil(F.col("n") / shard_rows)).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("g")))
+    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1), lambda j: F.least("mine", j) * F.col("g") + F.greatest("mine", j))
+    return (blocks.withColumn("part", F.explode(parts)).join(nodes.select("id", "size", "value"), "id").select(*names)
+            .repartition("shard", "part").sortWithinPartitions("shard", "part", "id").mapInArrow(run, "a bigint, b bigint").distinct())
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs whose whole sets of shingles have the similarity; sets are made again from the texts of these ids alone."""
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = nodes.select("id", "text_key").join(asked, "id")
+    rows = keyed.join(wanted, "text_key").groupBy("id").agg(F.first("text").alias("text"))
+    sets = cut_lineage(_grams(rows, width, "id"))
+    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+            .select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum")))
+    return both.where(F.col("n") >= threshold * (F.col("sum") - F.col("n")) - 1e-9).select("a", "b")
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(text_key, least, root) per distinct text: its class under Jaccard similarity of its sets of five-word shingles.
+
+    ``least`` is the smallest doc_id with that text.  Texts that are equal are one node whatever their words are; texts
+    without words only match each other.  A first search links a forest of each shard; a second one takes all pairs that
+    are still apart, so a proposal that was not confirmed hides no other.
+    """
     keyed = texts(docs).select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"), "doc_id", "text")
-    sketched = keyed.mapInArrow(run, "text_key string, doc_id bigint, value binary, size bigint")
-    nodes = cut_lineage(sketched.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("value").alias("value"),
-                                                         F.first("size").alias("size"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_grams(keyed, width))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches):
+            sets = [np.unique(shingle_hashes(t, width)) for t in b.column("text").to_pylist()]
+            values = [np.minimum(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for h in sets]
+            first = [prefix(h, shared.value, threshold).view(np.int64) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column("text_key"), b.column("doc_id"), pa.array(values, pa.binary()), pa.array(map(len, sets), pa.int64()),
+                                              pa.array(first, pa.list_(pa.int64()))], ["text_key", "doc_id", "value", "size", "prefix"])
+
+    sketched = keyed.mapInArrow(run, "text_key string, doc_id bigint, value binary, size bigint, prefix array<bigint>")
+    nodes = cut_lineage(sketched.groupBy("text_key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("value", "size", "prefix")))
                         .withColumn("id", F.monotonically_increasing_id()))
-    similar = _similar(threshold - margin, 64 * words)
-    radius = max(d for d in range(64 * words) if similar(d, 1, 1))
-    links = similar_links(nodes.where("size > 0"), Samples(words), radius, similar, shard_rows)
+    members = cut_lineage(_shared(nodes))
+    pairs = cut_lineage(_proposals(members, nodes, threshold, shard_rows))
+    links = cut_lineage(_confirmed(pairs, nodes, keyed, width, threshold))
+    rooted = members.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = rooted.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shard")
+    more = cut_lineage(_proposals(rooted.join(apart, "shard"), nodes, threshold, shard_rows).join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = links.unionByName(_confirmed(more, nodes, keyed, width, threshold))
     roots = components(links)
     return (nodes.select("text_key", "least", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
             .select("text_key", "least", F.coalesce("root", "id").alias("root")))

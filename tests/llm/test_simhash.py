@@ -146,3 +146,25 @@ def test_keep_one_of_odd_rows(spark):
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x))
     assert ids == [0, 2, 3, 4, 5, 7, 8, 9, 10, None]                   # null equals empty; repeated rows and copies go
     assert S.keep_one(no_docs(spark)).count() == 0
+
+
+def _exact_classes(texts):
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+    sets = [grams(t) for t in texts]
+    return classes(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+
+
+def test_all_pairs_from_the_threshold_up_and_none_below(spark):
+    """Against brute force: pairs at exactly 0.8 (one text holds 4/5 of the other's shingles) and just below it."""
+    rng = random.Random(8)
+    rows = []
+    for n in (5, 10, 50, 200, 1000):
+        for cut in (0, 1):
+            for _ in range(20):
+                words = [f"w{rng.randrange(10 ** 6)}" for _ in range(n + 4)]
+                rows += [" ".join(words), " ".join(words[:n * 4 // 5 - cut + 4])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    kept = sorted(r["doc_id"] for r in S.keep_one(docs).collect())
+    assert kept == sorted(set(_exact_classes(rows))) and len(kept) == 300
