@@ -168,3 +168,16 @@ def test_all_pairs_from_the_threshold_up_and_none_below(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
     kept = sorted(r["doc_id"] for r in S.keep_one(docs).collect())
     assert kept == sorted(set(_exact_classes(rows))) and len(kept) == 300
+
+
+def test_short_texts_link_from_the_threshold_up(spark):
+    """A short text and the same with a word or a sentence more; sets of (small, large) shingles, 0.75 does not link."""
+    rng = random.Random(9)
+    rows, want = [], []
+    for small, large in ((4, 5), (5, 6), (6, 7), (8, 10), (12, 15), (20, 25), (3, 4), (15, 20)):
+        for _ in range(20):
+            words = [f"w{rng.randrange(10 ** 6)}" for _ in range(large + 4)]
+            want += [len(rows)] if 5 * small >= 4 * large else [len(rows), len(rows) + 1]
+            rows += [" ".join(words[:small + 4]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in S.keep_one(docs).collect()) == want
