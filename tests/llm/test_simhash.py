@@ -181,3 +181,23 @@ def test_short_texts_link_from_the_threshold_up(spark):
             rows += [" ".join(words[:small + 4]), " ".join(words)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in S.keep_one(docs).collect()) == want
+
+
+def test_full_shards_lose_no_pairs(spark):
+    """Copies of one template with up to 15 of 300 words changed: in shards far above the bound, classes equal brute force."""
+    rng = random.Random(10)
+    template = [f"w{i}" for i in range(300)]
+    rows = []
+    for _ in range(150):
+        copy = list(template)
+        for p in rng.sample(range(300), rng.randrange(5, 16)):
+            copy[p] = f"edit{rng.randrange(10 ** 6)}"
+        rows.append(" ".join(copy))
+        for p in rng.sample(range(300), 4):
+            copy[p] = f"edit{rng.randrange(10 ** 6)}"
+        rows.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    want = sorted(set(_exact_classes(rows)))
+    assert 1 < len(want) < len(rows) // 2 + 1
+    for shard_rows in (S.SHARD_ROWS, 40):
+        assert sorted(r["doc_id"] for r in S.keep_one(docs, shard_rows=shard_rows).collect()) == want
