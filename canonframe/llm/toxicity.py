@@ -8,6 +8,9 @@ rows that hold a word of the category's list.
 Inputs are words and beginnings of words (abuse is inflected), chosen on the training sample by the chi-square and the lift
 of their presence against ``toxic``.  Each counts once per text however long it is, so an unknown word or a long clean text moves
 no score.
+
+A chain that could not learn (labels of one class or none, or no trait that tells them apart) gives one half for everything
+and rejects nothing.
 """
 
 from __future__ import annotations
@@ -81,6 +84,11 @@ class Chain:
     def __post_init__(self):
         self.at = {w: i for i, w in enumerate(self.words)}
 
+    @property
+    def trained(self) -> bool:
+        """Whether it tells any texts apart; one that does not rejects none."""
+        return bool(self.words)
+
     def probabilities(self, text: str | None) -> list[float]:
         """One per category, in chain order."""
         held = [self.at[w] for w in traits(text) if w in self.at]
@@ -92,7 +100,7 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str = "true") -> Chain:
-    """Fit the chain on a bounded sample.  Without rows of both classes every probability is one half."""
+    """Fit the chain on a bounded sample.  Without rows of both classes, or a trait that parts them, it is untrained."""
     names = [*CATEGORIES, "toxic"]
     rows = learning_rows(docs, labels, "toxic", sample, where)
 
@@ -105,8 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str = "
             yield pa.RecordBatch.from_arrays([pa.array(list(tallies[y]), pa.binary()), pa.array([y] * len(tallies[y]), pa.int32()),
                                               pa.array(list(tallies[y].values()), pa.int64())], ["word", "y", "n"])
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    untrained = Chain(names, [], [np.zeros(1 + n) for n in range(len(names))])
     if len(sizes) < 2:
-        return Chain(names, [], [np.zeros(1 + n) for n in range(len(names))])
+        return untrained
     a, b = F.col("a") / sizes[1], F.col("b") / sizes[0]
     share = (F.col("a") + F.col("b")) / sum(sizes.values())
     total = sum(sizes.values())
@@ -114,6 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str = "
               .agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
               .where("a + b >= 5").withColumn("chi", (a - b) ** 2 / (share * (1 - share) + 1e-9) * (sizes[0] * sizes[1] / total))
               .where((F.col("chi") >= SIGNIFICANT) & (a >= LIFT * b)).orderBy(F.desc("chi"), "word").limit(WORDS).collect())
+    if not tested:
+        return untrained
     chain = Chain(names, [bytes(r["word"]) for r in tested])
     listed = {name: {w.encode() for w in words} for name, words in CATEGORIES.items()}
 
@@ -148,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str = "
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """(doc_id, one probability column per category, predicted) per row; null text counts as empty."""
+    """(doc_id, one probability column per category, predicted) per row; null text counts as empty; untrained chains predict 0."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     columns = [f"p_{n}" for n in chain.names]
 
@@ -156,12 +167,14 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         for b in slices(batches):
             found = np.array([shared.value.probabilities(t) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(found[:, n]) for n in range(len(columns))),
-                                              pa.array((found[:, -1] >= 0.5).astype(np.int32))], ["doc_id", *columns, "predicted"])
+                                              pa.array((shared.value.trained & (found[:, -1] >= 0.5)).astype(np.int32))], ["doc_id", *columns, "predicted"])
     return texts(docs).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} double" for c in columns) + ", predicted int")
 
 
 def keep_civil(docs: DataFrame, chain: Chain, most: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose toxicity is below ``most``."""
+    """The rows of ``docs``, all columns, whose toxicity is below ``most``; all rows if the chain is untrained."""
+    if not chain.trained:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]):

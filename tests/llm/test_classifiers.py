@@ -89,3 +89,14 @@ def test_toxicity_of_odd_rows(spark):
     assert {r["p_toxic"] for r in T.score(docs, even).collect()} == {0.5}
     assert T.keep_civil(docs, T.fit(docs, labels)).columns == docs.columns
     assert T.score(no_docs(spark), T.fit(no_docs(spark), labels)).count() == 0
+
+
+def test_an_untrained_chain_rejects_nothing(spark):
+    docs = spark.createDataFrame([(i, f"you idiot {i}" if i % 2 else "fine day") for i in range(40)], "doc_id bigint, text string")
+    alike = docs.selectExpr("doc_id", "'the same words' AS text")
+    kinds = {"empty": (docs, []), "civil": (docs, [(i, 0) for i in range(40)]), "toxic": (docs, [(i, 1) for i in range(40)]),
+             "no trait": (alike, [(i, i % 2) for i in range(40)])}
+    for kind, (given, rows) in kinds.items():
+        chain = T.fit(given, spark.createDataFrame(rows, "doc_id bigint, toxic int"))
+        assert not chain.trained and T.keep_civil(given, chain).count() == 40, kind
+        assert {(r["p_toxic"], r["predicted"]) for r in T.score(given, chain).collect()} == {(0.5, 0)}, kind
