@@ -167,3 +167,48 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = turns.where("role = 'user' and turn > 0").select(
         "conv_id", F.concat(F.lit("c"), conv, F.lit("-"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
     return link(calls, results, TOOLS)
+
+
+# Levels by recursion; crc32 bit by bit (e >= 0: a byte is taken in, else one bit leaves).
+_MANIFEST_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, source, text, row_number() OVER () AS rn, concat_ws('', coalesce(concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id), '-'),
+    coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-')) AS head FROM documents),
+h AS (SELECT *, sha256(concat(head, coalesce(concat(strlen(text), ':', text), '-'))) AS leaf,
+    sha256(concat(head, coalesce(concat(strlen(replace(text, chr(10), '')), ':', replace(text, chr(10), '')), '-'))) AS cut,
+    list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END) % 2 = 1 AS even FROM t),
+l AS (SELECT *, coalesce('s' || source, 'n') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY source) AS n, CASE WHEN even THEN cut ELSE leaf END AS tampered FROM h),
+up(k, tree, idx, n, h) AS (SELECT 0, tree, idx, n, leaf FROM l
+    UNION ALL SELECT k + 1, tree, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY k, tree, idx // 3, n),
+s AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+top(k, idx, n, h) AS (SELECT 0, idx, n, h FROM s
+    UNION ALL SELECT k + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY k, idx // 3, n),
+runs AS (SELECT k, tree, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM up WHERE n > 1 GROUP BY ALL
+    UNION ALL SELECT k, NULL, idx // 3, list(h ORDER BY idx) FROM top WHERE n > 1 GROUP BY ALL),
+f(rn, k, tree, idx, n, h, p) AS (SELECT rn, 0, tree, idx, n, tampered, '' FROM l
+    UNION ALL SELECT f.rn, f.k + 1, f.tree, f.idx // 3, (f.n + 2) // 3,
+      sha256(array_to_string(list_concat(hs[:f.idx % 3], [f.h], hs[f.idx % 3 + 2:]), '')), f.p || array_to_string(list_concat(hs[:f.idx % 3], hs[f.idx % 3 + 2:]), '')
+      FROM f JOIN runs r ON r.k = f.k AND r.tree = f.tree AND r.run = f.idx // 3 WHERE f.n > 1),
+g(rn, k, idx, n, h, p) AS (SELECT f.rn, 0, s.idx, s.n, f.h, f.p FROM f JOIN s ON s.tree = f.tree WHERE f.n = 1
+    UNION ALL SELECT g.rn, g.k + 1, g.idx // 3, (g.n + 2) // 3,
+      sha256(array_to_string(list_concat(hs[:g.idx % 3], [g.h], hs[g.idx % 3 + 2:]), '')), g.p || array_to_string(list_concat(hs[:g.idx % 3], hs[g.idx % 3 + 2:]), '')
+      FROM g JOIN runs r ON r.k = g.k AND r.tree IS NULL AND r.run = g.idx // 3 WHERE g.n > 1),
+a AS (SELECT h FROM top WHERE n = 1)
+SELECT doc_id, leaf, s.h AS subroot, a.h AS root, sha256(g.p) AS proof_sha256, g.h AS folded_root, g.h = a.h AS verified
+FROM l JOIN s ON s.tree = l.tree JOIN g ON g.rn = l.rn AND g.n = 1 CROSS JOIN a"""
+
+
+@query("op11_merkle_manifest", _MANIFEST_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; every document whose decimal doc_id has an even crc32 is checked without its line feeds."""
+    from pyspark.sql import functions as F
+    from .merkle import fold, leaf, proof, proofs
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(even, leaf(*columns[:-1], F.replace("text", F.lit("\n"), F.lit("")))).otherwise(leaf(*columns))
+    found = proofs(table(spark, sf_dir, "documents").withColumn("tampered", changed), columns, keep=("tampered",))
+    return (found.withColumn("folded_root", fold(F.col("tampered"), F.col("path")))
+            .select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified")))
