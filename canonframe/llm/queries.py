@@ -212,3 +212,32 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (found.withColumn("folded_root", fold(F.col("tampered"), F.col("path")))
             .select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root",
                     (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round as a table of (cluster, components); the smaller number wins ties."""
+    def assigned(r: int) -> str:
+        return (f"SELECT rn, c.c AS cluster, list_sum(list_transform(list_zip(v, cv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c{r} c "
+                "QUALIFY row_number() OVER (PARTITION BY rn ORDER BY d, cluster) = 1")
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED ({assigned(r)}),
+s{r} AS (SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (rn) CROSS JOIN range(1, 65) AS g(i) GROUP BY cluster, i),
+m{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS cv FROM s{r} GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.cv, c.cv) AS cv FROM c{r} c LEFT JOIN m{r} m ON m.cluster = c.c)""")
+    steps = ",\n".join(steps)
+    return f"""
+WITH w AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS rn FROM w),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS c, v AS cv FROM v ORDER BY c LIMIT {k}),
+{steps},
+f AS MATERIALIZED ({assigned(rounds)})
+SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(cv, ',')) AS centroid_sha256
+FROM f JOIN v USING (rn) JOIN c{rounds} c ON c.c = f.cluster"""
+
+
+@query("op13_centroids", _clusters_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster, integer_vectors, report
+    return report(*cluster(integer_vectors(table(spark, sf_dir, "embeddings")), 40, 5, "2:"))
