@@ -241,3 +241,9 @@ FROM f JOIN v USING (rn) JOIN c{rounds} c ON c.c = f.cluster"""
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster, integer_vectors, report
     return report(*cluster(integer_vectors(table(spark, sf_dir, "embeddings")), 40, 5, "2:"))
+
+
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import without_repeats
+    return without_repeats(table(spark, sf_dir, "documents"))
