@@ -5,7 +5,7 @@ levels of their references; arguments are parsed once as a variant, checked agai
 as canonical JSON (keys in order, no spaces, shortest numbers).
 
 Results of one identifier are rows, not a list, and a conversation is never gathered: the order of its calls is the pair
-(level, turn), which needs no window.  The hot side of the join is the results'; the other side has one row per identifier.
+(level, turn), which needs no window.  Long chains of calls cost the logarithm of their length (pointer doubling).  The hot side of the join is the results'; the other side has one row per identifier.
 """
 
 from __future__ import annotations
@@ -73,31 +73,74 @@ def check_arguments(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                               .otherwise(F.coalesce(by_tool, F.array(F.lit("unknown tool"))))).drop("_v"))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _ends(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, stop, dist): where the chain of references from each call with one reference leads, and how far.
+
+    ``single`` is (conv_id, call_id, ref).  The stop is the first call that is not in ``single``.  Pointer doubling: a call
+    that has reached no stop takes over the pointer of the call it points at, so a chain of n calls takes log2(n) rounds.
+    While a chain is left, every round ends some calls; a round that ends none leaves those on cycles, which get no row.
+    """
+    inner = single.select("conv_id", F.col("call_id").alias("ref"), F.lit(False).alias("_inner"))
+    first = cut_lineage(single.join(inner, ["conv_id", "ref"], "left")
+                        .select("conv_id", "call_id", F.col("ref").alias("stop"), F.lit(1).alias("dist"), F.coalesce("_inner", F.lit(True)).alias("done")))
+    ended, going = [first.where("done")], first.where("not done")
+    while not going.isEmpty():
+        onward = _union([*ended, going]).select("conv_id", F.col("call_id").alias("stop"), F.col("stop").alias("_next"), F.col("dist").alias("_more"), F.col("done").alias("_done"))
+        step = cut_lineage(going.join(onward, ["conv_id", "stop"])
+                           .select("conv_id", "call_id", F.col("_next").alias("stop"), (F.col("dist") + F.col("_more")).alias("dist"), F.col("_done").alias("done")))
+        fresh, going = step.where("done"), step.where("not done")
+        if fresh.isEmpty():
+            break
+        ended.append(fresh)
+    return _union(ended).drop("done")
+
+
 def levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, call_id, level) of all calls whose references can be ordered, and the references to no call.
 
     A call without references has level 0, others one more than the highest they refer to.  Calls on a cycle, or behind
-    one, get no row.  One round per level: each is a join and a grouped maximum, written to the shared folder.
+    one, get no row.  Chains of calls with one reference are contracted by pointer doubling; what is left are the calls
+    that join several references, and these take one round per join on the longest way: a join and a grouped maximum.
     """
     ids = calls.select("conv_id", "call_id")
     refs = (calls.select("conv_id", "call_id", F.explode("after").alias("ref")).where("ref is not null").distinct())
     there = ids.select("conv_id", F.col("call_id").alias("ref"))
     dangling = refs.join(there, ["conv_id", "ref"], "left_anti")
     open_refs = cut_lineage(refs.join(there, ["conv_id", "ref"], "left_semi"))
-    fresh = cut_lineage(ids.join(open_refs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    known = fresh
-    # ``reached`` is the highest level among the references that are settled already.
-    waiting = open_refs.withColumn("reached", F.lit(None).cast("int"))
-    while not waiting.isEmpty() and not fresh.isEmpty():
-        settled = fresh.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("_l"))
-        waiting = cut_lineage(waiting.join(settled, ["conv_id", "ref"], "left")
-                              .select("conv_id", "call_id", "ref", F.coalesce("reached", "_l").alias("reached")))
-        done = (waiting.groupBy("conv_id", "call_id").agg(F.max("reached").alias("m"), F.count_if(F.col("reached").isNull()).alias("n"))
-                .where("n = 0").select("conv_id", "call_id", (F.col("m") + 1).alias("level")))
-        fresh = cut_lineage(done)
-        known = known.unionByName(fresh)
-        waiting = waiting.join(fresh, ["conv_id", "call_id"], "left_anti")
-    return known, dangling
+    counted = open_refs.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("ref"))
+    single = cut_lineage(counted.where("n = 1").drop("n"))
+    ends = cut_lineage(_ends(single))
+    known = [cut_lineage(ids.join(open_refs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))]
+    joining = cut_lineage(counted.where("n > 1").select("conv_id", "call_id"))
+    if not joining.isEmpty():
+        # references of joining calls go straight to the stops of their chains; those into a cycle go nowhere and never settle
+        chained = single.select("conv_id", F.col("call_id").alias("ref"), F.lit(True).alias("_chained"))
+        led = ends.select("conv_id", F.col("call_id").alias("ref"), "stop", "dist")
+        waiting = (open_refs.join(joining, ["conv_id", "call_id"]).join(chained, ["conv_id", "ref"], "left").join(led, ["conv_id", "ref"], "left")
+                   .select("conv_id", "call_id", F.when(F.col("_chained"), F.col("stop")).otherwise(F.col("ref")).alias("stop"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist"))
+                   .groupBy("conv_id", "call_id", "stop").agg(F.max("dist").alias("dist")).withColumn("reached", F.lit(None).cast("int")))
+        fresh = known[0]
+        while not fresh.isEmpty():
+            settled = fresh.select("conv_id", F.col("call_id").alias("stop"), F.col("level").alias("_l"))
+            reached = cut_lineage(waiting.join(settled, ["conv_id", "stop"], "left")
+                                  .select("conv_id", "call_id", "stop", "dist", F.coalesce("reached", F.col("_l") + F.col("dist")).alias("reached")))
+            fresh = cut_lineage(reached.groupBy("conv_id", "call_id").agg(F.max("reached").alias("level"), F.count_if(F.col("reached").isNull()).alias("n"))
+                                .where("n = 0").drop("n"))
+            known.append(fresh)
+            waiting = reached.join(fresh, ["conv_id", "call_id"], "left_anti")
+            if len(known) > 16:                       # keeps plans short
+                known = [cut_lineage(_union(known))]
+    stops = cut_lineage(_union(known))
+    behind = (ends.join(stops.select("conv_id", F.col("call_id").alias("stop"), F.col("level").alias("_l")), ["conv_id", "stop"])
+              .select("conv_id", "call_id", (F.col("_l") + F.col("dist")).alias("level")))
+    return cut_lineage(stops.unionByName(behind)), dangling
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

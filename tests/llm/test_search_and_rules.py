@@ -201,3 +201,41 @@ def test_a_long_chain_of_calls(spark):
     calls = spark.createDataFrame([(1, f"c{i}", i, "f", '{"a":1}', [f"c{j}" for j in (i - 1, i - 3) if j >= 0], "") for i in range(8)], CALLS)
     results = spark.createDataFrame([], "conv_id bigint, call_id string, turn bigint, content string")
     assert {r["call_id"]: r["level"] for r in C.link(calls, results, SCHEMAS).collect()} == {f"c{i}": i for i in range(8)}
+
+
+def test_levels_of_long_chains_and_diamonds(spark, monkeypatch):
+    """A chain of 1,000, diamonds behind one another, joins of chains, cycles and calls behind cycles, against a plain walk."""
+    rng = random.Random(6)
+    after = {("chain", f"c{i}"): [f"c{i - 1}"] if i else [] for i in range(1000)}
+    for d in range(3):                                     # each diamond hangs on the one before it, by a chain of 5
+        base = [f"d{d - 1}e"] if d else []
+        after |= {("diamond", f"d{d}x0"): base} | {("diamond", f"d{d}x{i}"): [f"d{d}x{i - 1}"] for i in range(1, 6)}
+        after |= {("diamond", f"d{d}l"): [f"d{d}x5"], ("diamond", f"d{d}r"): [f"d{d}l"], ("diamond", f"d{d}e"): [f"d{d}l", f"d{d}r", f"d{d}x2"]}
+    for i in range(60):
+        after["random", f"r{i}"] = [f"r{j}" for j in rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3])))]
+    after |= {("cycle", "p"): ["q"], ("cycle", "q"): ["r"], ("cycle", "r"): ["p"], ("cycle", "s"): ["p", "ok"], ("cycle", "t"): ["s"], ("cycle", "ok"): [], ("cycle", "u"): ["u"],
+              ("cycle", "v"): ["ok", "none"]}
+    want = {}
+
+    def level(conv, call, path=()):
+        if call in path:
+            return None
+        if (conv, call) not in want:
+            below = [level(conv, r, (*path, call)) for r in after[conv, call] if (conv, r) in after]
+            want[conv, call] = None if None in below else max(below, default=-1) + 1
+        return want[conv, call]
+    for i in range(1000):
+        level("chain", f"c{i}")
+    for conv, call in after:
+        if conv != "cycle":
+            level(conv, call)
+    want = {k: v for k, v in want.items() if k[0] != "cycle"} | {("cycle", "ok"): 0, ("cycle", "v"): 1}
+    written = []
+    monkeypatch.setattr(C, "cut_lineage", lambda df, cut=C.cut_lineage: written.append(1) or cut(df))
+    calls = spark.createDataFrame([(*k, v) for k, v in after.items()], "conv_id string, call_id string, after array<string>")
+    known, dangling = C.levels(calls)
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in known.collect()} == want
+    assert [(r["call_id"], r["ref"]) for r in dangling.collect()] == [("v", "none")]
+    assert len(written) < 60
+    written.clear()
+    assert C.levels(calls.where("conv_id = 'chain'"))[0].count() == 1000 and len(written) <= 18     # 10 rounds and 8 tables around them
