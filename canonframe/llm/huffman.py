@@ -31,7 +31,7 @@ BLOCK = 1024                 # ids between two checkpoints
 SEGMENT = 1 << 20            # ids after which a segment is closed (a longer document is a segment of its own)
 FILE_IDS = 1 << 24           # ids per file, on average
 END = 0                      # id after each document
-MEMO = 400_000               # chunks remembered in each of two generations
+MEMO = 200_000               # chunks remembered in each of two generations
 MEMO_CHARS = 64
 
 
@@ -122,7 +122,7 @@ class ByteLevel:
         by_line = pc.split_pattern(column, "\n")
         by_word = pc.split_pattern(by_line.flatten(), " ")
         coded = by_word.flatten().dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
+        code = coded.indices.to_numpy().astype(np.int32)
         trimmed = pc.utf8_trim_whitespace(coded.dictionary)
         unsafe = pc.or_(pc.not_equal(trimmed, coded.dictionary), pc.equal(trimmed, "")).to_numpy(zero_copy_only=False)
         distinct = coded.dictionary.to_pylist()
@@ -144,12 +144,12 @@ class ByteLevel:
             entries[i] = self._spaced(distinct[i]) if spaced[i] else b""
         numbers = np.flatnonzero(alone)
         entries += [bare(distinct[i]) or self._bare(distinct[i]) for i in numbers.tolist()] + [self.newline, self.end]
-        bare_number = np.zeros(len(distinct), np.int64)
+        bare_number = np.zeros(len(distinct), np.int32)
         bare_number[numbers] = len(distinct) + np.arange(len(numbers))
         code[first] = np.where(alone[code[first]], bare_number[code[first]], code[first])
         # One more entry at the end of each line: a line break, or the end id after a text's last line.
         n_lines = len(words_end)
-        sequence = np.full(len(code) + n_lines, len(entries) - 2)
+        sequence = np.full(len(code) + n_lines, len(entries) - 2, np.int32)
         sequence[words_end[lines_end - 1] + lines_end - 1] = len(entries) - 1
         sequence[np.arange(len(code)) + np.repeat(np.arange(n_lines), words_end - first)] = code
         flat = np.frombuffer(b"".join(entries), np.uint16 if self.kind == "H" else np.uint32)
@@ -183,7 +183,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         t = byte_level(path)
         width = array(t.kind).itemsize
-        for b in slices(batches, most=8 << 20):
+        for b in slices(batches):
             data = t.encode_all(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(d) // width for d in data], pa.int64()),
                                               pa.array([width] * len(data), pa.int32()), pa.array(data, pa.binary())],
