@@ -9,10 +9,11 @@ the trees from the driver would take every fingerprint through the driver.
 so every linked pair shares a shard.  A shard above ``shard_rows`` fingerprints is dealt again by blocks of its remaining
 bits, which is exact for the same reason; three deals leave at most 19 free bits, 2**19 fingerprints, in any shard.
 
-``near_classes`` serves Jaccard similarity of five-word shingle sets, and is exact whatever the sizes.  Shingles have one
-global order, common ones last; a pair of similarity ``t`` shares one of the first ``n - ceil(t n) + 1`` shingles of both
-sets, so these are its shards.  Inside a shard a lower bound of the sets' difference proposes pairs, and every proposed pair
-is checked on the whole sets before it links.  A shard above ``shard_rows`` is searched block against block.
+``near_classes`` serves Jaccard similarity of five-word shingle sets, and is exact whatever the sizes.  Links that BK-trees over
+the sets' fingerprints propose are confirmed first.  Then the rest is searched: shingles have one global order, common ones
+last; a pair of similarity ``t`` shares one of the first ``n - ceil(t n) + 1`` shingles of both sets, so these are its shards.
+Inside a shard a lower bound of the sets' difference (parity bitmaps of four bits a shingle) proposes pairs, and every
+proposed pair is checked on the whole sets before it links.  A shard above ``shard_rows`` is searched block against block.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import components, cut_lineage, mix64, slices, texts
 
 SHARD_ROWS = 16_384          # fingerprints in one BK-tree before its shard is dealt again
+MOST_BITS = 1 << 14          # of a parity bitmap
 OWN_TREE = 32                # members from which a component of a shard gets a tree of its own
 
 
@@ -317,22 +319,53 @@ def prefix(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold:
     return grams[np.lexsort((mix64(grams, 9), times))[:n - math.ceil(threshold * n - 1e-9) + 1]]
 
 
-def _plausible(x: int, others: np.ndarray, values: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+def parity_bitmap(hashes: np.ndarray) -> bytes:
+    """One bit for each of a power of two of buckets, four or more a shingle up to ``MOST_BITS``: whether it holds an odd number."""
+    bits = min(max(128, 1 << (4 * len(hashes) - 1).bit_length() if len(hashes) else 0), MOST_BITS)
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Parity bitmaps of some sets, compared at the smaller of two sizes (halves of the larger are folded by XOR)."""
+
+    def __init__(self, values: list[bytes]):
+        self.bytes = np.array([len(v) for v in values])
+        self.place, self.whole, self.half = np.zeros(len(values), np.int64), {}, {}
+        for n in np.unique(self.bytes).tolist():
+            mine = np.flatnonzero(self.bytes == n)
+            self.place[mine] = np.arange(len(mine))
+            self.whole[n] = np.frombuffer(b"".join(values[i] for i in mine.tolist()), np.uint64).reshape(len(mine), -1)
+            middle = self.whole[n].shape[1] // 2
+            self.half[n] = self.whole[n][:, :middle] ^ self.whole[n][:, middle:]
+
+    def apart(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Bits that differ between x and each of ``others``: never more than the shingles that do."""
+        n, at = int(self.bytes[x]), self.place[x]
+        out = np.zeros(len(others), np.int64)         # 0 for sizes that are not neighbours, which no similar sets have
+        for size, mine, theirs in ((n, self.whole, self.whole), (2 * n, self.whole, self.half), (n // 2, self.half, self.whole)):
+            some = np.flatnonzero(self.bytes[others] == size)
+            for s in range(0, len(some), 1024):
+                part = some[s:s + 1024]
+                out[part] = np.bitwise_count(theirs[size][self.place[others[part]]] ^ mine[n][at]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _plausible(x: int, others: np.ndarray, values: Bitmaps, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Those of ``others`` that may be similar to ``x``; similar ones are never left out.
 
-    Sets differ in at least as many shingles as their histograms do, and similar sets differ in at most
+    Sets differ in at least as many shingles as their bitmaps in bits, and similar sets differ in at most
     ``(1 - t) / (1 + t)`` of their sizes' sum.
     """
     size = sizes[x]
     others = others[np.minimum(sizes[others], size) >= threshold * np.maximum(sizes[others], size) - 1e-9]
-    apart = np.empty(len(others), np.int64)
-    for s in range(0, len(others), 4096):
-        apart[s:s + 4096] = np.abs(values[others[s:s + 4096]] - values[x]).sum(axis=1, dtype=np.int64)
-    return others[apart <= (1 - threshold) / (1 + threshold) * (sizes[others] + size) + 1e-9]
+    return others[values.apart(x, others) <= (1 - threshold) / (1 + threshold) * (sizes[others] + size) + 1e-9]
 
 
-def shard_forest(values: np.ndarray, sizes: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """A spanning forest of the plausible pairs (positions); a dense shard costs far less than its pairs."""
+def shard_forest(values: Bitmaps, sizes: np.ndarray, roots: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Plausible pairs (positions) that make one tree of each set of plausible neighbours and of members with one root.
+
+    A dense shard costs far less than its pairs.
+    """
     fresh, links = np.ones(len(sizes), bool), []
     for start in range(len(sizes)):
         if not fresh[start]:
@@ -341,14 +374,16 @@ def shard_forest(values: np.ndarray, sizes: np.ndarray, threshold: float) -> lis
         ahead = [start]
         while ahead:
             x = ahead.pop()
-            near = _plausible(x, np.flatnonzero(fresh), values, sizes, threshold)
-            fresh[near] = False
+            left = np.flatnonzero(fresh)
+            mates = left[roots[left] == roots[x]]
+            near = _plausible(x, left[roots[left] != roots[x]], values, sizes, threshold)
+            fresh[mates] = fresh[near] = False
             links += [(x, y) for y in near.tolist()]
-            ahead += near.tolist()
+            ahead += mates.tolist() + near.tolist()
     return links
 
 
-def shard_crossings(values: np.ndarray, sizes: np.ndarray, roots: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def shard_crossings(values: Bitmaps, sizes: np.ndarray, roots: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """All plausible pairs (positions) of members with different roots."""
     names, counts = np.unique(roots, return_counts=True)
     widest = roots == names[counts.argmax()]
@@ -380,16 +415,15 @@ def _shared(nodes: DataFrame) -> DataFrame:
             .mapInArrow(run, "id bigint, shard bigint, n bigint"))
 
 
-def _proposals(members: DataFrame, nodes: DataFrame, threshold: float, shard_rows: int) -> DataFrame:
-    """Distinct plausible pairs (a < b) of ``members`` (id, shard, n and, after a first search, root)."""
-    again = "root" in members.columns
-    names = ["shard", "part", "id", "size", "value"] + ["root"] * again
+def _proposals(members: DataFrame, nodes: DataFrame, threshold: float, shard_rows: int, search) -> DataFrame:
+    """Distinct plausible pairs (a < b) of ``members`` (id, shard, n, root) that ``search`` finds in each shard."""
+    names = ["shard", "part", "id", "size", "value", "root"]
 
     def pairs(rows):
-        ids, sizes = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
-        values = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1).astype(np.int16)
-        found = shard_crossings(values, sizes, np.array([r[5] for r in rows], np.int64), threshold) if again else shard_forest(values, sizes, threshold)
-        return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found]
+        ids, sizes, roots = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 5))
+        if (roots == roots[0]).all():
+            return []
+        return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in search(Bitmaps([r[4] for r in rows]), sizes, roots, threshold)]
 
     def batch(links):
         return pa.RecordBatch.from_arrays([pa.array([l[k] for l in links], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -426,12 +460,23 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, width: int,
     return both.where(F.col("n") >= threshold * (F.col("sum") - F.col("n")) - 1e-9).select("a", "b")
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _print_pairs(nodes: DataFrame, threshold: float, radius: int, shard_rows: int) -> DataFrame:
+    """Distinct pairs (a < b) that equal fingerprints and BK-trees over distinct ones propose."""
+    least = nodes.where("size > 0").groupBy("print").agg(F.min("id").alias("low"), F.min("size").alias("size"))
+    least = cut_lineage(least)
+    equal = nodes.where("size > 0").join(least.select("print", "low"), "print").where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    distinct = least.select(F.col("low").alias("id"), F.col("print").alias("value"), "size")
+    links = similar_links(distinct, Pigeonhole(radius), radius, lambda d, a, b: True, shard_rows)
+    return equal.unionByName(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_rows: int = SHARD_ROWS, radius: int = 2) -> DataFrame:
     """(text_key, least, root) per distinct text: its class under Jaccard similarity of its sets of five-word shingles.
 
     ``least`` is the smallest doc_id with that text.  Texts that are equal are one node whatever their words are; texts
-    without words only match each other.  A first search links a forest of each shard; a second one takes all pairs that
-    are still apart, so a proposal that was not confirmed hides no other.
+    without words are one class.  Three searches, each confirmed on whole sets: fingerprints within ``radius`` bits; a forest
+    of each shard over what they left apart; then all pairs of a shard that are still apart, so a proposal that was not
+    confirmed hides no other.
     """
     keyed = texts(docs).select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"), "doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(common_grams(keyed, width))
@@ -439,22 +484,29 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_
     def run(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches):
             sets = [np.unique(shingle_hashes(t, width)) for t in b.column("text").to_pylist()]
-            values = [np.minimum(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for h in sets]
-            first = [prefix(h, shared.value, threshold).view(np.int64) for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column("text_key"), b.column("doc_id"), pa.array(values, pa.binary()), pa.array(map(len, sets), pa.int64()),
-                                              pa.array(first, pa.list_(pa.int64()))], ["text_key", "doc_id", "value", "size", "prefix"])
+            first = [prefix(h, shared.value, threshold).view(np.int64) if len(h) else np.zeros(1, np.int64) for h in sets]     # no words: one shard
+            yield pa.RecordBatch.from_arrays([b.column("text_key"), b.column("doc_id"), pa.array(map(parity_bitmap, sets), pa.binary()), pa.array(map(len, sets), pa.int64()),
+                                              pa.array(first, pa.list_(pa.int64())), pa.array(map(majority, sets), pa.binary())],
+                                             ["text_key", "doc_id", "value", "size", "prefix", "print"])
 
-    sketched = keyed.mapInArrow(run, "text_key string, doc_id bigint, value binary, size bigint, prefix array<bigint>")
-    nodes = cut_lineage(sketched.groupBy("text_key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("value", "size", "prefix")))
+    sketched = keyed.mapInArrow(run, "text_key string, doc_id bigint, value binary, size bigint, prefix array<bigint>, print binary")
+    nodes = cut_lineage(sketched.groupBy("text_key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("value", "size", "prefix", "print")))
                         .withColumn("id", F.monotonically_increasing_id()))
     members = cut_lineage(_shared(nodes))
-    pairs = cut_lineage(_proposals(members, nodes, threshold, shard_rows))
-    links = cut_lineage(_confirmed(pairs, nodes, keyed, width, threshold))
-    rooted = members.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = rooted.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shard")
-    more = cut_lineage(_proposals(rooted.join(apart, "shard"), nodes, threshold, shard_rows).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_confirmed(more, nodes, keyed, width, threshold))
+
+    def apart(links: DataFrame) -> DataFrame:
+        """The members of shards that hold several classes, with their class."""
+        rooted = members.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        several = rooted.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shard")
+        return rooted.join(several, "shard")
+
+    tried = cut_lineage(_print_pairs(nodes, threshold, radius, shard_rows))
+    links = cut_lineage(_confirmed(tried, nodes, keyed, width, threshold))
+    for search in (shard_forest, shard_crossings):
+        more = cut_lineage(_proposals(apart(links), nodes, threshold, shard_rows, search).join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = links.unionByName(cut_lineage(_confirmed(more, nodes, keyed, width, threshold)))
+            tried = tried.unionByName(more)
     roots = components(links)
     return (nodes.select("text_key", "least", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
             .select("text_key", "least", F.coalesce("root", "id").alias("root")))
@@ -463,11 +515,14 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_
 def keep_one(docs: DataFrame, threshold: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``docs`` without all but one document of each near-duplicate class: the one with the smallest doc_id stays.
 
-    All columns are kept.  Repeated rows are copies like any other.  Documents without words are each other's copies.
+    All columns are kept.  Repeated rows are copies like any other; of rows with one id and text the least by the JSON of their
+    other columns stays.  Documents without words are each other's copies.
     """
     classes = cut_lineage(near_classes(docs, threshold, shard_rows=shard_rows))
     empty_last = F.struct(F.col("least").isNull(), F.col("least"), F.col("text_key"))
     kept = classes.groupBy("root").agg(F.min(empty_last).alias("k")).select(F.col("k.text_key").alias("_cf_key"), F.col("k.least").alias("_cf_least"))
     keyed = docs.withColumn("_cf_key", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     rows = keyed.join(kept, "_cf_key").where(F.col("doc_id").cast("bigint").eqNullSafe(F.col("_cf_least")))
-    return rows.dropDuplicates(["_cf_key"]).select(*docs.columns)
+    # rows of one id and text: the least by their other columns
+    others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c not in ("text", "doc_id")), F.lit(0).alias("_cf_0")))
+    return rows.groupBy("_cf_key").agg(F.min_by(F.struct(*docs.columns), others).alias("_cf_row")).select("_cf_row.*")
