@@ -107,21 +107,3 @@ def test_search_and_highlight(spark):
     assert sorted((r.start, r.end) for r in spots.collect()) == [(0, 5), (10, 15), (17, 22)]
     stemmed = {r.term for r in Se.term_stats(Se.index(spark.createDataFrame([(1, "running runs")], "d long, text string"), ["d"], stemmed=True)).collect()}
     assert stemmed == {"run"}
-
-
-def test_nearest_is_exact(spark):
-    rnd = random.Random(5)
-    vecs = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(200)]
-    queries = {7: [rnd.uniform(-1, 1) for _ in range(8)], 9: vecs[3][1]}
-    given = spark.createDataFrame(vecs, "i long, v array<float>").repartition(5)
-    asked = spark.createDataFrame(list(queries.items()), "query_id long, vector array<double>")
-    got = Se.nearest(given, "i", "v", asked, 4).collect()
-    alone = Se.nearest(given, "i", "v", asked, 4, block_rows=1).collect()                  # block by block
-    assert {(r.query_id, r.i, r.rank) for r in alone} == {(r.query_id, r.i, r.rank) for r in got}
-    assert Se.nearest(given, "i", "v", asked.limit(0), 4).count() == 0
-
-    def cos(a, b):
-        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** .5
-    for q, v in queries.items():
-        want = [i for i, _ in sorted(vecs, key=lambda r: -cos(r[1], v))[:4]]
-        assert [r.i for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
