@@ -78,14 +78,6 @@ def first_match(words: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
-def suggestions(words: DataFrame, prefix_hit: Column, limit: int = 20) -> DataFrame:
-    """(lemma, language) groups that match, by falling count, with the number of all groups."""
-    groups = (words.where(prefix_hit).groupBy("search_form", "language")
-              .agg(F.count(F.lit(1)).alias("count"), F.min("surface").alias("surface")))
-    total = groups.select(F.count(F.lit(1))).scalar()
-    return (groups.orderBy(F.desc("count"), "search_form", "language").limit(limit).withColumn("total", total))
-
-
 # --- dictionary keys ---------------------------------------------------------------------------
 
 def corpus_key(raw: Column) -> Column:

@@ -69,6 +69,23 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "lexicon": ((), f"""
         SELECT lower(strip_accents(surface)) AS headword, min(item_id) AS entry_no, min(surface) AS gloss, count(*) AS n_uses
         FROM (SELECT item_id, unnest(regexp_extract_all(text, '{_TOK}')) AS surface FROM benchmark) GROUP BY 1"""),
+    "original_words": (("words", "lexicon"), """
+        SELECT w.*, lower(w.surface) AS lemma, coalesce('H' || l.entry_no, '') AS strongs,
+               (CASE WHEN regexp_matches(w.surface, '^\\p{Lu}') THEN 'P' ELSE 'C' END) || length(w.surface) AS morph
+        FROM words w LEFT JOIN lexicon l ON l.headword = w.search_form"""),
+    "word_requests": (("lexicon",), """
+        SELECT query || '|' || coalesce(language, '') || '|' || coalesce(morph, '') AS request, query, language, morph,
+               CASE WHEN regexp_matches(u, '^[HAG]?[0-9]{1,5}[A-Z]?$') THEN (CASE WHEN regexp_matches(u, '^[0-9]') THEN 'H' ELSE substr(u, 1, 1) END)
+                    || CAST(regexp_extract(u, '[0-9]+') AS BIGINT) || lower(regexp_extract(u, '([A-Z]?)$', 1)) END AS key
+        FROM (SELECT *, upper(replace(query, ' ', '')) AS u FROM (
+          SELECT DISTINCT substr(headword, 1, 3) AS query, CAST(NULL AS VARCHAR) AS language, CAST(NULL AS VARCHAR) AS morph FROM lexicon
+          UNION SELECT substr(headword, 1, 2), lang, NULL FROM lexicon, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)
+          UNION SELECT lower(gloss), NULL, 'P' FROM lexicon
+          UNION SELECT 'h ' || entry_no, NULL, NULL FROM lexicon))"""),
+    "request_kinds": (("original_words", "word_requests"), """
+        SELECT DISTINCT r.request, k.* FROM word_requests r JOIN (SELECT DISTINCT strongs, lemma, search_form, language, morph FROM original_words) k
+        ON (CASE WHEN r.key IS NOT NULL THEN k.strongs = r.key ELSE k.lemma = r.query OR starts_with(k.search_form, lower(strip_accents(r.query))) END)
+        AND (r.language IS NULL OR k.language = r.language) AND starts_with(k.morph, coalesce(r.morph, ''))"""),
     "lexicon2": ((), f"""
         SELECT lower(strip_accents(surface)) AS headword, min(conv_id) AS entry_no, max(surface) AS gloss, count(*) AS n_uses
         FROM (SELECT conv_id, unnest(regexp_extract_all(text, '{_TOK}')) AS surface FROM conversations) GROUP BY 1"""),

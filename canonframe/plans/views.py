@@ -177,6 +177,28 @@ class Tables:
                 .agg(F.min("item_id").alias("entry_no"), F.min("surface").alias("gloss"),
                      F.count(F.lit(1)).alias("n_uses")))
 
+    @cached_property
+    def original_words(self) -> DataFrame:
+        """Words with lemma, dictionary key (empty without an entry) and parsing (name or common word, and length)."""
+        entries = self.lexicon.select(F.col("headword").alias("search_form"), F.concat(F.lit("H"), F.col("entry_no").cast("string")).alias("_key"))
+        kind = F.when(F.col("surface").rlike(r"^\p{Lu}"), "P").otherwise("C")
+        return (self.words.join(entries, "search_form", "left")
+                .withColumn("lemma", F.lower("surface")).withColumn("strongs", F.coalesce("_key", F.lit("")))
+                .withColumn("morph", F.concat(kind, F.length("surface").cast("string"))).drop("_key"))
+
+    @cached_property
+    def word_requests(self) -> DataFrame:
+        """Requests made from the dictionary: beginnings, beginnings in one language, lemmas of names, and numbers."""
+        none = F.lit(None).cast("string")
+        languages = self.documents.select(F.col("lang").alias("language")).where("language is not null").distinct()
+        heads = self.lexicon.select(F.substring("headword", 1, 2).alias("query")).distinct()
+        rows = (self.lexicon.select(F.substring("headword", 1, 3).alias("query"), none.alias("language"), none.alias("morph"))
+                .unionByName(heads.crossJoin(languages).select("query", "language", none.alias("morph")))       # a few languages
+                .unionByName(self.lexicon.select(F.lower("gloss").alias("query"), none.alias("language"), F.lit("P").alias("morph")))
+                .unionByName(self.lexicon.select(F.concat(F.lit("h "), F.col("entry_no").cast("string")).alias("query"), none.alias("language"), none.alias("morph"))))
+        empty = F.lit("")
+        return rows.distinct().withColumn("request", F.concat("query", F.lit("|"), F.coalesce("language", empty), F.lit("|"), F.coalesce("morph", empty)))
+
     @cached_property
     def lexicon2(self) -> DataFrame:
         """A second, partial dictionary from the conversations."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import coverage as C, words as Wd
+from ..operators import coverage as C, originals as O, space as S, words as Wd
+from ..session import cut_lineage
 from .registry import query
 
 _BOOK = "(addr // 1000) // 100"
@@ -79,27 +80,37 @@ def distinct_addresses(t):
     return t.words.select("search_form", "addr").distinct().groupBy("search_form").agg(F.count(F.lit(1)).alias("n_addresses"))
 
 
-@query("ag06_lemma_suggestions", """
-    WITH g AS (SELECT search_form, language, count(*) AS count, min(surface) AS surface FROM words WHERE starts_with(search_form, 'en') GROUP BY 1, 2)
-    SELECT *, (SELECT count(*) FROM g) AS total FROM g ORDER BY count DESC, search_form, language LIMIT 20""", ("words",))
+_SUGGESTED = """g AS (SELECT request, lemma, strongs, language, CAST(sum(n) AS BIGINT) AS count, min(surface) AS surface FROM request_kinds JOIN
+      (SELECT strongs, lemma, search_form, language, morph, count(*) AS n, min(surface) AS surface FROM original_words GROUP BY ALL) USING (strongs, lemma, search_form, language, morph)
+      GROUP BY ALL),
+    top AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY count DESC, lemma, strongs, language) AS rank, count(*) OVER (PARTITION BY request) AS total FROM g)"""
+
+
+@query("ag06_lemma_suggestions", f"WITH {_SUGGESTED} SELECT * FROM top WHERE rank <= 20", ("request_kinds",))
 def lemma_suggestions(t):
-    return Wd.suggestions(t.words, F.startswith("search_form", F.lit("en")))
+    return O.suggestions(t.original_words, t.word_requests)
 
 
-@query("prj09_prefix_filter", "SELECT addr, position, surface FROM words WHERE starts_with(search_form, 'th')", ("words",))
+@query("prj09_prefix_filter", "SELECT r.request, w.search_form, count(*) AS n FROM word_requests r JOIN words w ON starts_with(w.search_form, lower(strip_accents(r.query))) GROUP BY 1, 2",
+       ("words", "word_requests"))
 def prefix_filter(t):
-    return t.words.where(F.startswith("search_form", F.lit("th"))).select("addr", "position", "surface")
+    """How often each form that begins with a request's text occurs."""
+    counts = cut_lineage(t.words.groupBy("search_form").agg(F.count(F.lit(1)).alias("n")))
+    asked = t.word_requests.select("request", T.fold("query").alias("prefix"))
+    ranks, intervals = O.rank_intervals(counts.select(F.col("search_form").alias("form")), asked.select("prefix"))
+    begun = S.points_in_ranges(ranks, intervals, "rank", ("low", "high")).select("prefix", F.col("form").alias("search_form"))
+    return asked.join(begun, "prefix").join(counts, "search_form").select("request", "search_form", "n")
 
 
 # Numbered dictionary over lineitem: number = part, homonym letter from the return flag, corpus key from line status.
 _NUMBERED = """kw AS (SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE (CASE l_linestatus WHEN 'F' THEN 'H' ELSE 'A' END) || l_partkey
-        || (CASE l_returnflag WHEN 'R' THEN '' WHEN 'A' THEN 'a' ELSE 'b' END) END AS strongs FROM lineitem WHERE l_partkey % 3 <> 0),
+        || (CASE l_returnflag WHEN 'R' THEN '' WHEN 'A' THEN 'a' ELSE 'b' END) END AS strongs FROM lineitem),
     en AS (SELECT 'H' || p_partkey || h AS entry_key, p_partkey AS number, nullif(h, '') AS homonym, p_name AS headword FROM part, (SELECT unnest(['', 'a', 'b', 'c']) AS h)),
     n AS (SELECT 'H' || substr(strongs, 2) AS entry_key, count(*) AS n FROM kw WHERE strongs IS NOT NULL GROUP BY 1)"""
 
 
 def _numbered(t):
-    words = t.lineitem.where("l_partkey % 3 <> 0").select(F.when(F.col("l_linenumber") != 7, F.concat(
+    words = t.lineitem.select(F.when(F.col("l_linenumber") != 7, F.concat(
         F.when(F.col("l_linestatus") == "F", "H").otherwise("A"), F.col("l_partkey").cast("string"),
         F.when(F.col("l_returnflag") == "R", "").when(F.col("l_returnflag") == "A", "a").otherwise("b"))).alias("strongs"))
     entries = t.part.select("p_partkey", "p_name", F.explode(F.array(F.lit(""), F.lit("a"), F.lit("b"), F.lit("c"))).alias("_h")).select(
@@ -172,11 +183,13 @@ def worst_unresolved(t):
 
 
 @query("wn01_first_match", """
-    SELECT addr, position, surface FROM (SELECT addr, position, surface, row_number() OVER (PARTITION BY addr ORDER BY position) AS rn
-    FROM words WHERE starts_with(search_form, 'en') OR search_form = 'the') WHERE rn = 1""", ("words",))
+    SELECT language, addr, position, surface FROM (SELECT language, addr, position, surface, row_number() OVER (PARTITION BY language, addr ORDER BY position) AS rn
+    FROM words WHERE search_form IN (SELECT headword FROM lexicon)) WHERE rn = 1""", ("words", "lexicon"))
 def first_match(t):
-    hits = t.words.where(F.startswith("search_form", F.lit("en")) | (F.col("search_form") == "the")).select("addr", "position", "surface")
-    return Wd.first_match(hits, ["addr"])
+    """The first word of every address that the dictionary has."""
+    known = t.lexicon.select(F.col("headword").alias("search_form"))
+    hits = t.words.join(known, "search_form", "left_semi").select("language", "addr", "position", "surface")
+    return Wd.first_match(hits, ["language", "addr"])
 
 
 @query("wn03_word_positions", """
@@ -212,28 +225,47 @@ def concordance_keys(t):
     return t.words.select(key.alias("key")).where(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
 
 
-@query("tx06_original_search", """
-    WITH m AS (SELECT * FROM words WHERE starts_with(search_form, 'ver') AND language = 'de')
-    SELECT addr, arg_min(surface, position) AS surface, min(position) AS position, count(*) AS n_words FROM m GROUP BY addr""", ("words",))
+_ORIGINAL = """h AS MATERIALIZED (SELECT request, addr, min(position) AS position, count(*) AS n_words, arg_min((surface, strongs, lemma, search_form, language, morph), position) AS f
+      FROM original_words JOIN request_kinds USING (strongs, lemma, search_form, language, morph) GROUP BY 1, 2)"""
+
+
+@query("tx06_original_search", f"""WITH {_ORIGINAL} SELECT request, addr, position, n_words, f.surface, f.strongs, f.lemma, f.search_form, f.language, f.morph FROM
+    (SELECT request, addr, position, n_words, {{'surface': f[1], 'strongs': f[2], 'lemma': f[3], 'search_form': f[4], 'language': f[5], 'morph': f[6]}} AS f FROM h)""", ("request_kinds",))
 def original_search(t):
-    hits = t.words.where(F.startswith("search_form", F.lit("ver")) & (F.col("language") == "de"))
-    return hits.groupBy("addr").agg(F.min_by("surface", "position").alias("surface"), F.min("position").alias("position"),
-                                    F.count(F.lit(1)).alias("n_words"))
+    """Every request's addresses with the first word that matches at each."""
+    return O.search(t.original_words, t.word_requests)
+
+
+@query("tx06_original_page", f"""WITH {_ORIGINAL} SELECT * FROM (SELECT request, addr, position, row_number() OVER (PARTITION BY request ORDER BY addr) AS rank FROM h) WHERE rank BETWEEN 11 AND 20""",
+       ("request_kinds",))
+def original_page(t):
+    return O.page(O.search(t.original_words, t.word_requests), 10, 10).select("request", "addr", "position", "rank")
+
+
+@query("tx06_original_totals", f"WITH {_ORIGINAL} SELECT request, count(*) AS total FROM h GROUP BY 1", ("request_kinds",))
+def original_totals(t):
+    return O.totals(O.search(t.original_words, t.word_requests), F.expr("(addr div 1000) div 100"))[0]
+
+
+@query("tx06_original_distribution", f"WITH {_ORIGINAL} SELECT request, {_BOOK} AS book, count(*) AS n FROM h GROUP BY 1, 2", ("request_kinds",))
+def original_distribution(t):
+    return O.totals(O.search(t.original_words, t.word_requests), F.expr("(addr div 1000) div 100"))[1]
 
 
-@query("tx07_suggestion_glosses", """
-    WITH g AS (SELECT search_form, language, count(*) AS count, min(surface) AS surface FROM words WHERE starts_with(search_form, 'an') GROUP BY 1, 2)
-    SELECT g.*, (SELECT count(*) FROM g) AS total, coalesce(l.gloss, '') AS gloss FROM (SELECT * FROM g ORDER BY count DESC, search_form, language LIMIT 20) g
-    LEFT JOIN lexicon l ON l.headword = g.search_form""", ("words", "lexicon"))
+@query("tx07_suggestion_glosses", f"""WITH {_SUGGESTED}, e AS (SELECT 'H' || entry_no AS strongs, arg_min(headword, headword) AS headword, arg_min(gloss, headword) AS gloss FROM lexicon GROUP BY 1)
+    SELECT top.*, coalesce(e.headword, '') AS headword, coalesce(e.gloss, '') AS gloss FROM top LEFT JOIN e ON e.strongs = top.strongs WHERE rank <= 5""", ("request_kinds", "lexicon"))
 def suggestion_glosses(t):
-    top = Wd.suggestions(t.words, F.startswith("search_form", F.lit("an")))
-    glosses = t.lexicon.select(F.col("headword").alias("search_form"), "gloss")
-    return top.join(glosses, "search_form", "left").fillna("", ["gloss"])
+    entries = (t.lexicon.groupBy(F.concat(F.lit("H"), F.col("entry_no").cast("string")).alias("strongs"))
+               .agg(F.min("headword").alias("headword"), F.min_by("gloss", "headword").alias("gloss")))
+    return O.suggestions(t.original_words, t.word_requests, 5).join(entries, "strongs", "left").fillna("", ["headword", "gloss"])
 
 
-@query("tx09_occurrences", "SELECT addr, position, surface, language FROM words WHERE search_form = 'the'", ("words",))
+@query("tx09_occurrences", """
+    SELECT r.request, w.addr, w.position, w.surface, w.morph, w.language FROM word_requests r JOIN original_words w ON w.strongs = r.key""", ("original_words", "word_requests"))
 def occurrences(t):
-    return t.words.where("search_form = 'the'").select("addr", "position", "surface", "language")
+    """Every occurrence of the dictionary numbers asked for."""
+    keys = O.parse_requests(t.word_requests).where("key is not null").select("request", F.col("key").alias("strongs"))
+    return t.original_words.join(keys, "strongs").select("request", "addr", "position", "surface", "morph", "language")
 
 
 @query("fn05_search_folding", "SELECT addr, position, search_form FROM words WHERE surface <> search_form", ("words",))
