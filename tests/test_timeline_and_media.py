@@ -103,7 +103,32 @@ def test_search_and_highlight(spark):
     slots = Se.parse_queries(q, "id", "q")
     got = {(r.query_id, r.d) for r in Se.match(slots, post, ["d"]).collect()}
     assert got == {("a", 1), ("b", 1), ("b", 3)}
-    spots = Se.highlights(Se.match(slots, post, ["d"]).where("query_id = 'a'"), slots.select("query_id", "term"), units, ["d"])
+    placed = Se.index(units, ["d"], spots=True)
+    assert {(r.d, r.term, r.tf, r.dl) for r in placed.collect()} == {(r.d, r.term, r.tf, r.dl) for r in post.collect()}
+    spots = Se.highlights(Se.match(slots, post, ["d"]).where("query_id = 'a'"), slots.select("query_id", "term"), placed, ["d"])
     assert sorted((r.start, r.end) for r in spots.collect()) == [(0, 5), (10, 15), (17, 22)]
     stemmed = {r.term for r in Se.term_stats(Se.index(spark.createDataFrame([(1, "running runs")], "d long, text string"), ["d"], stemmed=True)).collect()}
     assert stemmed == {"run"}
+    both = Se.index(spark.createDataFrame([(1, "running, runs")], "d long, text string"), ["d"], stemmed=True, spots=True).first()
+    assert both.tf == 2 and [(s.position, s.start, s.end) for s in both.spots] == [(0, 0, 7), (1, 9, 13)]
+
+
+@pytest.mark.parametrize("block_postings", [4, 128])
+def test_best_matches_read_fewer_blocks(spark, block_postings):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    units = spark.createDataFrame([(d, " ".join(rnd.choices(words, [2 ** -i for i in range(12)], k=rnd.randint(3, 40)))) for d in range(600)], "d long, text string")
+    post = Se.index(units, ["d"]).cache()
+    queries = [(f"{a} {b}", f"{a} {b}") for a in words[:6] for b in words[:8]] + [("w0", "w0"), ("w1 w2 w3", "w1 w2 w3"), ("none w0", "none w0")]
+    slots = Se.parse_queries(spark.createDataFrame(queries, "id string, q string"), "id", "q").cache()
+    n, total = F.lit(600), F.lit(post.select("d", "dl").distinct().agg(F.sum("dl")).first()[0])
+    blocks = Se.impact_blocks(post, ["d"], n, total, block_postings).cache()
+    assert blocks.agg(F.sum("n")).first()[0] == post.count() and blocks.groupBy("term").count().agg(F.max("count")).first()[0] > 5
+
+    def rows(scored):
+        return {(r.query_id, r.d, round(r.score, 5), r.rank) for r in Se.page(scored, ["d"], 5).collect()}
+    assert rows(Se.best_matches(slots, blocks, ["d"], 5)) == rows(Se.ranked(slots, post, ["d"], n, total))
+    _, left, _ = Se.wanted_blocks(slots, blocks, ["d"], 5)
+    drivers = Se._drivers(slots, blocks)[1].join(blocks, "term").count()
+    if block_postings == 4:
+        assert left.count() < 0.7 * drivers
