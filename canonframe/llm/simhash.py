@@ -30,6 +30,7 @@ from .common import components, cut_lineage, mix64, slices, texts
 
 SHARD_ROWS = 16_384          # fingerprints in one BK-tree before its shard is dealt again
 MOST_BITS = 1 << 14          # of a parity bitmap
+TEXT_SLICE = 1 << 20         # bytes of texts whose shingle sets are held at once
 OWN_TREE = 32                # members from which a component of a shard gets a tree of its own
 
 
@@ -286,7 +287,7 @@ def _grams(docs: DataFrame, width: int, keep: str) -> DataFrame:
     kind = dict(docs.dtypes)[keep]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches):
+        for b in slices(batches, most=TEXT_SLICE):
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(sets, pa.list_(pa.int64()))], [keep, "grams"])
     return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, grams array<bigint>")
@@ -482,7 +483,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shard_
     shared = docs.sparkSession.sparkContext.broadcast(common_grams(keyed, width))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches):
+        for b in slices(batches, most=TEXT_SLICE):
             sets = [np.unique(shingle_hashes(t, width)) for t in b.column("text").to_pylist()]
             first = [prefix(h, shared.value, threshold).view(np.int64) if len(h) else np.zeros(1, np.int64) for h in sets]     # no words: one shard
             yield pa.RecordBatch.from_arrays([b.column("text_key"), b.column("doc_id"), pa.array(map(parity_bitmap, sets), pa.binary()), pa.array(map(len, sets), pa.int64()),
