@@ -12,14 +12,17 @@ HOUR = 3_600_000_000
 _EV = "ev AS MATERIALIZED (SELECT *, epoch_us(ts) AS us FROM events)"
 
 
-def _chapters(t):
+def chapters_of(events):
     """One file per user and day; the event value is the score."""
-    e = t.events_us
-    return e.select("user_id", F.expr(f"us div {24 * HOUR}").alias("file_no"), F.col("us").alias("seq"), "event_id", "event_type",
+    return events.select("user_id", "ts", F.expr(f"us div {24 * HOUR}").alias("file_no"), F.col("us").alias("seq"), "event_id", "event_type",
                     F.least(F.col("value") / 100, F.lit(1.0)).alias("score"),
                     (F.col("value") % 37 + 1).alias("rate"), (F.col("event_type") == "error").alias("ran_out"))
 
 
+def _chapters(t):
+    return chapters_of(t.events_us).drop("ts")
+
+
 @query("jn17_asof_lookup", f"WITH {_EV} SELECT p.event_id, coalesce(v.event_id, -1) AS interval_id FROM (SELECT * FROM ev WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'view') v ON v.user_id = p.user_id AND v.us <= p.us")
 def asof_lookup(t):
     e = t.events_us
@@ -103,7 +106,18 @@ def before_drift(t):
     return M.before_drift(_chapters(t), ["user_id", "file_no"], "seq", "score", 0.5).select("event_id", "user_id")
 
 
-@query("sm04_alignment_state")
+_CHAPTERS = f"""{_EV}, c AS (SELECT user_id, us // 86400000000 AS file_no, us, least(value / 100, 1.0) AS score, value % 37 + 1 AS rate, event_type = 'error' AS ran_out FROM ev),
+    m AS (SELECT *, NOT ran_out AND score < 0.5 AND coalesce(lead(score) OVER (PARTITION BY user_id, file_no ORDER BY us) >= 0.7, false) AS skipped FROM c),
+    k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS n, NOT ran_out AND NOT skipped AND score > 0.5 AND rate > 3 AND rate < 40 AS sane FROM m),
+    r AS (SELECT user_id, n, CASE WHEN sane THEN 0.6 * 13.0::DOUBLE + 0.4 * rate ELSE 13.0::DOUBLE END AS now FROM k WHERE n = 1
+          UNION ALL SELECT k.user_id, k.n, CASE WHEN k.sane THEN 0.6 * r.now + 0.4 * k.rate ELSE r.now END FROM r JOIN k ON k.user_id = r.user_id AND k.n = r.n + 1),
+    f AS (SELECT k.user_id, k.file_no, arg_max(r.now, k.n) AS rate_out, count(*) FILTER (NOT ran_out AND NOT skipped) AS done, count(*) FILTER (skipped) AS missing,
+          count(*) FILTER (ran_out) AS carried_out FROM k JOIN r ON r.user_id = k.user_id AND r.n = k.n GROUP BY 1, 2),
+    s AS (SELECT user_id, file_no, round(coalesce(lag(rate_out) OVER o, 13.0), 6) AS rate_in, round(rate_out, 6) AS rate_out, done, missing,
+          coalesce(lag(carried_out) OVER o, 0) AS carried_in, carried_out FROM f WINDOW o AS (PARTITION BY user_id ORDER BY file_no))"""
+
+
+@query("sm04_alignment_state", f"WITH RECURSIVE {_CHAPTERS} SELECT * FROM s")
 def alignment_state(t):
     out = M.alignment_state(_chapters(t), "user_id", "file_no", "seq", 13.0)
     return out.withColumn("rate_in", F.round("rate_in", 6)).withColumn("rate_out", F.round("rate_out", 6))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import space as S
 from ..session import cut_lineage
-from ..streaming import flows as Fl
+from ..streaming import alignment as Al, flows as Fl, sessions as Ss
+from .media_queries import _CHAPTERS, chapters_of
 from .registry import query
 from .views import epoch_micros
 
@@ -17,6 +18,10 @@ def _events(t):
     return src.withColumn("us", epoch_micros("ts")).withColumn("ts", F.timestamp_micros("us"))
 
 
+#: Where the watermark stands after all events, in microseconds: whole milliseconds, one hour back.
+_PASSED = "wm AS (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 AS passed FROM events)"
+
+
 def _op(col="event_type"):
     return F.when(F.col(col) == "view", "create").when(F.col(col) == "click", "patch").when(F.col(col) == "error", "delete")
 
@@ -98,3 +103,50 @@ def tumbling_counts(t):
 def sliding_counts(t):
     out = Fl.run_to_table(Fl.windowed_counts(_events(t), ["event_type"], "1 hour", "30 minutes"), "complete", Fl.latest_batch)
     return out.select(F.expr("unix_micros(window.start) div 1800000000").alias("half_hour"), "event_type", "n")
+
+
+@query("sm06_closed_windows", f"""WITH {_PASSED} SELECT epoch_us(ts) // 3600000000 AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events, wm
+    WHERE (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= passed GROUP BY 1, 2""")
+def closed_windows(t):
+    """Append mode: a window is written once, when the watermark closes it, and leaves the state."""
+    out = Fl.run_to_table(Fl.windowed_counts(_events(t), ["event_type"], "1 hour"))
+    return out.select(F.expr("unix_micros(window.start) div 3600000000").alias("hour"), "event_type", "n", "total")
+
+
+GAP_US = 6 * 3_600_000_000
+_SESSIONS = f"""{_PASSED}, e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'purchase' AS done FROM events, wm WHERE epoch_us(ts) <= passed),
+    p AS (SELECT *, us - lag(us) OVER o AS since, lag(done) OVER o AS after_done FROM e WINDOW o AS (PARTITION BY user_id ORDER BY us, event_id)),
+    b AS (SELECT *, since IS NULL OR since >= {GAP_US} OR after_done AS begins FROM p),
+    n AS (SELECT *, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session FROM b),
+    s AS (SELECT user_id, min(us) AS first_us, max(us) AS last_us, count(*) AS n_events, sum(CASE WHEN begins THEN 0 ELSE least(since, 60000000) END)::BIGINT AS active_us,
+          CASE WHEN bool_or(done) THEN 'completed' WHEN max(us) + {GAP_US} <= (SELECT passed FROM wm) THEN 'expired' ELSE 'open' END AS ended FROM n GROUP BY user_id, session)"""
+
+
+@query("sm05_completed_sessions", f"WITH {_SESSIONS} SELECT * FROM s WHERE ended <> 'open'")
+def completed_sessions(t):
+    """A purchase completes a session, six quiet hours end it; intervals count for a minute at most."""
+    e = _events(t).select("user_id", "ts", "event_id", "event_type")
+    return Fl.run_to_table(Ss.completed_sessions(e, ["user_id"], F.col("event_type") == "purchase", GAP_US), timers=True)
+
+
+def _passed(t):
+    return t.events.agg(((F.expr("max(unix_micros(CAST(ts AS TIMESTAMP))) div 1000") - 3_600_000) * 1000).alias("p")).head()["p"]     # one number
+
+
+@query("sm05_sessions_twin", f"WITH {_SESSIONS} SELECT * FROM s")
+def sessions_twin(t):
+    return Ss.sessions_of(t.events, ["user_id"], F.col("event_type") == "purchase", GAP_US, passed_us=_passed(t))
+
+
+@query("sm05_progress", f"""WITH {_SESSIONS} SELECT user_id, min(first_us) AS first_us, max(last_us) AS last_us, count(*) AS n_sessions, count(*) FILTER (ended = 'completed') AS n_completed,
+    sum(n_events)::BIGINT AS n_events, sum(active_us)::BIGINT AS active_us FROM s GROUP BY 1""")
+def reading_totals(t):
+    return Ss.progress(sessions_twin(t), ["user_id"])
+
+
+@query("sm04_alignment_stream", f"WITH RECURSIVE {_PASSED}, {_CHAPTERS} SELECT s.*, 0::BIGINT AS n_late FROM s, wm WHERE (file_no + 1) * 86400000000 <= passed")
+def alignment_stream(t):
+    """A file is over at the end of its day; rates and left-over chapters go on to the next file in keyed state."""
+    chapters = chapters_of(_events(t)).withColumn("ends_us", F.expr("(file_no + 1) * 86400000000"))
+    out = Fl.run_to_table(Al.alignment_stream(chapters, "user_id", "ends_us", 13.0), timers=True)
+    return out.withColumn("rate_in", F.round("rate_in", 6)).withColumn("rate_out", F.round("rate_out", 6))

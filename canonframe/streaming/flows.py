@@ -15,28 +15,44 @@ from ..operators import annotations as An
 from ..session import shared_folder
 
 LATENESS = "1 hour"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", combine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append", combine: Callable[[DataFrame], DataFrame] | None = None,
+                 timers: bool = False, at: str | None = None) -> DataFrame:
     """Run a stream over all available input and return what it wrote.
 
     Every micro-batch is written under its batch number (a repeated batch
     overwrites itself, so a restart writes nothing twice).  ``combine`` turns
-    the batches, with their ``batch_id``, into the final table.
+    the batches, with their ``batch_id``, into the final table.  ``timers``
+    chooses the state store that timers need.  A run ``at`` the folder of an
+    earlier one goes on from its state and returns what both wrote.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/canonframe-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    root = at or f"{shared_folder(spark)}/canonframe-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
-    query = (stream.writeStream.outputMode(mode).trigger(availableNow=True)
-             .option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).start())
+    writer = (stream.writeStream.outputMode(mode).trigger(availableNow=True)
+              .option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write))
+    query = _start_with_timers(spark, writer) if timers else writer.start()
     query.awaitTermination()
     schema = stream.schema.add("batch_id", "long")
     written = spark.read.schema(schema).option("basePath", f"{root}/out").parquet(f"{root}/out")
     return combine(written) if combine else written.drop("batch_id")
 
 
+def _start_with_timers(spark: SparkSession, writer):
+    """A query keeps the settings it starts with, so the store is set for the start alone."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
 def latest_batch(written: DataFrame) -> DataFrame:
     """Complete mode rewrites the whole result: the last batch is the table."""
     last = written.select(F.max("batch_id")).scalar()
