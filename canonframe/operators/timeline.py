@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import inf
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -170,39 +171,96 @@ def ordered_list(parts: list[Column], sort: list[Column], sep: str = "|") -> Col
 
 # --- strips ----------------------------------------------------------------------------------------
 
-def lay_out(events: DataFrame, strip: list[str], left: str, right: str, order: list[str]) -> DataFrame:
-    """First-fit lanes: every bar takes the first lane whose last bar ends before it starts.
-
-    A time at which nothing is drawn frees all lanes, so bars are grouped by
-    island of overlapping claims and only an island is laid out in sequence.
+class Lanes:
+    """Ends of the lanes of one strip under a tree of least ends: the first free lane is found by descent."""
+
+    def __init__(self):
+        self.width, self.used, self.least = 1, 0, [inf, inf]
+
+    def take(self, start: float, end: float) -> int:
+        """The first lane whose last claim ends before ``start``, else a new one; it then ends at ``end``."""
+        if self.least[1] < start:
+            node = 1
+            while node < self.width:
+                node = 2 * node if self.least[2 * node] < start else 2 * node + 1
+            lane = node - self.width
+        else:
+            lane = self.used
+            self.used += 1
+            if lane == self.width:
+                leaves = self.least[self.width:]
+                self.width *= 2
+                self.least = [inf] * self.width + leaves + [inf] * len(leaves)
+                for node in range(self.width - 1, 0, -1):
+                    self.least[node] = min(self.least[2 * node], self.least[2 * node + 1])
+        node = lane + self.width
+        self.least[node] = end
+        while node > 1:
+            node //= 2
+            self.least[node] = min(self.least[2 * node], self.least[2 * node + 1])
+        return lane
+
+
+def strip_claims(events: DataFrame, start: Column, end: Column, scale: float, min_width: float = 8.0, reserve: float = 0.0) -> DataFrame:
+    """Bars of the entries that overlap the window, with the room each claims in its lane.
+
+    Adds ``bar_left`` and ``bar_width`` (at least ``min_width``) and ``claim_left``, ``claim_right``.  The bar shows the
+    envelope ``earliest`` to ``latest``; the claim also covers the traditional one (``trad_earliest``, ``trad_latest``;
+    null: none) and ``reserve`` from the bar's left, the room of its label.  Distances do not count a year zero;
+    what lies before the window has negative ones.
+    """
+    def offset(year: Column) -> Column:
+        return F.when(year < start, -span_years(start, year)).otherwise(span_years(start, year)) * scale
+    e = events.where((F.col("earliest") <= end) & (F.col("latest") >= start))
+    left = offset(F.col("earliest"))
+    width = F.greatest(span_years("earliest", "latest") * scale, F.lit(min_width))
+    lens_left = offset(F.least("earliest", "trad_earliest"))           # nulls do not count
+    lens_right = offset(F.greatest("latest", "trad_latest"))
+    return (e.withColumn("bar_left", left.cast("double")).withColumn("bar_width", width.cast("double"))
+            .withColumn("claim_left", lens_left.cast("double"))
+            .withColumn("claim_right", F.greatest(F.col("bar_left") + F.greatest("bar_width", F.lit(reserve)), lens_right).cast("double")))
+
+
+def lay_out(events: DataFrame, strip: list[str], left: str, right: str, order: list[str], first: str | None = None) -> DataFrame:
+    """First-fit lanes: every bar takes the first lane whose claims all end before it starts.
+
+    Bars are taken in the order of ``order``, those with ``first`` (a boolean column) before the rest.  A time at which
+    nothing is claimed frees all lanes, so bars are grouped by island of overlapping claims and only an island is laid
+    out in sequence.  Bars taken first hold their lanes up to their ends: the islands of a strip up to the last of these
+    ends are one sequence.  ``left`` must not decrease from one island to the next in ``order``.
     """
-    claims = events.select(*strip, F.col(left).alias("_s"), F.col(right).alias("_e"))
+    asked = F.coalesce(F.col(first), F.lit(False)) if first else F.lit(False)
+    events = events.withColumn("_rank", F.when(asked, 0).otherwise(1))
+    whole = F.floor(left).cast("bigint")
+    claims = events.select(*strip, whole.alias("_s"), F.ceil(right).cast("bigint").alias("_e"))
     # Claims that merely touch are one island: a lane is free only when it ends strictly before.
     islands = S.merge_ranges(claims, "_s", "_e", strip, touch=0)
-    starts = events.withColumn("_s", F.col(left)).select(*strip, "_s").distinct()
+    starts = events.withColumn("_s", whole).select(*strip, "_s").distinct()
     marks = islands.select(*strip, "_s", F.col("_s").alias("_island"))
     carried = S.running(starts.join(marks, [*strip, "_s"], "left"), "_s", F.expr("_s div 1000000"),
                         {"island": ("last", "_island")}, strip)
-    rows = events.withColumn("_s", F.col(left)).join(carried.select(*strip, "_s", "island"), [*strip, "_s"]).drop("_s")
+    rows = events.withColumn("_s", whole).join(carried.select(*strip, "_s", "island"), [*strip, "_s"]).drop("_s")
+    if first:
+        held = rows.where("_rank = 0").groupBy(*strip).agg(F.max(right).alias("_held"))
+        rows = rows.join(held, strip, "left").withColumn("island", F.when(F.col("island") <= F.col("_held"), None).otherwise(F.col("island"))).drop("_held")
 
     keys = [*strip, "island"]
 
     def lanes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows arrive sorted by island; only the lane ends of the current island are held.
-        current, ends = None, []
+        current, now = None, Lanes()
         for pdf in batches:
             out = []
-            for key, a, b in zip(zip(*(pdf[k] for k in keys)), pdf[left], pdf[right]):
+            columns = [pdf[k].astype(object).where(pdf[k].notna(), None) for k in keys]
+            for key, a, b in zip(zip(*columns), pdf[left], pdf[right]):
                 if key != current:
-                    current, ends = key, []
-                lane = next((i for i, e in enumerate(ends) if e < a), len(ends))
-                ends[lane:lane + 1] = [b]
-                out.append(lane)
+                    current, now = key, Lanes()
+                out.append(now.take(a, b))
             yield pdf.assign(lane=out)
 
     schema = StructType([*rows.schema.fields, StructField("lane", LongType())])
-    return (rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-            .mapInPandas(lanes, schema).drop("island"))
+    return (rows.repartition(*keys).sortWithinPartitions(*keys, "_rank", *order)
+            .mapInPandas(lanes, schema).drop("island", "_rank"))
 
 
 def limit_rows(bars: DataFrame, max_rows: int) -> DataFrame:

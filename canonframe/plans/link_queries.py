@@ -148,12 +148,45 @@ def _seeds(t):
     return best.select(F.col("book").alias("seed"), "start", F.col("start").alias("end"))
 
 
-@query("gr01_walk_nodes")
+def _walk_sql(result: str, depths: int = 2, degree: int = 12, most: int = 60) -> str:
+    """The walk written out: one group of steps a depth, every rule as a row filter."""
+    parts = ["""n0 AS MATERIALIZED (SELECT book AS seed, addr AS s, addr AS e, addr || '-' || addr AS id, 0 AS depth, 0 AS ord
+      FROM (SELECT addr, addr // 1000000 AS book, row_number() OVER (PARTITION BY addr // 1000000 ORDER BY inbound_count DESC, addr) AS k FROM heat) WHERE k = 1), f0 AS (SELECT * FROM n0)"""]
+    for d in range(depths):
+        parts.append(f"""g{d} AS MATERIALIZED (SELECT DISTINCT s AS ps, e AS pe FROM f{d}),
+    t{d} AS MATERIALIZED (SELECT * FROM (
+      SELECT ps, pe, 0 AS dir, votes, dst_start AS s, dst_end AS e, row_number() OVER (PARTITION BY ps, pe ORDER BY votes DESC, dst_start, dst_end, edge_id) AS rn FROM g{d} JOIN edges ON src BETWEEN ps AND pe
+      UNION ALL SELECT ps, pe, 1, votes, src, src, row_number() OVER (PARTITION BY ps, pe ORDER BY votes DESC, src, edge_id) FROM g{d} JOIN edges ON dst_start <= pe AND dst_end >= ps) WHERE rn <= {degree}),
+    k{d} AS MATERIALIZED (SELECT f.seed, f.ord AS po, f.id AS pid, t.dir, t.rn, t.votes, t.s, t.e, t.s || '-' || t.e AS id FROM f{d} f JOIN t{d} t ON f.s = t.ps AND f.e = t.pe),
+    z{d} AS (SELECT seed, count(*) AS size FROM n{d} GROUP BY 1),
+    new{d} AS (SELECT seed, id, s, e, row_number() OVER (PARTITION BY seed ORDER BY min(po * 1000000 + dir * 1000 + rn)) AS k, min(po) AS po
+      FROM k{d} WHERE votes >= 1 AND (seed, id) NOT IN (SELECT (seed, id) FROM n{d}) GROUP BY 1, 2, 3, 4),
+    f{d + 1} AS MATERIALIZED (SELECT seed, s, e, id, {d + 1} AS depth, size + k - 1 AS ord, po FROM new{d} JOIN z{d} USING (seed) WHERE size + k <= {most}),
+    v{d} AS MATERIALIZED (SELECT seed, f.ord AS po, size + coalesce(sum(c) OVER (PARTITION BY seed ORDER BY f.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {most} AS visited
+      FROM f{d} f JOIN z{d} USING (seed) LEFT JOIN (SELECT seed, po AS ord, count(*) AS c FROM f{d + 1} GROUP BY 1, 2) USING (seed, ord)),
+    n{d + 1} AS MATERIALIZED (SELECT * FROM n{d} UNION ALL SELECT seed, s, e, id, depth, ord FROM f{d + 1}),
+    seen{d} AS MATERIALIZED (SELECT k.*, (seed, id) IN (SELECT (seed, id) FROM n{d + 1}) AS reached FROM k{d} k JOIN v{d} USING (seed, po) WHERE visited),
+    e{d} AS (SELECT seed, CASE dir WHEN 0 THEN pid ELSE id END AS source, CASE dir WHEN 0 THEN id ELSE pid END AS target FROM seen{d} WHERE votes >= 1 AND reached),
+    w{d} AS (SELECT seed, bool_or(NOT visited) AS stopped, (SELECT count(*) FROM seen{d} x WHERE x.seed = v.seed) AS candidates,
+      coalesce((SELECT bool_or(c >= {degree}) FROM (SELECT seed, count(*) AS c FROM seen{d} GROUP BY seed, po, dir) y WHERE y.seed = v.seed), false) AS degree_capped,
+      coalesce((SELECT bool_or(votes >= 1 AND NOT reached) FROM seen{d} x WHERE x.seed = v.seed), false) AS was_full FROM v{d} v GROUP BY seed)""")
+    steps = " UNION ALL ".join(f"SELECT * FROM w{d}" for d in range(depths))
+    shown = " UNION ".join(f"SELECT * FROM e{d}" for d in range(depths))
+    parts.append(f"""shown AS MATERIALIZED ({shown}), steps AS MATERIALIZED ({steps}),
+    deg AS (SELECT seed, id, count(*) AS degree FROM (SELECT seed, source AS id FROM shown UNION ALL SELECT seed, target FROM shown) GROUP BY 1, 2),
+    nodes AS (SELECT seed, id, s AS "start", e AS "end", CAST(depth AS BIGINT) AS depth, coalesce(degree, 0) AS degree FROM n{depths} LEFT JOIN deg USING (seed, id)),
+    flags AS (SELECT *, shown < candidates AS votes_capped FROM (SELECT seed, (SELECT count(*) FROM n{depths} n WHERE n.seed = w.seed) AS n_nodes, CAST(sum(candidates) AS BIGINT) AS candidates,
+      (SELECT count(*) FROM shown x WHERE x.seed = w.seed) AS shown, bool_or(degree_capped) AS degree_capped, bool_or(stopped OR was_full) AS nodes_capped,
+      (SELECT count(*) > 0 FROM f{depths} f WHERE f.seed = w.seed) AND NOT bool_or(stopped) AS depth_capped FROM steps w GROUP BY seed))""")
+    return "WITH " + ",\n    ".join(parts) + f" SELECT * FROM {result}"
+
+
+@query("gr01_walk_nodes", _walk_sql("nodes"), ("edges", "heat"))
 def walk_nodes(t):
     return L.walk(_seeds(t), t.edges)[0].drop("ord")
 
 
-@query("gr01_walk_flags")
+@query("gr01_walk_flags", _walk_sql("flags"), ("edges", "heat"))
 def walk_flags(t):
     return L.walk(_seeds(t), t.edges)[2]
 

@@ -9,6 +9,7 @@ from ..sinks import publish as Pu
 from ..sources import placement as Pl
 from ..functions import text as T
 from .registry import query
+from .source_queries import WELDS
 from .views import epoch_micros
 
 
@@ -179,7 +180,7 @@ def licence_and_pins(t):
     return G.run([("licence phrase", G.broken(licence_evidence(t), F.col("holds"))), ("pinned hash", G.broken(manifest(t), F.col("pin_ok")))])
 
 
-@query("qg05_weld_sites")
+@query("qg05_weld_sites", f"WITH {WELDS} " + _sql([("weld sites", "SELECT count(*) FROM welds WHERE n_sites > 0")]))
 def weld_gate(t):
     from .source_queries import weld_sites
     return G.run([("weld sites", weld_sites(t).where("n_sites > 0"))])

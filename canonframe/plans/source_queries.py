@@ -342,9 +342,26 @@ def text_artifacts(t):
     return Pl.text_artifacts(t.texts, ["edition", "addr"], vocabulary)
 
 
-@query("fn03_weld_sites")
+_REMOVED = ["b", "a", "i", "strong"]
+
+
+def _welds_sql() -> str:
+    """Spans of one tag after the other become a mark; marks between word characters count and go."""
+    steps, mark, word = ["x0 AS (SELECT page_id, translate(html, chr(57344), ' ') AS t, 0 AS n FROM pages)"], "chr(57344)", r"[\p{L}\p{N}]"
+    for tag in _REMOVED:
+        for pattern in (rf"(?s)<{tag}\b(?:[^>]*[^/>])?>.*?</{tag}>", rf"<{tag}\b[^>]*/>"):
+            last = f"x{len(steps) - 1}"
+            steps.append(f"""x{len(steps)} AS MATERIALIZED (SELECT page_id, array_to_string(p, '') AS t, n + len(list_filter(range(1, len(p)), lambda i: regexp_matches(p[i], '{word}$') AND regexp_matches(p[i + 1], '^{word}'))) AS n
+                FROM (SELECT page_id, n, string_split(regexp_replace(t, '{pattern}', {mark}, 'g'), {mark}) AS p FROM {last}))""")
+    return ", ".join(steps) + f", welds AS (SELECT page_id, n AS n_sites FROM x{len(steps) - 1})"
+
+
+WELDS = _welds_sql()
+
+
+@query("fn03_weld_sites", f"WITH {WELDS} SELECT * FROM welds")
 def weld_sites(t):
-    return t.pages.select("page_id", Ps.weld_sites(F.col("html"), ["b", "a", "i", "strong"]).alias("n_sites"))
+    return t.pages.select("page_id", Ps.weld_sites(F.col("html"), _REMOVED).alias("n_sites"))
 
 
 @query("fn04_strip_markup", f"SELECT page_id, replace({_DECODE.format(chr(39).join(['regexp_replace(html, ', '<[^>]*>', ', ', '', ', ', 'g', ')']))}, '¶', ' ') AS text FROM pages")

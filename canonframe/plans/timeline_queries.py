@@ -241,7 +241,20 @@ def first_sentence(t):
     return t.documents.select("doc_id", T.first_sentence("text").alias("gist"))
 
 
-@query("wn11_lane_packing")
+def _lanes_sql(bars: str, order: str, left: str, right: str) -> str:
+    """First fit as a recursion over the bars of a strip that carries the ends of its lanes."""
+    return f"""bars AS MATERIALIZED ({bars}), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY custkey, axis ORDER BY {order}) AS n FROM bars),
+    r AS (SELECT custkey, axis, event_id, n, 0 AS lane, [{right}] AS ends FROM o WHERE n = 1
+      UNION ALL SELECT custkey, axis, event_id, n, lane, ends[1:lane] || [claim_end] || ends[lane + 2:] FROM (
+        SELECT o.custkey, o.axis, o.event_id, o.n, o.{right} AS claim_end, r.ends, coalesce(list_position(list_transform(r.ends, lambda e: e < o.{left}), true) - 1, len(r.ends)) AS lane
+        FROM r JOIN o ON o.custkey = r.custkey AND o.axis = r.axis AND o.n = r.n + 1))"""
+
+
+_BARS = "SELECT t.custkey, t.axis, event_id, env.earliest, env.latest, trad_earliest, trad_latest FROM env JOIN timeline_events t USING (event_id) WHERE env.earliest IS NOT NULL"
+
+
+@query("wn11_lane_packing", f"""WITH RECURSIVE {_ENV}, {_lanes_sql(_BARS, 'earliest, latest, event_id', 'earliest', 'latest')}
+    SELECT o.custkey, o.axis, o.event_id, o.earliest, o.latest, CAST(r.lane AS BIGINT) AS lane, r.lane >= 3 AS hidden FROM o JOIN r USING (custkey, axis, event_id)""", ("positions", "timeline_events"))
 def lane_packing(t):
     """Bars of one strip per customer and axis; lanes beyond 3 are hidden."""
     bars = _envelopes(t).where("earliest IS NOT NULL").join(t.timeline_events, "event_id").select("custkey", "axis", "event_id", "earliest", "latest")
@@ -249,6 +262,30 @@ def lane_packing(t):
     return Tl.limit_rows(laid, 3)
 
 
+SCALE, LABEL = 4.0, 14.0
+
+
+def _years(a, b):
+    return f"({b} - {a} - CASE WHEN {a} < 0 AND {b} >= 0 THEN 1 WHEN {a} >= 0 AND {b} < 0 THEN -1 ELSE 0 END)"
+
+
+_CLAIMS = f"""SELECT *, event_id % 5 = 0 AS asked, {_years('(-5)', 'earliest')} * {SCALE} AS bar_left, greatest({_years('earliest', 'latest')} * {SCALE}, 8.0) AS bar_width,
+      {_years('(-5)', 'least(earliest, trad_earliest)')} * {SCALE} AS claim_left,
+      greatest({_years('(-5)', 'earliest')} * {SCALE} + greatest({_years('earliest', 'latest')} * {SCALE}, {LABEL}, 8.0), {_years('(-5)', 'greatest(latest, trad_latest)')} * {SCALE}) AS claim_right
+    FROM ({_BARS}) WHERE earliest <= 3 AND latest >= -5"""
+
+
+@query("wn11_strip_layout", f"""WITH RECURSIVE {_ENV}, {_lanes_sql(_CLAIMS, '(CASE WHEN asked THEN 0 ELSE 1 END), earliest, latest, event_id', 'claim_left', 'claim_right')}
+    SELECT o.custkey, o.axis, o.event_id, CAST(bar_left AS DOUBLE) AS bar_left, CAST(bar_width AS DOUBLE) AS bar_width, CAST(claim_right AS DOUBLE) AS claim_right, CAST(r.lane AS BIGINT) AS lane, r.lane >= 3 AS hidden
+    FROM o JOIN r USING (custkey, axis, event_id)""", ("positions", "timeline_events"))
+def strip_layout(t):
+    """Bars between the years -5 and 3 with labels and traditional envelopes; every fifth entry is asked for and packed first."""
+    bars = _envelopes(t).where("earliest IS NOT NULL").join(t.timeline_events.select("event_id", "custkey", "axis"), "event_id")
+    claims = Tl.strip_claims(bars, F.lit(-5), F.lit(3), SCALE, reserve=LABEL).withColumn("asked", F.col("event_id") % 5 == 0)
+    laid = Tl.lay_out(claims, ["custkey", "axis"], "claim_left", "claim_right", ["earliest", "latest", "event_id"], first="asked")
+    return Tl.limit_rows(laid, 3).select("custkey", "axis", "event_id", "bar_left", "bar_width", "claim_right", "lane", "hidden")
+
+
 @query("wn14_diversity_gate", """
     WITH s AS (SELECT c_nationkey % 5 AS series, CAST(o_orderdate AS DATE) AS day, arg_min(o_orderpriority, o_orderkey) AS genre, arg_min(o_orderstatus, o_orderkey) AS kind,
                arg_min(o_custkey % 7, o_orderkey) AS book FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),

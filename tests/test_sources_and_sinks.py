@@ -24,8 +24,12 @@ def test_milestones_notes_and_welds(spark):
     notes = Ps.milestone_units(df).select("ref", F.explode(Ps.notes(F.col("raw"))).alias("n")).collect()
     assert [(r.ref, r.n.kind, r.n.caller, r.n.text) for r in notes] == [("GEN.1.1", "footnote", "+", "1:1Or when")]
     assert Ps.prologues(df).first().text == "Before."
-    welds = spark.createDataFrame([("wind<f>note</f>blows<f>n</f> x", 1), ("a <f>n</f>b", 0), ("give<f/>n", 1)], "x string, n long")
+    welds = spark.createDataFrame([("wind<f>note</f>blows<f>n</f> x", 1), ("a <f>n</f>b", 0), ("give<f/>n", 1),
+                                   ("x<f>y</f> z <f>w</f>q", 0), ("a<f>1</f><f>2</f>b", 0), ("a<f>1</f>b<f>2</f>c", 2), ("", 0), (None, None), ("a\ue000b", 0)], "x string, n long")
     assert all(r.got == r.n for r in welds.select("n", Ps.weld_sites(F.col("x"), ["f"]).alias("got")).collect())
+    nested = spark.createDataFrame([("a<x> b<f>n</f>c </x>d",), ("a<f>1</f><x/>b",)], "x string")
+    # The inner note goes first and joins b with c; then the outer one joins a with d.  An empty mark left alone joins too.
+    assert [r[0] for r in nested.select(Ps.weld_sites(F.col("x"), ["f", "x"])).collect()] == [2, 1]
 
 
 def test_html_pages(spark):

@@ -36,6 +36,45 @@ def test_era_gap_and_ties(spark):
     assert tuple(Tl.busiest_era(ev, eras, "year").first()) == ("a", 1)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_entries_asked_for_are_packed_first(spark, seed):
+    rnd = random.Random(seed)
+    bars = [(k, i, s, s + rnd.choice([.0, 2.5, 10., 60.]), rnd.choice([None, False, False, True]) if k < 3 else None)
+            for k in (1, 2, 3) for i, s in enumerate(rnd.uniform(-300, 300) for _ in range(90))]
+    schema = "k long, i long, a double, b double, asked boolean"
+    got = {(r.k, r.i): r.lane for r in Tl.lay_out(spark.createDataFrame(bars, schema), ["k"], "a", "b", ["a", "b", "i"], "asked").collect()}
+    assert len(got) == len(bars)
+    for k in (1, 2, 3):
+        ends = []
+        for _, i, a, b, _ in sorted((x for x in bars if x[0] == k), key=lambda x: (not x[4], x[2], x[3], x[1])):
+            lane = next((n for n, e in enumerate(ends) if e < a), len(ends))
+            ends[lane:lane + 1] = [b]
+            assert got[(k, i)] == lane
+
+
+def test_a_lane_is_found_in_logarithmic_steps():
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, n):
+            Counted.reads += 1
+            return super().__getitem__(n)
+    lanes = Tl.Lanes()
+    for n in range(4096):
+        assert lanes.take(0, n) == n
+    lanes.least = Counted(lanes.least)
+    assert [lanes.take(a, 10 ** 6) for a in (4095.5, 4000, 1)] == [0, 1, 4096] and Counted.reads < 9000     # one doubling copies the tree
+    Counted.reads, lanes.least = 0, Counted(lanes.least)
+    assert lanes.take(4000, 10 ** 6) == 2 and Counted.reads <= 60
+
+
+def test_claims_cover_label_and_traditional_envelope(spark):
+    rows = [(1, -5, -3, None, None), (2, -2, 2, -4, 9), (3, 1, 1, None, None), (4, -9, -4, None, 2), (5, 4, 4, None, None), (6, -9, -6, -9, 9)]
+    e = spark.createDataFrame(rows, "id long, earliest long, latest long, trad_earliest long, trad_latest long")
+    got = {r.id: (r.bar_left, r.bar_width, r.claim_left, r.claim_right) for r in Tl.strip_claims(e, F.lit(-5), F.lit(3), 10.0, reserve=25.0).collect()}
+    assert got == {1: (0, 20, 0, 25), 2: (30, 30, 10, 130), 3: (50, 8, 50, 75), 4: (-40, 50, -40, 60)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lanes_match_first_fit(spark, seed):
     rnd = random.Random(seed)
