@@ -2,9 +2,11 @@
 
 Texts are sequences of lower-case words.  Every benchmark item of ``n`` words is compared with the windows of ``n`` words
 of a document.  The random walk of the CGK embedding (write the current word, step on or stay by a random bit of word and
-step number) turns a window into ``3 n`` words such that few edits become few differing positions; items and windows of a
-length share the walks.  Repeated samples of positions are the buckets of a locality-sensitive hash; a window and an item
-in one bucket are a candidate, verified by their exact edit distance in words, the window's end being free.
+step number) turns a window into a sequence of words such that few edits become few differing positions; items and windows
+of a length share the walks.  Repeated samples of positions are the buckets of a locality-sensitive hash; a window and an
+item in one bucket are a candidate, verified by their exact edit distance in words, the window's end being free.  Positions
+are drawn from the steps nearly all walks take inside the text; a sample that falls behind the end of a walk has no bucket,
+so only words that are equal bring a pair together.  Longer items get more walks, because equal stretches get rarer.
 
 Windows that cannot be within the distance are not embedded: ``k`` edits leave at least ``n - 2 - 3 k`` of the item's word
 triples unharmed (for short items ``n - k`` words), so a window with fewer triples of items of that length is none.  This
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mix64, slices, texts
 
 SIMILARITY = 0.8             # at most 1 - SIMILARITY edits per word of the item
-WALKS = 8                    # independent walks
+WALKS = 12                   # independent walks for every WALK_WORDS words of an item, or part of them
+WALK_WORDS = 100
 SAMPLES = 12                 # samples of positions per walk
 POSITIONS = 3                # positions per sample
 BLOCK_ITEMS = 20_000         # items in one broadcast block
@@ -45,6 +48,11 @@ def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
+def steps_inside(n: int) -> int:
+    """Steps that about 49 of 50 walks take within ``n`` words (a step goes on with a chance of one half)."""
+    return max(n, int(2 * n - 2 * (2 * n) ** 0.5))
+
+
 def prefix_distance(item: dict[int, int], n: int, window: list[int], k: int) -> tuple[int, int]:
     """(distance, words): least edit distance between an item and a beginning of ``window``, bit-parallel.
 
@@ -89,38 +97,42 @@ class _Length:
             self.places.append(dict(bits))
             self.grams.append(set(zip(w, w[1:], w[2:])) if self.triples else set(w))
         rng = np.random.default_rng([17, n])
-        self.picks = [np.sort(rng.integers(0, 3 * n, (SAMPLES, POSITIONS)), axis=1) for _ in range(WALKS)]
-        mine = self.keys(np.array([w for _, w in items], np.int64).reshape(len(items), n))
+        self.steps = steps_inside(n)
+        self.picks = [np.sort(rng.integers(0, self.steps, (SAMPLES, POSITIONS)), axis=1) for _ in range(WALKS * -(-n // WALK_WORDS))]
+        mine, _ = self.keys(np.array([w for _, w in items], np.int64).reshape(len(items), n))
         self.order = np.argsort(mine, axis=0, kind="stable")
         self.sorted = np.take_along_axis(mine, self.order, axis=0)
 
-    def keys(self, windows: np.ndarray) -> np.ndarray:
-        """Bucket numbers (windows, WALKS * SAMPLES)."""
+    def keys(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket numbers (windows, samples of all walks), and which of them lie inside the text."""
         m, n = windows.shape
         padded = np.hstack([windows, np.full((m, 1), -1)])
-        rows, out = np.arange(m), []
+        rows, out, inside = np.arange(m), [], []
         for walk, picks in enumerate(self.picks):
-            at, written = np.zeros(m, np.int64), np.empty((m, 3 * n), np.int64)
-            for step in range(3 * n):
+            at, written = np.zeros(m, np.int64), np.empty((m, self.steps), np.int64)
+            ends = np.full(m, self.steps)                               # the step at which the walk leaves the text
+            for step in range(self.steps):
                 word = padded[rows, at]
                 written[:, step] = word
                 bit = mix64(word.view(np.uint64), (walk * 4096 + step) * 65_537 + n) & np.uint64(1)
                 np.minimum(at + bit.astype(np.int64), n, out=at)
+                ends[(at == n) & (ends > step)] = step + 1
             for s, pick in enumerate(picks):
                 key = np.full(m, walk * SAMPLES + s, np.uint64)
                 for p in pick:
                     key = mix64(key ^ written[:, p].view(np.uint64), int(p) + 1)
                 out.append(key)
-        return np.stack(out, axis=1)
+                inside.append(pick[-1] < ends)                          # positions ascend
+        return np.stack(out, axis=1), np.stack(inside, axis=1)
 
     def candidates(self, windows: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window, item) that share a bucket."""
-        keys = self.keys(windows)
+        keys, inside = self.keys(windows)
         found = []
         for t in range(keys.shape[1]):
             low = np.searchsorted(self.sorted[:, t], keys[:, t], "left")
             high = np.searchsorted(self.sorted[:, t], keys[:, t], "right")
-            hit = np.flatnonzero(high > low)
+            hit = np.flatnonzero((high > low) & inside[:, t])
             count = high[hit] - low[hit]
             rows = np.repeat(hit, count)
             within = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)

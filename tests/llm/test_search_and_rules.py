@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from canonframe.llm import decontaminate as D, licences as L, toolcalls as C, topk as K, urlrules as U
 from canonframe.llm import queries
@@ -33,6 +34,26 @@ def test_prefix_distance_equals_brute_force():
         assert D.prefix_distance(bits, n, window, 99)[0] == want
 
 
+@pytest.mark.parametrize("n", [10, 15, 20, 35, 50, 80, 120, 200, 260])
+def test_buckets_alone_find_edited_windows_and_no_others(n):
+    """Candidates of the hash itself, without gate or exact distance, at the bound of edits."""
+    rng = random.Random(n)
+    items = [(i, [rng.randrange(1, 10 ** 6) for _ in range(n)]) for i in range(60)]
+    group = D._Length(n, items, D.edits_allowed(n), 10 ** 6)
+    windows = []
+    for _, words in items:
+        w = list(words)
+        for _ in range(D.edits_allowed(n)):
+            p, kind = rng.randrange(len(w)), rng.choice("sdi")
+            w[p:p + (kind != "i")] = [] if kind == "d" else [rng.randrange(1, 10 ** 6)]
+        windows.append((w + [rng.randrange(1, 10 ** 6) for _ in range(n)])[:n])
+    # What unrelated texts share: every sixth word is one of the ten commonest.
+    unrelated = [[rng.randrange(10) if rng.random() < 1 / 6 else rng.randrange(2 * 10 ** 6, 3 * 10 ** 6) for _ in range(n)] for _ in range(200)]
+    found = list(group.candidates(np.array(windows + unrelated, np.int64)))
+    assert sum(w == i for w, i in found) >= 0.9 * len(items)
+    assert sum(w != i for w, i in found) <= 0.01 * len(items) * (len(windows) + len(unrelated))
+
+
 def test_leaks_with_edits_are_found(spark):
     rng = random.Random(10)
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
