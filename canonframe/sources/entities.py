@@ -10,11 +10,12 @@ expressions: no shuffle, one pass over the files.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DataType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, StringType, StructField, StructType
 
 ID_PATTERN = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 FAULT = "array<struct<path:string,problem:string>>"
@@ -47,66 +48,92 @@ def _expected(t: DataType) -> str:
     return {LongType: "BIGINT", StringType: "STRING"}[type(t)]
 
 
+def _none() -> Column:
+    return F.array().cast(FAULT)
+
+
 def _fault(path: Column, problem: Column | str) -> Column:
     return F.array(F.struct(path.alias("path"), (F.lit(problem) if isinstance(problem, str) else problem).alias("problem")))
 
 
-def _walk(v: Column, schema: StructType, kind: Kind, at: Column, name: str) -> Column:
-    """Faults of one object.  ``at`` is its path with places, ending in a dot; ``name`` the same without places."""
-    none = F.array().cast(FAULT)
-    keys = F.json_object_keys(F.to_json(v))
-    out = [F.transform(F.array_except(keys, F.array(*[F.lit(f.name) for f in schema.fields])),
-                       lambda k: F.struct(F.concat(at, k).alias("path"), F.lit("unknown key").alias("problem")))]
-    for f in schema.fields:
-        item, here, plain, t = F.variant_get(v, f"$.{f.name}", "variant"), F.concat(at, F.lit(f.name)), f"{name}{f.name}", f.dataType
-        found = _json_kind(item)
-        inner = none
-        if isinstance(t, StringType):
-            text = F.try_variant_get(item, "$", "string")
-            if not f.nullable:
-                inner = F.when(F.trim(text) == "", _fault(here, "empty")).otherwise(inner)
-            if plain in kind.words:
-                inner = F.when(~text.isin(kind.words[plain]), _fault(here, F.concat(F.lit("unknown value "), text))).otherwise(inner)
-        elif isinstance(t, StructType):
-            inner = _walk(item, t, kind, F.concat(here, F.lit(".")), f"{plain}.")
-        elif isinstance(t, ArrayType):
-            entries = F.try_variant_get(item, "$", "array<variant>")
-            child = t.elementType
-            if isinstance(child, StructType):
-                def entry(e, i):
-                    place = F.concat(here, F.lit("["), i.cast("string"), F.lit("]"))
-                    return F.when(_json_kind(e) != "OBJECT", _fault(place, "is no object")).otherwise(_walk(e, child, kind, F.concat(place, F.lit(".")), f"{plain}."))
-            else:
-                def entry(e, i):
-                    place = F.concat(here, F.lit("["), i.cast("string"), F.lit("]"))
-                    bad = _json_kind(e) != _expected(child)
-                    if isinstance(child, StringType):
-                        bad = bad | (F.trim(F.try_variant_get(e, "$", "string")) == "")
-                    return F.when(bad, _fault(place, "wrong type or empty")).otherwise(none)
-            inner = F.flatten(F.transform(entries, entry))
-            if plain in kind.filled:
-                inner = F.when(F.size(entries) == 0, _fault(here, "needs an entry")).otherwise(inner)
-        checked = F.when(found != _expected(t), _fault(here, F.concat(F.lit("wrong type "), F.lower(found)))).otherwise(inner)
-        missing = none if f.nullable else _fault(here, "missing")
-        out.append(F.when(item.isNull(), missing).otherwise(checked))
-    return F.concat(*out)
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _checked(files: DataFrame, kind: Kind, content: str) -> DataFrame:
-    v = F.col("_variant")
-    faults = _walk(v, kind.schema, kind, F.lit(""), "")
+RULE = "array<struct<name:string,kind:string,required:boolean,filled:boolean,words:array<string>>>"
+
+
+def _walk(v: Column, schema: StructType, kind: Kind, name: str) -> Column:
+    """Faults of one object, with paths from it on.  ``name``: its place in the declared tree.
+
+    The rules of its keys are data, so the expression grows with nested tables alone.
+    """
+    rules = F.from_json(F.lit(json.dumps([{
+        "name": f.name, "kind": _expected(f.dataType), "required": not f.nullable, "filled": f"{name}{f.name}" in kind.filled,
+        "words": kind.words.get(f"{name}{f.name}")} for f in schema.fields])), RULE)
+
+    def of(keys: Column) -> Column:
+        unknown = F.transform(F.array_except(F.map_keys(keys), F.transform(rules, lambda r: r["name"])),
+                              lambda k: F.struct(k.alias("path"), F.lit("unknown key").alias("problem")))
+        own = F.transform(rules, lambda r: _once(F.try_element_at(keys, r["name"]), lambda item: _problem(item, r)))
+        return F.concat(unknown, F.filter(own, lambda x: x["problem"].isNotNull()), *[
+            _nested(F.try_element_at(keys, F.lit(f.name)), f, kind, f"{name}{f.name}") for f in schema.fields
+            if isinstance(f.dataType, StructType | ArrayType)])
+    return _once(F.try_variant_get(v, "$", "map<string,variant>"), of)
+
+
+def _problem(item: Column, r: Column) -> Column:
+    """What is wrong with the value of one key itself."""
+    text = F.try_variant_get(item, "$", "string")
+    problem = (F.when(item.isNull(), F.when(r["required"], F.lit("missing")))
+               .when(_json_kind(item) != r["kind"], F.concat(F.lit("wrong type "), F.lower(_json_kind(item))))
+               .when(r["required"] & (r["kind"] == "STRING") & (F.trim(text) == ""), F.lit("empty"))
+               .when(r["words"].isNotNull() & ~F.array_contains(r["words"], text), F.concat(F.lit("unknown value "), text))
+               .when(r["filled"] & (F.size(F.try_variant_get(item, "$", "array<variant>")) == 0), F.lit("needs an entry")))
+    return F.struct(r["name"].alias("path"), problem.alias("problem"))
+
+
+def _nested(item: Column, f: StructField, kind: Kind, name: str) -> Column:
+    """Faults inside a table, or inside the entries of a list."""
+    t = f.dataType
+    if isinstance(t, StructType):
+        return _below(F.lit(f"{f.name}."), F.when(_json_kind(item) == "OBJECT", _walk(item, t, kind, f"{name}.")))
+    child = t.elementType
+
+    def entry(e, i):
+        place = F.concat(F.lit(f"{f.name}["), i.cast("string"), F.lit("]"))
+        if isinstance(child, StructType):
+            return F.when(_json_kind(e) != "OBJECT", _fault(place, "is no object")).otherwise(
+                _below(F.concat(place, F.lit(".")), _walk(e, child, kind, f"{name}.")))
+        bad = _json_kind(e) != _expected(child)
+        if isinstance(child, StringType):
+            bad = bad | (F.trim(F.try_variant_get(e, "$", "string")) == "")
+        return F.when(bad, _fault(place, "wrong type or empty")).otherwise(_none())
+    return F.coalesce(F.flatten(F.transform(F.try_variant_get(item, "$", "array<variant>"), entry)), _none())
+
+
+def _below(place: Column, faults: Column) -> Column:
+    return F.coalesce(F.transform(faults, lambda x: F.struct(F.concat(place, x["path"]).alias("path"), x["problem"].alias("problem"))), _none())
+
+
+def _file_faults(v: Column, kind: Kind) -> Column:
+    faults = _walk(v, kind.schema, kind, "")
     if kind.own_file:
-        ident = F.try_variant_get(v, "$.id", "string")
-        stem = F.regexp_replace("file", r"\.[a-z]+$", "")
-        faults = F.concat(faults, F.when(ident != stem, _fault(F.lit("id"), "is not the file name")).otherwise(F.array().cast(FAULT)),
-                          F.when(~ident.rlike(ID_PATTERN), _fault(F.lit("id"), "bad id")).otherwise(F.array().cast(FAULT)))
-    whole = F.when(v.isNull(), _fault(F.lit(""), "not valid JSON")).when(_json_kind(v) != "OBJECT", _fault(F.lit(""), "is no object")).otherwise(faults)
-    return files.withColumn("_variant", F.try_parse_json(content)).withColumn("_faults", whole)
+        ident, stem = F.try_variant_get(v, "$.id", "string"), F.regexp_replace("file", r"\.[a-z]+$", "")
+        faults = F.concat(faults, F.when(ident != stem, _fault(F.lit("id"), "is not the file name")).otherwise(_none()),
+                          F.when(~ident.rlike(ID_PATTERN), _fault(F.lit("id"), "bad id")).otherwise(_none()))
+    return F.when(v.isNull(), _fault(F.lit(""), "not valid JSON")).when(_json_kind(v) != "OBJECT", _fault(F.lit(""), "is no object")).otherwise(faults)
+
+
+def _checked(files: DataFrame, kind: Kind, content: str) -> DataFrame:
+    return files.withColumn("_faults", _once(F.try_parse_json(content), lambda v: _file_faults(v, kind)))
 
 
 def problems(files: DataFrame, kind: Kind, content: str = "content") -> DataFrame:
     """(kind, file, path, problem): every fault of every document.  ``files``: file, content."""
-    return (_checked(files, kind, content).select("file", F.inline("_faults"))
+    # outer: an inner one would be given a filter that computes all faults once more
+    return (_checked(files, kind, content).select("file", F.inline_outer("_faults")).where(F.col("problem").isNotNull())
             .select(F.lit(kind.name).alias("kind"), "file", "path", "problem"))
 
 
