@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import constraints as K
+from ..operators import constraints as K, gates as G, structure as St
 from .publish_queries import _sql
 from .registry import query
 
@@ -180,3 +180,26 @@ def work_constraints(t):
         ("positions", codes, [K.Group("critical ones lead", ("part",), F.coalesce(first > last, F.lit(True))),
                               K.Group("no event twice", ("part", "event_id"), F.count(F.lit(1)) == 1),
                               K.Reference("codes exist", ("code",), t.nation.where("n_regionkey < 3").select("n_nationkey"), optional=True)])])
+
+
+_UNITS = "(SELECT l_orderkey AS parent, l_orderkey * 1000 + l_linenumber AS s, l_orderkey * 1000 + l_linenumber + CAST(l_quantity AS BIGINT) % 3 AS e FROM lineitem)"
+
+
+@query("qg32_structure_rules", _sql([
+    ("inside parent", f"SELECT count(*) FROM {_UNITS} u LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 2000) ON o_orderkey = parent WHERE o_orderkey IS NULL OR e > o_orderkey * 1000 + 7"),
+    ("siblings apart", f"""SELECT count(*) FROM (SELECT parent, s, count(*) AS n FROM {_UNITS} GROUP BY 1, 2) a WHERE n > 1
+        OR EXISTS (SELECT 1 FROM {_UNITS} b WHERE b.parent = a.parent AND b.s < a.s AND b.e >= a.s)"""),
+    ("initials", """SELECT count(*) FROM (SELECT doc_id * 1000 + n AS addr, lower(line[1]) AS initial FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+        unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) WHERE line <> '') d
+        LEFT JOIN (SELECT addr, arg_min(search_form, position)[1] AS found FROM words GROUP BY 1) w ON w.addr = d.addr WHERE d.initial IS DISTINCT FROM w.found"""),
+]), ("words",))
+def structure_rules(t):
+    """Lines inside their orders and apart from each other; the first letter of every line against its first word."""
+    start = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
+    units = t.lineitem.select(F.col("l_orderkey").alias("parent"), start.alias("start"), (start + F.col("l_quantity").cast("bigint") % 3).alias("end"))
+    key = F.col("o_orderkey")
+    parents = t.orders.where("o_totalprice > 2000").select(key.alias("parent"), (key * 1000 + 1).alias("p_start"), (key * 1000 + 7).alias("p_end"))
+    lines = t.scanned_documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).where("line <> ''")
+    declared = lines.select((F.col("doc_id") * 1000 + F.col("p") + 1).alias("addr"), F.lower(F.substring("line", 1, 1)).alias("initial"))
+    return G.run([("inside parent", St.outside_parents(units, parents)), ("siblings apart", St.overlapping_siblings(units)),
+                  ("initials", St.initial_breaks(declared, t.words))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import coverage as C, originals as O, space as S, words as Wd
+from ..operators import coverage as C, distinct as D, originals as O, space as S, words as Wd
 from ..session import cut_lineage
 from .registry import query
 
@@ -80,6 +80,22 @@ def distinct_addresses(t):
     return t.words.select("search_form", "addr").distinct().groupBy("search_form").agg(F.count(F.lit(1)).alias("n_addresses"))
 
 
+@query("ag05_distinct_levels", """WITH b AS (SELECT language, (addr // 1000) // 100 AS book, search_form FROM words),
+    l AS (SELECT 'book,language' AS level, concat_ws(',', CAST(book AS VARCHAR), coalesce(language, '')) AS key, count(DISTINCT search_form) AS n FROM b GROUP BY book, language
+      UNION ALL SELECT 'book', CAST(book AS VARCHAR), count(DISTINCT search_form) FROM b GROUP BY book
+      UNION ALL SELECT 'language', coalesce(language, ''), count(DISTINCT search_form) FROM b GROUP BY language
+      UNION ALL SELECT '', '', count(DISTINCT search_form) FROM b)
+    SELECT level, key, n, true AS within FROM l""", ("words",))
+def distinct_levels(t):
+    """Distinct forms of every book, language, both and the whole: exact, and whether the stored sketches' estimate keeps four standard errors."""
+    words = t.words.select("language", F.expr("(addr div 1000) div 100").alias("book"), "search_form")
+    sets = [["book", "language"], ["book"], ["language"], []]
+    stored = cut_lineage(D.sketches(words, ["book", "language"], "search_form"))
+    n = F.col("n")
+    return (D.exact(words, sets, "search_form").join(D.levels(stored, sets), ["level", "key"])
+            .select("level", "key", "n", (F.abs(F.col("estimate") - n) <= 4 * D.error() * n + 1).alias("within")))
+
+
 _SUGGESTED = """g AS (SELECT request, lemma, strongs, language, CAST(sum(n) AS BIGINT) AS count, min(surface) AS surface FROM request_kinds JOIN
       (SELECT strongs, lemma, search_form, language, morph, count(*) AS n, min(surface) AS surface FROM original_words GROUP BY ALL) USING (strongs, lemma, search_form, language, morph)
       GROUP BY ALL),
