@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import address as A
-from ..session import cut_lineage
+from ..session import cut_bucketed, cut_lineage
 from . import space as S
 
 
@@ -225,32 +225,36 @@ def page_rank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping:
     """Iterative rank over (src, dst) edges; the mass of sinks is spread evenly.
 
     Parallel edges are folded into one weighted edge once, so a hub costs one
-    row per neighbour, and contributions are summed map-side.  Each step is
-    written, as the next one reads it twice.  With ``tolerance`` the iteration
-    ends as soon as the ranks' total change (one number) is below it.
+    row per neighbour.  Edges and ranks are stored once in buckets of their
+    node, so a step exchanges nothing but sums that were folded map-side.
+    With ``tolerance`` the iteration ends as soon as the ranks' total change
+    (one number) is below it.
     """
     weighted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     out = weighted.groupBy("src").agg(F.sum("w").alias("out_w"))
-    shares = cut_lineage(weighted.join(out, "src").select("src", "dst", (F.col("w") / F.col("out_w")).alias("share")))
+    shares = cut_bucketed(weighted.join(out, "src").select("src", "dst", (F.col("w") / F.col("out_w")).alias("share")), "src")
     sources = shares.select(F.col("src").alias("node")).distinct().withColumn("_has_out", F.lit(True))
     base = nodes.select("node").distinct().join(sources, "node", "left")
-    base = cut_lineage(base.select("node", F.coalesce("_has_out", F.lit(False)).alias("has_out")))
+    base = cut_bucketed(base.select("node", F.coalesce("_has_out", F.lit(False)).alias("has_out")), "node")
     n = S.row_total(base)
     ranks = base.withColumn("_n", n).select("node", "has_out", (1.0 / F.col("_n")).alias("rank"))
-    last = ranks
     for _ in range(iterations):
-        sent = (shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src")
-                .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("_in")))
-        lost = ranks.where(~F.col("has_out")).select(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
-        ranks = (base.join(sent, "node", "left").withColumn("_n", n).withColumn("_lost", lost)
-                 .select("node", "has_out",
-                         ((1 - damping) / F.col("_n")
-                          + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / F.col("_n"))).alias("rank")))
-        new = cut_lineage(ranks)
+        new = cut_bucketed(rank_step(shares, ranks, base, n, damping), "node")
         if tolerance is not None:
-            old = last.select("node", F.col("rank").alias("_old"))
+            old = ranks.select("node", F.col("rank").alias("_old"))
             moved = new.join(old, "node").agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
             if moved is None or moved < tolerance:
                 return new.select("node", "rank")
-        ranks = last = new
+        ranks = new
     return ranks.select("node", "rank")
+
+
+def rank_step(shares: DataFrame, ranks: DataFrame, base: DataFrame, n: Column, damping: float) -> DataFrame:
+    """(node, has_out, rank) after one more step."""
+    sent = (shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src")
+            .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("_in")))
+    lost = ranks.where(~F.col("has_out")).select(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
+    return (base.join(sent, "node", "left").withColumn("_n", n).withColumn("_lost", lost)
+            .select("node", "has_out",
+                    ((1 - damping) / F.col("_n")
+                     + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / F.col("_n"))).alias("rank")))
