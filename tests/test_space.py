@@ -140,3 +140,27 @@ def test_sparse_neighbours(spark):
     df = spark.createDataFrame([(69, c) for c in range(10, 17)] + [(1, 49), (1, 50)], "book long, chapter long")
     got = {(r.book, r.chapter): (r.prev, r.next) for r in S.neighbours(df).collect()}
     assert got[(69, 10)] == (None, 11) and got[(69, 16)] == (15, None) and got[(1, 50)] == (49, None)
+
+
+def test_space_and_positions_in_one_exchange(spark):
+    """The same positions as before, whatever repeats; addresses alone are exchanged, once."""
+    rnd = random.Random(8)
+    addrs = [rnd.choice([rnd.randrange(2000), rnd.randrange(10**6, 4 * 10**6), 10**9 + rnd.randrange(3 * 10**9)]) for _ in range(900)]
+    df = spark.createDataFrame([(a,) for a in addrs + addrs[:300] + [None, None]], "addr long")
+    got = S.numbered_space(df)
+    assert sorted(map(tuple, got.select("addr", "book", "chapter", "unit", "pos").collect())) == [
+        (a, a // 10**6, a // 1000 % 1000, a % 1000, i) for i, a in enumerate(sorted(set(addrs)))]
+    assert got.schema.simpleString() == make_space(spark, addrs).schema.simpleString()
+
+
+def test_addresses_near_meets_both_ends_in_one_join(spark):
+    n = 3 * S.LIST + 5
+    space = spark.range(n).select((F.col("id") * 7 + 1).alias("addr"), F.col("id").alias("pos"))
+    rows = [(i, at, k) for i, (at, k) in enumerate((at, k) for at in (-1, 0, 3, S.LIST - 1, S.LIST, 2 * S.LIST, n - 1, n, None) for k in (-6, -4, 0, 6, None))] * 2
+    asked = spark.createDataFrame(rows, "i long, at long, k long")
+    got = S.addresses_near(asked, space, F.col("at"), F.col("k"), 6)
+    assert sorted(map(tuple, got.select("i", "first", "last").collect())) == sorted(
+        (i, at * 7 + 1, (at + k) * 7 + 1) for i, at, k in rows if None not in (at, k) and 0 <= at < n and 0 <= at + k < n)
+    assert got.columns == ["i", "at", "k", "first", "last"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
