@@ -1,5 +1,6 @@
 """Interval primitives against brute force."""
 
+import math
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from canonframe.functions import address as A
 from canonframe.operators import space as S
+from canonframe.plans.views import Tables
 
 
 def make_space(spark, addrs):
@@ -164,3 +166,21 @@ def test_addresses_near_meets_both_ends_in_one_join(spark):
     assert got.columns == ["i", "at", "k", "first", "last"]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_edges_of_odd_lines(spark, tmp_path):
+    """Edges against the plain reading: null quantities reach to the last address, null keys have no edge, repeats stay."""
+    rows = [(o, n, p, s, q, 1.5) for o, n, p, s, q in (
+        (1, 1, 3, 1, 13.0), (1, 2, 5, 2, None), (2, 1, None, 1, 4.0), (2, 2, 7, 3, -9.0), (3, 1, 2, 2, 27.0), (3, 1, 2, 2, 27.0), (None, 4, 1, 1, 6.0))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    got = Tables(spark, str(tmp_path)).edges.select("src", "dst_start", "dst_end", "votes").collect()
+    addrs = sorted({o * 1000 + n for o, n, *_ in rows if o is not None})
+    want = []
+    for o, n, p, s, q, _ in rows:
+        if p is not None:
+            first = (p * 37 + s) % len(addrs)
+            last = len(addrs) - 1 if q is None else min(first + int(math.fmod(q, 7)), len(addrs) - 1)
+            if last >= 0:
+                want.append((o and o * 1000 + n, addrs[first], addrs[last], q if q is None else int(q) - 5))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
