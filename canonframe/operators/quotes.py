@@ -3,7 +3,8 @@
 Distances come from bit-parallel columns (64 cells of the table a machine word, many pairs side by side; long quotes as
 one Python integer).  One pass of a quote over a text gives, for every position, the least distance of the quote to any
 substring that ends there.  That bounds every window from below, so only windows whose bound is within the allowed distance
-are measured themselves, the most promising first.  Nothing is lost, whatever the lengths.
+are measured themselves, the most promising first.  Before that, pairs are left out whose quote cannot be in the text: pieces
+of the quote, measured side by side, are together no further from the text than the whole.  Nothing is lost, whatever the lengths.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ BLOCKS = 8                   # machine words per quote up to which pairs are mea
 STEP, ALONE = 30.0, 1.2      # microseconds of a step of all lanes for each machine word, and of one for one long quote or text alone
 CELLS = 4 << 20              # positions of texts held at once
 SLICE = 8 << 20              # bytes of quotes and texts taken at once
+PIECE = 128                  # characters of a piece of a quote
+CHUNK = 1024                 # characters of a text between two chunks a piece is measured in
+LANES = 4096                 # lanes of a group
 
 
 # --- distances ----------------------------------------------------------------------------------
@@ -27,21 +31,25 @@ SLICE = 8 << 20              # bytes of quotes and texts taken at once
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """All characters numbered densely, the place of each text among them, and how many numbers there are."""
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    names, codes = np.unique(flat, return_inverse=True)
+    number = np.zeros(int(flat.max(initial=0)) + 1, np.int64)
+    number[flat] = 1
+    symbols = int(number.sum())
+    codes = (np.cumsum(number) - 1)[flat]
     ends = np.cumsum([0, *map(len, texts)])
-    return codes.astype(np.int64), ends, max(len(names), 1)
+    return codes, ends, max(symbols, 1)
 
 
 def _columns(masks: np.ndarray, symbols: int, of: np.ndarray, lengths: np.ndarray, blocks: int, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray,
-             whole: bool) -> np.ndarray:
+             whole: bool, least: bool = False) -> np.ndarray:
     """Scores of lanes: quote ``of`` of ``masks`` against ``sizes`` characters of ``text`` from ``begin``.
 
-    With ``whole`` one distance a lane.  Otherwise a row per position: the least distance to a substring that ends there.
-    Lanes are ordered by descending size.
+    With ``whole`` one distance a lane.  Otherwise a row per position: the least distance to a substring that ends there; with
+    ``least`` only the least of these.  Lanes are ordered by descending size.
     """
     lanes, most = len(of), int(sizes.max(initial=0))
     score = lengths.astype(np.int32)
-    rows = np.zeros((0 if whole else most, lanes), np.int32)
+    rows = np.zeros((0 if whole or least else most, lanes), np.int32)
+    low = score.copy()
     pv = [np.full(lanes, ~np.uint64(0)) for _ in range(blocks)]
     mv = [np.zeros(lanes, np.uint64) for _ in range(blocks)]
     last, one, top = ((lengths - 1) % 64).astype(np.uint64), np.uint64(1), np.uint64(63)
@@ -64,9 +72,11 @@ def _columns(masks: np.ndarray, symbols: int, of: np.ndarray, lengths: np.ndarra
             ph, mh = (ph << one) | plus, (mh << one) | minus
             pv[b][:active], mv[b][:active] = mh | ~(xv | ph), ph & xv
             plus, minus = up, down
-        if not whole:
+        if least:
+            np.minimum(low[:active], score[:active], out=low[:active])
+        elif not whole:
             rows[step, :active] = score[:active]
-    return score if whole else rows
+    return low if least else score if whole else rows
 
 
 def _long_columns(quote: str, text: str, whole: bool) -> list[int]:
@@ -105,13 +115,12 @@ class Pairs:
         self.text_starts, self.text_sizes = text_ends[:-1], np.diff(text_ends)
         self.blocks = -(-self.quote_sizes // 64)
 
-    def _masks(self, distinct: np.ndarray, blocks: int) -> np.ndarray:
-        """For every distinct quote, block and symbol the bits where the symbol stands."""
-        masks = np.zeros(len(distinct) * blocks * self.symbols, np.uint64)
-        sizes = self.quote_sizes[distinct]
-        quote = np.repeat(np.arange(len(distinct)), sizes)
+    def _masks(self, starts: np.ndarray, sizes: np.ndarray, blocks: int) -> np.ndarray:
+        """For every quote (``sizes`` codes from ``starts``), block and symbol the bits where the symbol stands."""
+        masks = np.zeros(len(starts) * blocks * self.symbols, np.uint64)
+        quote = np.repeat(np.arange(len(starts)), sizes)
         place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        code = self.codes[np.repeat(self.quote_starts[distinct], sizes) + place]
+        code = self.codes[np.repeat(starts, sizes) + place]
         np.bitwise_or.at(masks, (quote * blocks + place // 64) * self.symbols + code, np.uint64(1) << (place % 64).astype(np.uint64))
         return masks
 
@@ -132,9 +141,48 @@ class Pairs:
                 room = max(1, min(8192, CELLS // max(int(sizes[mine[at]]), 1), (CELLS << 2) // (b * self.symbols)))
                 group = mine[at:at + room]
                 distinct, of = np.unique(self.quote_of[pair[group]], return_inverse=True)
-                yield group, (self._masks(distinct, b), self.symbols, of, self.quote_sizes[distinct][of], b, self.codes, begin[group], sizes[group])
+                yield group, (self._masks(self.quote_starts[distinct], self.quote_sizes[distinct], b), self.symbols, of, self.quote_sizes[distinct][of], b, self.codes, begin[group], sizes[group])
                 at += room
 
+    def _bound(self, pair: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Per pair, for characters [low, high) of its quote: the sum of their pieces' least distances to any substring of the text.
+
+        A text is measured in chunks; each goes on for twice the piece's length, beyond which no substring is nearer than none.
+        """
+        size = high - low
+        pieces = -(-size // PIECE)
+        own = np.repeat(np.arange(len(pair)), pieces)
+        j = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = size[own] * j // pieces[own]
+        length = size[own] * (j + 1) // pieces[own] - begin
+        begin += self.quote_starts[self.quote_of[pair]][own] + low[own]
+        text = self.text_of[pair][own]
+        chunks = np.maximum(-(-self.text_sizes[text] // CHUNK), 1)
+        piece = np.repeat(np.arange(len(own)), chunks)
+        at = (np.arange(len(piece)) - np.repeat(np.cumsum(chunks) - chunks, chunks)) * CHUNK
+        sizes = np.minimum(self.text_sizes[text][piece] - at, CHUNK + 2 * length[piece])
+        at += self.text_starts[text][piece]
+        least, blocks = length.copy(), -(-length // 64)[piece]
+        for b in np.unique(blocks).tolist():
+            mine = np.flatnonzero(blocks == b)
+            mine = mine[np.argsort(-sizes[mine], kind="stable")]
+            room = max(1, min(LANES, (CELLS << 2) // (b * self.symbols)))
+            for group in np.split(mine, range(room, len(mine), room)):
+                starts, first, of = np.unique(begin[piece[group]], return_index=True, return_inverse=True)
+                lengths = length[piece[group]]
+                found = _columns(self._masks(starts, lengths[first], b), self.symbols, of, lengths, b, self.codes, at[group], sizes[group], False, True)
+                np.minimum.at(least, piece[group], found)
+        return np.bincount(own, least, len(pair)).astype(np.int64)
+
+    def hopeful(self, pair: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Those of ``pair`` whose text may hold the quote within ``most`` of it; none that does is left out."""
+        n = self.quote_sizes[self.quote_of[pair]]
+        middle = np.where(n > 64, -(-2 * n // 3), n)          # most pairs are out by the first two thirds
+        bound = self._bound(pair, np.zeros_like(n), middle)
+        left = np.flatnonzero(bound <= most[pair])
+        bound = bound[left] + self._bound(pair[left], middle[left], n[left])
+        return pair[left[bound <= most[pair[left]]]]
+
     def whole(self, pair: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Distance of each pair's quote to the characters [start, end) of its text."""
         out = np.zeros(len(pair), np.int64)
@@ -157,6 +205,7 @@ class Pairs:
         found: list[tuple[int, int] | None] = [None] * len(self.quotes)
         # a text much shorter than the quote cannot hold it
         pair = np.flatnonzero((n > 0) & (self.text_sizes[self.text_of] >= n - most) & (self.text_sizes[self.text_of] > 0))
+        pair = self.hopeful(pair, most)
         windows: list[list[np.ndarray]] = []
 
         def collect(i: int, scores: np.ndarray) -> None:
@@ -205,16 +254,22 @@ class Pairs:
 
 # --- the operator ---------------------------------------------------------------------------------
 
-def anchor_quotes(pairs: DataFrame, quote: str, text: str, keys: list[str], threshold: float = 0.3) -> DataFrame:
+def folded(c: str) -> Column:
+    """Words of a text, folded and joined by single spaces; a null text is empty."""
+    return F.trim(F.regexp_replace(T.fold(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def anchor_quotes(pairs: DataFrame, quote: str, text: str, keys: list[str], threshold: float = 0.3, plain: bool = False) -> DataFrame:
     """(keys, distance, at, approximate): where each ``quote`` stands in the ``text`` beside it.
 
     Texts are compared folded, as words joined by single spaces.  ``at`` is the first word, from 1, of the window of as many
     words as the quote that is nearest by edit distance in characters; the first of equally near ones.  When none is within
     ``threshold`` times the quote's length, the quote is only anchored to the whole text: ``approximate``, and both numbers
-    null.  Quotes without letters and digits give no row; a null text is empty.
+    null.  Quotes without letters and digits give no row; a null text is empty.  With ``plain`` both are ``folded`` already:
+    what stands in many pairs is folded before they are made.
     """
     def clean(c: str) -> Column:
-        return F.trim(F.regexp_replace(T.fold(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+        return F.col(c) if plain else folded(c)
     rows = pairs.select(F.struct(*keys).alias("_k"), clean(quote).alias("_q"), clean(text).alias("_t")).where("_q <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from canonframe.operators import quotes as Q
+from canonframe.plans import catalog
 
 
 def edit_distance(a, b):
@@ -69,3 +70,39 @@ def test_anchors_of_a_table(spark):
         want = plain(q, t, 0.3)
         assert (got[i]["distance"], got[i]["at"]) == (want or (None, None)) and got[i]["approximate"] == (want is None)
     assert Q.anchor_quotes(table.limit(0), "quote", "text", ["i"]).count() == 0
+
+
+@pytest.mark.parametrize("piece, chunk, lanes", [(7, 5, 11), (64, 40, 3), (256, 1024, 8192)])
+def test_pieces_and_chunks_lose_nothing(monkeypatch, piece, chunk, lanes):
+    for name, value in zip(("PIECE", "CHUNK", "LANES"), (piece, chunk, lanes)):
+        monkeypatch.setattr(Q, name, value)
+    pairs = given()
+    got = Q.Pairs([q for q, _ in pairs], [t for _, t in pairs]).best_windows(0.3)
+    assert got == [plain(q, t, 0.3) for q, t in pairs]
+
+
+def test_unrelated_long_pairs_are_never_measured_alone(monkeypatch):
+    rng = random.Random(8)
+
+    def words(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(200))
+    quotes, texts = [words("abcdef") for _ in range(5)], [words("uvwxyz") for _ in range(5)]
+    monkeypatch.setattr(Q, "_long_columns", lambda *a: pytest.fail("measured alone"))
+    assert min(map(len, quotes)) > 64 * Q.BLOCKS and Q.Pairs(quotes, texts).best_windows(0.3) == [None] * 5
+
+
+def test_lines_and_texts_are_folded_before_they_are_paired(spark, tmp_path):
+    documents = [(i, f"a quiet line of document {i}\nand its second line, long enough", "en", f"src{i % 3}") for i in range(6)]
+    spark.createDataFrame(documents, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.callables()["tx11_quote_anchoring"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Join Inner")]
+    assert "MapInArrow" in above and "regexp_replace" not in above
+    assert found.count() == 24 and found.where("approximate").count() == 0
+
+
+def test_folded_pairs_give_the_same_anchors(spark):
+    table = spark.createDataFrame([(i, q.upper() + "!", re.sub(" ", " - ", t)) for i, (q, t) in enumerate(given())] + [(900, None, "a"), (901, "a", None)],
+                                  "i bigint, quote string, text string")
+    ready = table.select("i", Q.folded("quote").alias("quote"), Q.folded("text").alias("text"))
+    assert sorted(map(str, Q.anchor_quotes(ready, "quote", "text", ["i"], plain=True).collect())) == sorted(map(str, Q.anchor_quotes(table, "quote", "text", ["i"]).collect()))
