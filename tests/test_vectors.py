@@ -54,3 +54,30 @@ def test_rows_without_a_direction(spark):
     got = {(r["query_id"], r["id"]) for r in V.nearest(given, "id", "u", asked, 1).collect()}
     assert got == {(1, 1), (2, 2), (8, 8)}
     assert V.nearest(given.limit(0), "id", "u", asked, 3).count() == 0 and V.nearest(given, "id", "u", asked.limit(0), 3).count() == 0
+
+
+def test_copies_and_queries_without_clusters(spark):
+    rng = np.random.default_rng(7)
+    vectors = [(i, rng.normal(0, 1, 24).tolist()) for i in range(900)]
+    vectors += [(2000 - i, vectors[5][1]) for i in range(700)]                             # one large group of copies
+    given = spark.createDataFrame(vectors, "i bigint, v array<double>").repartition(3)
+    index = V.build(given, "i", "v", lists=64, block_rows=50)
+    asked = given.select(given.i.alias("query_id"), given.v.alias("vector"))
+    got = V.nearest(index, "i", "v", asked, 3).collect()
+    assert {(r["query_id"], r["i"], r["rank"]) for r in got} == plain(vectors, vectors, 3) and len(got) == 3 * len(vectors)
+    _, others = V.candidates(index, asked, 3)
+    sent = sum(len(r["queries"]) // 8 for r in others.collect())
+    assert sent <= V.SHELVES * len(vectors) < 0.5 * len(vectors) * len(index.lists.centroids)      # once for a shelf, not once for a list
+
+
+def test_a_tile_scores_little_more_than_it_keeps():
+    rng = np.random.default_rng(8)
+    u = rng.normal(0, 1, (3000, 32))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    lists = V.Lists(np.zeros((1, 32)), np.array([3000]), np.array([1.0]), np.array([1.0]))
+    tile = V.Tile(np.arange(100), u[:100], np.full(100, -np.inf), np.ones((100, 1), bool), lists, 4, 6)
+    for at in range(0, 3000, 500):
+        tile.meet(0, 1.0, 1.0, np.arange(at, at + 500), u[at:at + 500])
+    sims = np.round(u[:100] @ u.T, 6)
+    assert tile.ids.tolist() == [np.lexsort((np.arange(3000), -row))[:4].tolist() for row in sims]
+    assert tile.n_scored < 0.02 * 100 * 3000
