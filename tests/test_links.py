@@ -3,6 +3,8 @@
 import pytest
 
 from canonframe.operators import links as L
+from canonframe.plans import link_queries as Lq
+from canonframe.plans.views import Tables
 from .test_space import make_space
 
 
@@ -66,3 +68,33 @@ def test_heat_default_keeps_unreferenced_units(spark):
     heat = L.heat_buckets(L.heat(e, space))
     got = {r.addr: r.heat_bucket for r in L.with_heat(space, heat).collect()}
     assert got == {1001001: 1, 1001002: 0}
+
+
+def wide_links(n=450):
+    """Links from every address; the first has no quantity and reaches from the first address to the last, more than LINK_SPAN ones."""
+    space = [(1, 1001000 + u, u - 1) for u in range(1, n + 1)]
+    parts = [(1001, u, 1, 1, None if u == 1 else 7, 100, 1001000 + u, 1001000 + (n if u == 1 else u)) for u in range(1, n + 1)]
+    return space, parts
+
+
+def wide_tables(spark):
+    space, parts = wide_links()
+    t = Tables(spark, "/nowhere")
+    t.__dict__["space"] = spark.createDataFrame(space, "book long, addr long, pos long")
+    t.__dict__["edge_parts"] = spark.createDataFrame(parts, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, _qty long, _price long, dst_start long, dst_end long")
+    return t
+
+
+def test_links_are_expanded_beyond_the_span_of_heat(spark):
+    rows = Lq.range_expansion(wide_tables(spark)).collect()
+    assert len(rows) == 450 + 449 and sum(r.edge_id == "1001-1-1-1-100" for r in rows) == 450
+
+
+def test_rank_reaches_whole_target_ranges(spark):
+    """The rank of the first address is spread over all addresses, also those behind the four-hundredth."""
+    ranks = {r.node: r.rank_ppm for r in Lq.page_rank(wide_tables(spark)).collect()}
+    n = 450
+    rank = [1 / n] * n
+    for _ in range(4):
+        rank = [0.15 / n + 0.85 * ((rank[i] if i else 0) + rank[0] / n) for i in range(n)]
+    assert len(ranks) == n and all(abs(ranks[1001001 + i] - rank[i] * 1e6) < 1e-3 for i in range(n))

@@ -184,3 +184,31 @@ def test_edges_of_odd_lines(spark, tmp_path):
             if last >= 0:
                 want.append((o and o * 1000 + n, addrs[first], addrs[last], q if q is None else int(q) - 5))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("most", [None, 3, 400])
+def test_expansion_of_near_and_wide_ranges(spark, most):
+    rnd = random.Random(5)
+    real = sorted({rnd.randrange(-3_000, 3_000) * rnd.choice([1, 1, 40]) for _ in range(2_500)})
+    pick = lambda: rnd.choice(real) + rnd.choice([0, 0, 0, 1])
+    ranges = [(i, (a := pick()), rnd.choice([pick(), a, a + rnd.randrange(300), real[min(len(real) - 1, real.index(a) + 4)] if a in real else a])) for i in range(400)]
+    ranges += [(400, None, 5), (401, real[7], None), (402, real[0], real[-1]), (403, real[-1], real[0])]
+    got = sorted((r.id, r.addr) for r in S.expand_ranges(spark.createDataFrame(ranges, "id long, start long, end long"), make_space(spark, real), max_span=most).collect())
+    known = set(real)
+    want = []
+    for i, a, b in ranges:
+        end = max(x for x in (a, b) if x is not None)
+        if a in known and end in known:
+            want += [(i, x) for x in real if a <= x <= end][:most]
+    assert got == sorted(want)
+
+
+def test_expanded_steps_are_not_exchanged(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranges = spark.createDataFrame([(1, 1001001, 1001003)], "id long, start long, end long")
+        plan = S.expand_ranges(ranges, make_space(spark, range(1001001, 1001400)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "slice(" in plan and "hashpartitioning(_bin" in plan and "hashpartitioning(_pos" not in plan, plan
